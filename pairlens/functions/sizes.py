@@ -1,0 +1,15 @@
+"""Broadcast only what was counted."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Hint a broadcast if the table has at most ``max_rows`` (narrow) rows, else leave it as it is.
+
+    The count stops at the limit, so a large table is not read to its end for the check.
+    """
+    rows = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if rows <= max_rows else df
