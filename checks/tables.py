@@ -79,6 +79,10 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(kind == "contraction", F.concat(F.lit("I'm so sure "), line))
            .when(h % 29 == 0, F.concat(src, F.lit(" and then she left us")))
            .otherwise(F.concat(src, F.lit(", ma'am"))))
+    rows = rows.withColumn("EN_feminine_sentence", fem)
+    # One-element explode: filters above it read the finished texts instead of repeating the rules.
+    texts = F.struct("h", "referent", "EN_source_sentence", "EN_masculine_sentence", "EN_feminine_sentence")
+    rows = rows.select("row_id", "doc_id", F.explode(F.array(texts)).alias("t")).select("row_id", "doc_id", "t.*")
 
     def score(k: int) -> Column:
         m = key_hash(F.col("row_id"), f"c{k}")
@@ -86,8 +90,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
                 .when(m % 10 == 0, (F.floor(m / 10) % 5 + 1).cast("int")).otherwise((m % 2 + 4).cast("int")))
 
     return rows.select(
-        "row_id", "doc_id", "h", "referent", "EN_source_sentence", "EN_masculine_sentence",
-        fem.alias("EN_feminine_sentence"),
+        "row_id", "doc_id", "h", "referent", "EN_source_sentence", "EN_masculine_sentence", "EN_feminine_sentence",
         F.when(h % 7 != 0, ref).alias("masc_referent"),
         F.when(h % 10 != 3, ref).alias("fem_referent"),
         F.when(h % 61 != 0, _pick(STRATEGIES, h % 9)).alias("disambiguation_strategy"),

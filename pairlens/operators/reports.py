@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairlens.fixed_values import (
     APPOSITIVE_WARNING_SHARE, EDIT_SOFT_LIMIT, NOT_FOUND, OK_RATINGS, PARSE_ERROR, RATINGS, RUBRIC_COLUMNS,
@@ -143,7 +144,7 @@ def strata(flagged: DataFrame) -> DataFrame:
         (ratio(F.col("n_correct"), F.col("n")) * 100).alias("acc_all"), "n_matched", "n_correct")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _tail_probability(chi2: pd.Series) -> pd.Series:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     return chi2.map(lambda x: math.erfc(math.sqrt(x / 2)))

@@ -19,10 +19,13 @@ CORPUS_TYPES = {
     **{c: "boolean" for c in ("eval_pos_change", "eval_reject", "accepted", "symbolic_checks_passed")},
     "row_id": "bigint", "retry_count": "int"}
 
+_TYPES = {"string": T.StringType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
+          "bigint": T.LongType(), "int": T.IntegerType()}
+
 
 def corpus_schema(*columns: str) -> T.StructType:
     """Schema of the named corpus columns."""
-    return T._parse_datatype_string(", ".join(f"`{c}` {CORPUS_TYPES[c]}" for c in columns))
+    return T.StructType([T.StructField(c, _TYPES[CORPUS_TYPES[c]]) for c in columns])
 
 
 def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
