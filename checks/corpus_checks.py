@@ -94,17 +94,21 @@ def routing(spark, sf_dir):
 
 SQL_ROUTING = f"""
 keyed AS (SELECT *, lower(trim(referent)) AS k1, regexp_replace(lower(trim(referent)), '[^a-z]', '', 'g') AS k2,
-   regexp_escape(referent) AS rx, lower(EN_source_sentence) AS lowered,
+   lower(EN_source_sentence) AS lowered,
+   regexp_extract_all(lower(EN_source_sentence), '[\\p{{L}}\\p{{N}}_]+|\\s+|[^\\p{{L}}\\p{{N}}_\\s]+') AS p,
    {SQL_WORDS.format('EN_source_sentence')} AS w FROM corpus),
 paired AS (SELECT k.*, CASE WHEN a.form IS NOT NULL THEN a.masc ELSE b.masc END AS pm,
    CASE WHEN a.form IS NOT NULL THEN a.fem ELSE b.fem END AS pf
    FROM keyed k LEFT JOIN lexicon a ON a.form = k.k1 LEFT JOIN lexicon b ON b.form = k.k2),
 judged AS (SELECT *, pm IS NOT NULL AS has_pair,
    coalesce((pm, pf) IN ({", ".join(f"('{m}', '{f}')" for m, f in FORBIDDEN)}), false) AS forbidden,
-   regexp_matches(EN_source_sentence, '(?i)^(Yes|Hey|Look|Listen|Oh|No|Well|Please),?\\s+' || rx || '($|[^\\p{{L}}\\p{{N}}_])')
-   OR regexp_matches(EN_source_sentence, '(?i),\\s+' || rx || '\\s*[.!?]\\s*$')
-   OR regexp_matches(EN_source_sentence, '(?i),\\s+' || rx || ',')
-   OR regexp_matches(EN_source_sentence, '(?i)(^|[^\\p{{L}}\\p{{N}}_])' || rx || ',?\\s+(you|you''re|you''ve|you''ll|you''d)($|[^\\p{{L}}\\p{{N}}_])')
+   (list_contains(['yes', 'hey', 'look', 'listen', 'oh', 'no', 'well', 'please'], p[1])
+     AND coalesce(p[2] = ',' AND trim(p[3]) = '' AND p[4] = referent OR trim(p[2]) = '' AND p[3] = referent, false))
+   OR len(list_filter(range(1, len(p) + 1), lambda i: p[i] = referent AND (
+     (i > 2 AND trim(p[i - 1]) = '' AND suffix(p[i - 2], ',') AND (
+        coalesce(starts_with(p[i + 1], ','), false)
+        OR regexp_full_match(array_to_string(p[i + 1:], ''), '\\s*[.!?]\\s*')))
+     OR coalesce(trim(p[i + 1]) = '' AND p[i + 2] = 'you' OR p[i + 1] = ',' AND trim(p[i + 2]) = '' AND p[i + 3] = 'you', false)))) > 0
      AS addressee,
    list_filter(range(1, len(w) + 1), lambda i: w[i] = referent) AS ref_at,
    position(referent IN lowered) AS ref_pos FROM paired),

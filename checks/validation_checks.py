@@ -16,9 +16,6 @@ from pairlens.plans import repair
 
 # ---------------------------------------------------------------- SQL: word distance
 
-_NO_WORD = "[^\\p{L}\\p{N}_]"
-
-
 def _head(a: str, b: str) -> str:
     return (f"coalesce(nullif(list_position(list_transform(list_zip({a}, {b}), lambda x: coalesce(x[1] = x[2], false)), false), 0) - 1, "
             f"len(list_zip({a}, {b})))")
@@ -41,7 +38,6 @@ def sql_distances(pairs: str, name: str) -> str:
 
 def sql_checks(source: str = "corpus", prefix: str = "v") -> str:
     """CTEs from a corpus-shaped table to ``<prefix>_rows`` (row_id, checks, passed, messages)."""
-    n = _NO_WORD
     suffixes = "man|woman|boy|girl|lady|gentleman"
     contractions = ", ".join(
         f"regexp_extract_all(a, '{h}''\\s*{t}\\b')"
@@ -50,25 +46,30 @@ def sql_checks(source: str = "corpus", prefix: str = "v") -> str:
     def boundaries(c: str) -> str:
         return (f"len(regexp_extract_all(regexp_replace({c}, '\\b(Mr|Mrs|Ms|Dr|St)[.!?]', '\\1', 'g'), '[.!?]\\s+[A-Z]'))")
 
+    def pieces(c: str) -> str:
+        return f"regexp_extract_all({c}, '[\\p{{L}}\\p{{N}}_]+|\\s+|[^\\p{{L}}\\p{{N}}_\\s]+')"
+
     def named(c: str) -> str:
-        return f"regexp_matches({c}, '(?i)(^|{n})' || rx || 's?($|{n})')"
+        return f"len(list_filter({c}, lambda x: lower(x) = ref OR lower(x) = ref || 's')) > 0"
 
     return f"""
 {prefix}_base AS (SELECT row_id, coalesce(EN_source_sentence, '') AS a, coalesce(EN_masculine_sentence, '') AS m,
-   coalesce(EN_feminine_sentence, '') AS f, coalesce(referent, '') AS ref, regexp_escape(coalesce(referent, '')) AS rx,
+   coalesce(EN_feminine_sentence, '') AS f, coalesce(referent, '') AS ref,
    coalesce(nullif(disambiguation_strategy, ''), eval_strategy_label, '') AS strategy FROM {source}),
-{prefix}_sides AS (SELECT row_id, 'masc' AS side, a, m AS b, ref, rx, strategy FROM {prefix}_base
-   UNION ALL SELECT row_id, 'fem', a, f, ref, rx, strategy FROM {prefix}_base),
+{prefix}_sides AS (SELECT row_id, 'masc' AS side, a, m AS b, ref, strategy FROM {prefix}_base
+   UNION ALL SELECT row_id, 'fem', a, f, ref, strategy FROM {prefix}_base),
 {sql_distances(f'{prefix}_sides', f'{prefix}_dist')},
 {prefix}_found AS (SELECT *,
    list_filter(list_transform(flatten([{contractions}]), lambda x: [x, regexp_replace(x, '''\\s+', '''', 'g')]),
      lambda x: NOT contains(b, x[1]) AND x[1] <> x[2] AND contains(b, x[2]))[1] AS drift,
    {boundaries('a')} AS na, {boundaries('b')} AS nb,
-   strategy <> 'referent_swap' AND ref <> '' AND {named('a')} AND NOT {named('b')} AS lost,
-   CASE WHEN ref <> '' AND regexp_matches(regexp_replace(a, '(?i)(^|{n})' || rx || '\\s+({suffixes})', '\\1@', 'g'),
-       '(?i)(^|{n})' || rx || '($|{n})')
-     THEN regexp_extract(b, '(?i)(^|{n})' || rx || '\\s+({suffixes})($|{n})', 2) ELSE '' END AS suffix
-   FROM {prefix}_sides JOIN {prefix}_dist USING (row_id, side)),
+   strategy <> 'referent_swap' AND ref <> '' AND {named('pa')} AND NOT {named('pb')} AS lost,
+   CASE WHEN len(list_filter(range(1, len(pa) + 1), lambda i: lower(pa[i]) = ref
+       AND NOT coalesce(trim(pa[i + 1]) = '' AND regexp_matches(pa[i + 2], '(?i)^({suffixes})'), false))) > 0
+     THEN coalesce(list_transform(list_filter(range(1, len(pb) + 1), lambda i: lower(pb[i]) = ref
+       AND coalesce(trim(pb[i + 1]) = '' AND regexp_full_match(pb[i + 2], '(?i)({suffixes})'), false)), lambda i: pb[i + 2])[1], '')
+     ELSE '' END AS suffix
+   FROM (SELECT *, {pieces('a')} AS pa, {pieces('b')} AS pb FROM {prefix}_sides) JOIN {prefix}_dist USING (row_id, side)),
 {prefix}_told AS (
    SELECT row_id, CASE side WHEN 'masc' THEN 1 ELSE 2 END AS pos, 'edit_distance_' || side AS name, d <= 8 AS ok,
      CASE WHEN d > 8 THEN 'edit_distance=' || d || ' exceeds hard limit 8' WHEN d > 5 THEN 'edit_distance=' || d || ' over soft limit 5' ELSE '' END AS msg

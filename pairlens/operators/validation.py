@@ -88,9 +88,11 @@ def check_results() -> Column:
         *[(f"referent_preserved_{k}", referent_kept_check(source, v, referent, strategy)) for k, v in sides],
         *[(f"no_pos_change_{k}", pos_change_check(source, v, referent)) for k, v in sides],
     ]
-    return F.array(*[bind(result, lambda r, name=name: F.struct(
-        F.lit(name).alias("check"), r["passed"].alias("passed"), r["message"].alias("message")))
-        for name, result in checks])
+    return F.array(*[bind(result, _named(name)) for name, result in checks])
+
+
+def _named(name: str):
+    return lambda r: F.struct(F.lit(name).alias("check"), r["passed"].alias("passed"), r["message"].alias("message"))
 
 
 def _with_strategy_columns(df: DataFrame) -> DataFrame:
