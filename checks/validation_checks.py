@@ -149,8 +149,8 @@ def reviews(spark, sf_dir):
 def rewrites(rows):
     """Retry answers derived from the rows: some give no masculine sentence, some no strategy."""
     h = F.col("h")
-    return rows.where(h % 3 != 0).select(
-        "row_id", F.when(h % 4 != 1, F.concat("EN_source_sentence", F.lit(", my lord"))).alias("EN_masculine_sentence"),
+    return rows.select(
+        "row_id", F.when((h % 3 != 0) & (h % 4 != 1), F.concat("EN_source_sentence", F.lit(", my lord"))).alias("EN_masculine_sentence"),
         F.concat("EN_source_sentence", F.lit(", my lady")).alias("EN_feminine_sentence"),
         F.when(h % 8 != 2, F.lit("sir_maam")).alias("disambiguation_strategy"),
         F.lit(None).cast("string").alias("masc_referent"), F.concat("referent", F.lit(" lady")).alias("fem_referent"))
