@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pairlens.fixed_values import RUBRIC_COLUMNS, STRATEGY_NAMES
 from pairlens.functions.hashing import key_hash
 from pairlens.operators.reshape import to_long
+from pairlens.sources.readers import spread
 
 STRATEGIES = tuple(STRATEGY_NAMES)
 RUBRIC_LABELS = STRATEGIES + ("combination", "no_change")
@@ -46,7 +47,7 @@ def _sql_pick(values, index: str) -> str:
 # ---------------------------------------------------------------- corpus
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     lines = (docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
              .select("doc_id", (F.col("doc_id") * 1000000 + F.col("pos")).alias("row_id"),
                      F.trim("raw").alias("line"))

@@ -34,6 +34,15 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = No
     return reader.parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a table in few files to all cores, by a hash of the key.
+
+    A table with at least as many splits as cores is left as it is, so nothing large is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with header and quoted line breaks, such as a review sheet."""
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
