@@ -12,7 +12,7 @@ from pairlens.operators import quality as Q
 from pairlens.operators import reshape as G
 from pairlens.operators import routing as R
 from pairlens.operators import selection as B
-from pairlens.sources.readers import pair_lexicon
+from pairlens.sources.readers import pair_lexicon, spread
 
 # Frequent words of the four languages stand in for pronouns; the documents have no English ones.
 PRONOUNS = ("that", "was", "den", "les", "las", "with", "of")
@@ -66,7 +66,8 @@ def lexicon_lines(spark, sf_dir):
         return F.coalesce(F.try_element_at("w", F.lit(i)), F.lit("-"))
     line = F.concat(F.lit("| "), word(1), F.lit(" / "), word(2), F.lit(" | "), word(3), F.lit(" | "),
                     word(4), F.lit(", "), word(5), F.lit(" / "), word(6), F.lit(" |"))
-    return (table(spark, sf_dir, "documents").select("doc_id", w.alias("w"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    return (docs.select("doc_id", w.alias("w"))
             .select(F.col("doc_id").alias("line_no"), line.alias("line")))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,14 @@ def ratio(part: Column, whole: Column, digits: int | None = None) -> Column:
     """``part / whole`` as double, 0.0 for an empty whole."""
     value = F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / whole.cast("double"))
     return value if digits is None else F.round(value, digits)
+
+
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add costly columns so that each is computed once per row.
+
+    A filter on a plain computed column is moved below the projection with a copy of its expression
+    per use. A one-element explode is a step filters do not pass, at no shuffle.
+    """
+    added = F.struct(*[c.alias(name) for name, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.explode(F.array(added)).alias("_settled")).select(*kept, "_settled.*")

@@ -1,15 +1,16 @@
-"""Broadcast only what was counted."""
+"""Sizes are counted before anything is broadcast."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
-    """Hint a broadcast if the table has at most ``max_rows`` (narrow) rows, else leave it as it is.
+def is_small(df: DataFrame, size: Column | None = None, max_rows: int = 100_000, max_size: int = 4_000_000) -> bool:
+    """At most ``max_rows`` rows, whose ``size`` values add up to at most ``max_size``.
 
-    The count stops at the limit, so a large table is not read to its end for the check.
+    Reading stops at the row limit, so a large table is not read to its end for the check.
     """
-    rows = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if rows <= max_rows else df
+    total = F.coalesce(F.sum(F.lit(0) if size is None else size), F.lit(0))
+    found = df.limit(max_rows + 1).agg(F.count("*").alias("n"), total.alias("size")).first()
+    return found["n"] <= max_rows and found["size"] <= max_size

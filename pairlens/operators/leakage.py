@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.fixed_values import VARIANT_COLUMNS
-from pairlens.functions.columns import ratio
-from pairlens.functions.sizes import broadcast_if_small
+from pairlens.functions.columns import bind, ratio, settle
+from pairlens.functions.sizes import is_small
 from pairlens.functions.text import is_blank, strip, tokens
 
 # Runs of whole tokens used to find a passage: four where the passage has them, else one.
@@ -54,29 +54,66 @@ def _runs(found: Column, size: Column) -> Column:
         F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(found, i, size), " "))))
 
 
-def _long_candidates(needles: DataFrame, haystack: DataFrame) -> DataFrame:
-    """(needle_id, hay_id) pairs that share the needle's rarest inner token run.
+def _inner(needles: DataFrame) -> DataFrame:
+    """Runs of whole tokens inside each needle of three tokens or more.
 
     The first and last token of a needle may be cut from longer ones in the haystack; the tokens
-    between stand there whole. A needle is looked up by the one inner run that the fewest haystack
-    texts have, and dropped at once if some inner run occurs nowhere. Frequencies are counted only
-    for runs that needles have, with partial counts before the shuffle.
+    between stand there whole, so every haystack text with the needle has every inner run.
     """
-    inner = needles.select("needle_id", tokens(F.col("text")).alias("t")).where(F.size("t") >= 3)
-    inner = inner.select("needle_id", F.slice("t", F.lit(2), F.size("t") - 2).alias("t"))
-    size = F.when(F.size("t") >= _RUNS[0], F.lit(_RUNS[0])).otherwise(F.lit(_RUNS[1]))
-    needle_runs = inner.select("needle_id", F.explode(F.array_distinct(_runs(F.col("t"), size))).alias("run"))
-    wanted = broadcast_if_small(needle_runs.select("run").distinct())
-
-    hay_tokens = haystack.select("hay_id", tokens(F.col("text")).alias("t"))
-    hay_runs = hay_tokens.select("hay_id", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*[
-        _runs(F.col("t"), F.lit(n)) for n in _RUNS]))))).alias("run"))
-    seen = hay_runs.join(wanted, "run", "left_semi")
+    def inside(t: Column) -> Column:
+        size = F.when(F.size(t) >= _RUNS[0], F.lit(_RUNS[0])).otherwise(F.lit(_RUNS[1]))
+        return F.array_distinct(_runs(t, size))
+
+    def runs(t: Column) -> Column:
+        return F.when(F.size(t) >= 3, bind(F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0))), inside))
+
+    rows = settle(needles.select("needle_id", "text"), {"runs": bind(tokens(F.col("text")), runs)})
+    return rows.where(F.col("runs").isNotNull())
+
+
+def _hay_runs(haystack: DataFrame) -> DataFrame:
+    """One row per text and distinct token run."""
+    found = tokens(F.col("text"))
+    every = bind(found, lambda t: F.array_distinct(F.flatten(F.array_compact(F.array(*[
+        _runs(t, F.lit(n)) for n in _RUNS])))))
+    return haystack.select("hay_id", "text", F.explode(every).alias("run"))
+
+
+def _long_in_small(needles: DataFrame, haystack: DataFrame) -> DataFrame:
+    """Matches in a haystack that fits a broadcast: one look-up per needle, no shuffle."""
+    anchored = _inner(needles).select("needle_id", F.col("text").alias("_needle"), F.array_min("runs").alias("run"))
+    found = anchored.join(F.broadcast(_hay_runs(haystack).select("hay_id", "run")), "run")
+    return found.join(F.broadcast(haystack), "hay_id").where(F.contains("text", "_needle")).select(
+        "needle_id", "hay_id", (F.col("text") == F.col("_needle")).alias("equal"))
+
+
+def _anchors(needles: DataFrame, haystack: DataFrame, few: bool) -> DataFrame:
+    """Per needle the inner run that the fewest haystack texts have; none if a run occurs nowhere.
+
+    Frequencies are counted only for runs that needles have, with partial counts before the shuffle.
+    """
+    runs = _inner(needles).select("needle_id", F.explode("runs").alias("run"))
+    wanted = runs.select("run").distinct()
+    seen = _hay_runs(haystack).select("run").join(F.broadcast(wanted) if few else wanted, "run", "left_semi")
     frequency = seen.groupBy("run").agg(F.count("*").alias("texts"))
-    anchors = (needle_runs.join(frequency, "run", "left").groupBy("needle_id")
-               .agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), F.col("run"))).alias("rarest"))
-               .where(F.col("rarest.texts") > 0).select("needle_id", F.col("rarest.run").alias("run")))
-    return seen.join(anchors, "run").select("needle_id", "hay_id")
+    rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), F.col("run"))).alias("rarest")
+    return (runs.join(frequency, "run", "left").groupBy("needle_id").agg(rarest)
+            .where(F.col("rarest.texts") > 0).select("needle_id", F.col("rarest.run").alias("run")))
+
+
+def _long_few(needles: DataFrame, haystack: DataFrame) -> DataFrame:
+    """Matches of needles that fit a broadcast: texts are checked where they are read."""
+    anchors = _anchors(needles, haystack, few=True).join(needles, "needle_id").select(
+        "needle_id", "run", F.col("text").alias("_needle"))
+    return _hay_runs(haystack).join(F.broadcast(anchors), "run").where(F.contains("text", "_needle")).select(
+        "needle_id", "hay_id", (F.col("text") == F.col("_needle")).alias("equal"))
+
+
+def _verified(candidates: DataFrame, needles: DataFrame, haystack: DataFrame) -> DataFrame:
+    """Candidate id pairs whose texts do match."""
+    return (candidates.distinct().join(needles.select("needle_id", F.col("text").alias("_needle")), "needle_id")
+            .join(haystack.select("hay_id", "text"), "hay_id").where(F.contains("text", "_needle"))
+            .select("needle_id", "hay_id", (F.col("text") == F.col("_needle")).alias("equal")))
 
 
 def _short_candidates(needles: DataFrame, haystack: DataFrame) -> DataFrame:
@@ -86,15 +123,15 @@ def _short_candidates(needles: DataFrame, haystack: DataFrame) -> DataFrame:
     Both are looked up in the distinct vocabulary, by a piece of up to three characters, before
     the texts that hold the word are listed.
     """
-    short = needles.select("needle_id", tokens(F.col("text")).alias("t")).where(F.size("t").isin(1, 2)).select(
+    short = settle(needles.select("needle_id", "text"), {"t": tokens(F.col("text"))}).where(F.size("t").isin(1, 2)).select(
         "needle_id", F.col("t")[0].alias("a"), F.try_element_at("t", F.lit(2)).alias("b"))
     left = F.when(F.col("b").isNull(), F.left("a", F.lit(3))).otherwise(F.right("a", F.lit(3)))
     short = short.select("needle_id", "a", "b", left.alias("p"), F.left("b", F.lit(3)).alias("q"))
 
-    hay_tokens = haystack.select("hay_id", tokens(F.col("text")).alias("t"))
+    hay_tokens = settle(haystack.select("hay_id", "text"), {"t": tokens(F.col("text"))}).drop("text")
     words = hay_tokens.select("hay_id", F.explode(F.array_distinct("t")).alias("x"), F.lit(None).cast("string").alias("y"))
     pairs = hay_tokens.where(F.size("t") >= 2).select("hay_id", F.explode(F.array_distinct(F.zip_with(
-        F.slice("t", F.lit(1), F.size("t") - 1), F.slice("t", F.lit(2), F.size("t")),
+        F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.size("t")),
         lambda x, y: F.struct(x.alias("x"), y.alias("y"))))).alias("w")).select("hay_id", "w.x", "w.y")
     postings = words.unionByName(pairs)
     vocabulary = postings.select("x", "y").distinct()
@@ -117,41 +154,43 @@ def _short_candidates(needles: DataFrame, haystack: DataFrame) -> DataFrame:
     return hits.join(postings.withColumn("y", F.coalesce("y", F.lit(""))), ["x", "y"]).select("needle_id", "hay_id")
 
 
-def containing(needles: DataFrame, haystack: DataFrame) -> DataFrame:
-    """(needle_id, hay_id) for every haystack text that contains the needle text.
+def containing(needles: DataFrame, haystack: DataFrame, small_rows: int = 100_000) -> DataFrame:
+    """(needle_id, hay_id, equal) for every haystack text that contains the needle text.
 
-    ``needles``: needle_id, text; ``haystack``: hay_id, text. Candidates come from equi-joins and
-    every one is verified on the whole texts. Blank needles match nothing.
+    ``needles``: needle_id, text; ``haystack``: hay_id, text; ids are unique. Every match is found by an
+    equi-join and verified on the whole texts. The sizes of both sides are counted first: a small
+    haystack or few needles are broadcast and no text is shuffled; otherwise only ids and run hashes
+    are, and texts join the surviving pairs. Blank needles match nothing.
     """
-    candidates = _long_candidates(needles, haystack).unionByName(_short_candidates(needles, haystack)).distinct()
-    return (candidates.join(needles.select("needle_id", F.col("text").alias("_needle")), "needle_id")
-            .join(haystack.select("hay_id", F.col("text").alias("_hay")), "hay_id")
-            .where(F.contains("_hay", "_needle")).select("needle_id", "hay_id"))
-
-
-def example_overlap(examples: DataFrame, sentences: DataFrame) -> DataFrame:
+    size = F.char_length("text")
+    if is_small(haystack, size, small_rows):
+        found = _long_in_small(needles, haystack)
+    elif is_small(needles, size, small_rows):
+        found = _long_few(needles, haystack)
+    else:
+        pairs = _hay_runs(haystack).select("hay_id", "run").join(_anchors(needles, haystack, few=False), "run")
+        found = _verified(pairs.select("needle_id", "hay_id"), needles, haystack)
+    short = needles.where(F.size(tokens(F.col("text"))).isin(1, 2))
+    if short.isEmpty():
+        return found
+    return found.unionByName(_verified(_short_candidates(short, haystack), short, haystack))
+
+
+def example_overlap(examples: DataFrame, sentences: DataFrame, small_rows: int = 100_000) -> DataFrame:
     """Per example: sentences equal to it, containing it, and contained in it.
 
     ``examples``: example_id, text; ``sentences``: sentence_id, text. Equal texts are not counted
-    as containing. Identical sentences are looked up once and counted with their copies.
+    as containing.
     """
-    distinct = (sentences.where(F.col("text").isNotNull()).groupBy("text").agg(F.count("*").alias("copies"))
-                .withColumn("key", F.sha2("text", 256)))
-    needles = examples.select(F.col("example_id").alias("needle_id"), "text")
-    inside = containing(needles, distinct.select(F.col("key").alias("hay_id"), "text")).select(
-        F.col("needle_id").alias("example_id"), F.col("hay_id").alias("key"), F.lit("containing").alias("kind"))
-    around = containing(distinct.select(F.col("key").alias("needle_id"), "text"),
-                        examples.select(F.col("example_id").alias("hay_id"), "text")).select(
-        F.col("hay_id").alias("example_id"), F.col("needle_id").alias("key"), F.lit("contained").alias("kind"))
-    keyed = examples.select("example_id", F.sha2("text", 256).alias("_key"))
-    hits = (inside.unionByName(around).join(distinct.select("key", "copies"), "key").join(keyed, "example_id"))
-    kind = F.when(F.col("key") == F.col("_key"), "equal").otherwise(F.col("kind"))
-    # An equal text is found from both sides; it counts once.
-    counted = hits.select("example_id", "copies", kind.alias("kind"), F.col("kind").alias("side"))
-    totals = counted.groupBy("example_id").agg(*[
-        F.sum(F.when((F.col("kind") == k) & (F.col("side") == side), F.col("copies")).otherwise(0)).alias(f"n_{k}")
-        for k, side in (("equal", "containing"), ("containing", "containing"), ("contained", "contained"))])
-    return examples.select("example_id").join(totals, "example_id", "left").select(
+    theirs = sentences.where(F.col("text").isNotNull())
+    inside = containing(examples.select(F.col("example_id").alias("needle_id"), "text"),
+                        theirs.select(F.col("sentence_id").alias("hay_id"), "text"), small_rows)
+    inside = inside.groupBy(F.col("needle_id").alias("example_id")).agg(
+        F.count_if("equal").alias("n_equal"), F.count_if(~F.col("equal")).alias("n_containing"))
+    around = containing(theirs.select(F.col("sentence_id").alias("needle_id"), "text"),
+                        examples.select(F.col("example_id").alias("hay_id"), "text"), small_rows)
+    around = around.where(~F.col("equal")).groupBy(F.col("hay_id").alias("example_id")).agg(F.count("*").alias("n_contained"))
+    return examples.select("example_id").join(inside, "example_id", "left").join(around, "example_id", "left").select(
         "example_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_equal", "n_containing", "n_contained")])
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlens.fixed_values import (
     GENDERED_PRONOUNS, LOW_GRAMMATICALITY, MULTI_SENTENCE_TOKENS, PRE_GENDERED_WINDOW)
-from pairlens.functions.columns import bind, is_true, present, string_array
+from pairlens.functions.columns import bind, is_true, present, settle, string_array
 from pairlens.functions.text import BOUNDARY, tokens, words
 
 
@@ -50,7 +50,7 @@ def quality_flags(corpus: DataFrame, pronouns=GENDERED_PRONOUNS, threshold: int
     if "grammaticality_score" not in corpus.columns:
         corpus = corpus.withColumn("grammaticality_score", F.lit(None).cast("int"))
     sentence, score = F.col("EN_source_sentence"), F.col("grammaticality_score")
-    flagged = corpus.withColumns({
+    flagged = settle(corpus, {
         "flag_multi_sentence": multi_sentence(sentence),
         "flag_pre_gendered": pre_gendered(sentence, F.col("referent"), pronouns),
         "flag_low_grammaticality": low_grammaticality(score, threshold)})
@@ -70,7 +70,7 @@ def prefilter(corpus: DataFrame, pronouns=GENDERED_PRONOUNS, threshold: int = LO
         corpus = corpus.withColumn("grammaticality_score", F.lit(None).cast("int"))
     sentence = F.col("EN_source_sentence")
     multi, gendered, low = (F.col(f"filter_{k}") for k in ("multi_sentence", "pre_gendered", "low_grammaticality"))
-    return corpus.withColumns({
+    return settle(corpus, {
         "filter_multi_sentence": multi_sentence(sentence),
         "filter_pre_gendered": pre_gendered(sentence, F.col("referent"), pronouns),
         "filter_low_grammaticality": low_grammaticality(F.col("grammaticality_score"), threshold),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.fixed_values import CANNED_CONFIDENCE, LABELS, VARIANTS
-from pairlens.functions.columns import ratio
+from pairlens.functions.columns import ratio, settle
 from pairlens.functions.jsontext import integer_field, last_object, string_field
 from pairlens.functions.text import strip
 from pairlens.operators.requests import closed_target, json_members, json_text, message, open_target
@@ -60,8 +60,8 @@ def taught_rows(predictions: DataFrame) -> DataFrame:
 
     Outcomes: ``parse_error``, ``not_found``, ``overridden`` and ``kept``; the first two have no record.
     """
-    rows = predictions.withColumn("_refs", taught_referents(F.col("raw_response")))
-    rows = rows.withColumn("_at", matching_entry(F.col("_refs"), F.col("referent"), lambda e: e["referent"]))
+    rows = settle(predictions, {"_refs": taught_referents(F.col("raw_response"))})
+    rows = settle(rows, {"_at": matching_entry(F.col("_refs"), F.col("referent"), lambda e: e["referent"])})
     rows = rows.withColumn("_said", F.when(F.col("_at").isNotNull(), F.try_element_at(
         F.col("_refs"), F.col("_at").cast("int"))["gender"]))
     empty = F.col("_refs").isNull() | (F.size("_refs") == 0)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pairlens.fixed_values import (
     APPOSITIVE_WARNING_SHARE, EDIT_SOFT_LIMIT, NOT_FOUND, OK_RATINGS, PARSE_ERROR, RATINGS, RUBRIC_COLUMNS,
     SAMPLE_RUBRIC, STRATA_NAMES, STRATA_TOTAL)
-from pairlens.functions.columns import bind, is_true, ratio
+from pairlens.functions.columns import is_true, ratio, settle
 from pairlens.functions.text import strip, word_distance
 from pairlens.operators.reshape import strategy_display
 from pairlens.operators.validation import has_great, normal_rating
@@ -31,14 +31,15 @@ def generation_metrics(corpus: DataFrame) -> DataFrame:
     def unless_error(value: Column) -> Column:
         return F.when(~error, value)
 
-    return corpus.select(
-        "row_id", "referent",
-        unless_error(F.coalesce(F.col("disambiguation_strategy"), F.lit("unknown"))).alias("strategy"),
-        unless_error(word_distance(source, masc, ignore_case=True)).alias("masc_edit_dist"),
-        unless_error(word_distance(source, fem, ignore_case=True)).alias("fem_edit_dist"),
-        unless_error(strip(masc) == strip(source)).alias("masc_equals_original"),
-        unless_error(strip(fem) == strip(source)).alias("fem_equals_original"),
-        unless_error(strip(masc) == strip(fem)).alias("masc_equals_fem"), error.alias("error"))
+    measured = settle(corpus, {
+        "strategy": unless_error(F.coalesce(F.col("disambiguation_strategy"), F.lit("unknown"))),
+        "masc_edit_dist": unless_error(word_distance(source, masc, ignore_case=True)),
+        "fem_edit_dist": unless_error(word_distance(source, fem, ignore_case=True)),
+        "masc_equals_original": unless_error(strip(masc) == strip(source)),
+        "fem_equals_original": unless_error(strip(fem) == strip(source)),
+        "masc_equals_fem": unless_error(strip(masc) == strip(fem)), "error": error})
+    return measured.select("row_id", "referent", "strategy", "masc_edit_dist", "fem_edit_dist", "masc_equals_original",
+                           "fem_equals_original", "masc_equals_fem", "error")
 
 
 def generation_report(metrics: DataFrame, limit: int = EDIT_SOFT_LIMIT) -> DataFrame:

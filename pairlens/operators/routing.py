@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlens.fixed_values import (
     FIRST_PERSON_DISTANCE, FIRST_PERSON_MARKERS, FORBIDDEN_SWAP_PAIRS, NEUTRAL_PRONOUN_WINDOW,
     NEUTRAL_PRONOUNS, SECOND_PERSON, VOCATIVE_OPENERS)
-from pairlens.functions.columns import bind, is_true, present, string_array
+from pairlens.functions.columns import bind, is_true, present, settle, string_array
 from pairlens.functions.text import EDGE, SPACE, pattern, quoted, strip, words
 
 
@@ -90,12 +90,12 @@ def route(corpus: DataFrame, lexicon: DataFrame, forbidden=FORBIDDEN_SWAP_PAIRS,
     blocked = F.col("_blocked")
     rows = attach_pair(corpus, lexicon, "_pair_found").withColumn("_blocked", is_forbidden(pair, forbidden))
     swap = pair.isNotNull() & ~blocked
-    rows = rows.withColumn("_case", F.when(swap, "pair").when(is_addressee(sentence, ref), "addressee")
-                           .otherwise("other"))
-    rows = rows.withColumn("_pronouns", F.when(F.col("_case") == "other", neutral_pronouns(sentence, ref, pronouns)))
-    rows = rows.withColumn(
-        "_case", F.when(F.col("_case") != "other", F.col("_case")).when(F.size("_pronouns") > 0, "pronoun")
-        .when(is_first_person(sentence, ref, markers), "speaker").otherwise("none"))
+    rows = settle(rows, {"_case": F.when(swap, "pair").when(is_addressee(sentence, ref), "addressee")
+                         .otherwise("other")})
+    rows = settle(rows, {"_pronouns": F.when(F.col("_case") == "other", neutral_pronouns(sentence, ref, pronouns))})
+    rows = settle(rows, {"_case": F.when(F.col("_case") != "other", F.col("_case"))
+                         .when(F.size("_pronouns") > 0, "pronoun")
+                         .when(is_first_person(sentence, ref, markers), "speaker").otherwise("none")})
     case = F.col("_case")
     strategy = (F.when(case == "pair", "referent_swap").when(case == "addressee", "sir_maam")
                 .when(case.isin("pronoun", "speaker"), "pronoun_swap"))

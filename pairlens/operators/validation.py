@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlens.fixed_values import (
     ACCEPT_THRESHOLD, EDIT_HARD_LIMIT, EDIT_SOFT_LIMIT, RATINGS, RUBRIC_COLUMNS, UNRATED)
-from pairlens.functions.columns import bind, is_true
+from pairlens.functions.columns import bind, is_true, settle
 from pairlens.functions.text import (
     contraction_drift, mentions, person_suffix_after, sentence_boundaries, stands_without_suffix, strip,
     word_distance)
@@ -114,7 +114,7 @@ def messages(results: Column) -> Column:
 
 def validate(corpus: DataFrame) -> DataFrame:
     """Add ``checks``, ``passed`` and ``messages``."""
-    checked = _with_strategy_columns(corpus).withColumn("checks", check_results())
+    checked = settle(_with_strategy_columns(corpus), {"checks": check_results()})
     checked = checked.withColumns({"passed": all_passed(F.col("checks")), "messages": messages(F.col("checks"))})
     return checked.select(*corpus.columns, "checks", "passed", "messages")
 
@@ -141,7 +141,7 @@ def symbolic_override(corpus: DataFrame) -> DataFrame:
         if name not in base.columns:
             base = base.withColumn(name, F.lit(None).cast(kind))
     accepted = is_true(F.col("accepted"))
-    checked = base.withColumn("_checks", F.when(accepted, check_results()))
+    checked = settle(base, {"_checks": F.when(accepted, check_results())})
     checked = checked.withColumns({
         "_passed": all_passed(F.col("_checks")), "_messages": messages(F.col("_checks"))})
     failed = accepted & ~F.col("_passed")

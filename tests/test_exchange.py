@@ -162,9 +162,13 @@ def test_containing_against_brute_force(spark):
     needles += ["", " ", hay[0]]
     n = spark.createDataFrame(list(enumerate(needles)), "needle_id int, text string")
     h = spark.createDataFrame(list(enumerate(hay)), "hay_id int, text string")
-    got = {(r["needle_id"], r["hay_id"]) for r in J.containing(n, h).collect()}
-    want = {(i, j) for i, x in enumerate(needles) for j, y in enumerate(hay) if x.strip() and x in y}
-    assert got == want
+    want = sorted((i, j, x == y) for i, x in enumerate(needles) for j, y in enumerate(hay) if x.strip() and x in y)
+    for small_rows, few in ((1000, None), (70, "needles"), (10, None)):
+        # A haystack that fits, needles that fit, and neither.
+        hay_rows = h if few is None else h.unionByName(spark.range(1000, 1100).selectExpr("int(id) hay_id", "'zz' text"))
+        own = n if few is None else n.where("needle_id % 2 = 0")
+        got = sorted(tuple(r) for r in J.containing(own, hay_rows, small_rows).collect())
+        assert got == ([w for w in want if w[0] % 2 == 0] if few else want)
 
 
 def test_overlap_counts_copies_once_per_kind(spark):
