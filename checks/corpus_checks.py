@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks.check import Check
 from checks.tables import SQL_CORPUS, SQL_LONG, corpus, table
 from pairlens.fixed_values import FEMALE_FIRST_NAMES, KIN_PAIRS, MALE_FIRST_NAMES, SURNAMES
+from pairlens.functions.columns import settle
 from pairlens.operators import assignment as A
 from pairlens.operators import quality as Q
 from pairlens.operators import reshape as G
@@ -67,8 +68,8 @@ def lexicon_lines(spark, sf_dir):
     line = F.concat(F.lit("| "), word(1), F.lit(" / "), word(2), F.lit(" | "), word(3), F.lit(" | "),
                     word(4), F.lit(", "), word(5), F.lit(" / "), word(6), F.lit(" |"))
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return (docs.select("doc_id", w.alias("w"))
-            .select(F.col("doc_id").alias("line_no"), line.alias("line")))
+    worded = settle(docs, {"w": w}).select(F.col("doc_id").alias("line_no"), "w")
+    return settle(worded, {"line": line}).drop("w")
 
 
 SQL_LEXICON = """

@@ -16,6 +16,7 @@ from pairlens.operators import requests as R
 from pairlens.operators import responses as H
 from pairlens.operators.reshape import to_long
 from pairlens.session import new_state_path
+from pairlens.sources.readers import spread
 from pairlens.streaming import intake
 
 PROMPT = "You label the REFERENT of a sentence."
@@ -350,7 +351,7 @@ bad AS (SELECT DISTINCT row_id FROM sentences WHERE NOT is_test AND s <> '' AND
 
 def containment_leak(spark, sf_dir):
     examples = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("example_id"), "text")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sentence_id"), "text")
+    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sentence_id"), "text"), "sentence_id")
     return J.example_overlap(examples, docs)
 
 

@@ -137,6 +137,12 @@ def condition_table(spark: SparkSession, prompts: dict[str, str], examples: dict
         rows, "condition string, is_open boolean, system_prompt string, examples array<string>")
 
 
+def condition_examples(conditions: DataFrame, condition: str) -> DataFrame:
+    """The example sentences of a condition, for the overlap check: example_id, text."""
+    return conditions.where(F.col("condition") == condition).select(
+        F.posexplode("examples").alias("example_id", "text"))
+
+
 def condition_requests(long: DataFrame, conditions: DataFrame, model: str) -> DataFrame:
     """Requests of every condition in one table, keyed by condition; prompts stay in the dimension.
 

@@ -121,6 +121,8 @@ def test_demo_messages_are_valid_json(spark):
 def test_unknown_condition_is_refused(spark):
     with pytest.raises(ValueError):
         R.condition_table(spark, {"zero": "x"})
+    known = R.condition_table(spark, {"few_shot": "p"}, {"few_shot": ["a cook ate", "a spy slept"]})
+    assert [r["text"] for r in R.condition_examples(known, "few_shot").orderBy("example_id").collect()] == ["a cook ate", "a spy slept"]
 
 
 def test_records_skip_blank_and_never_fall_back(wide, tmp_path, spark):
@@ -222,12 +224,6 @@ def test_runs_are_stacked_and_missing_ones_skipped(spark, wide, tmp_path):
         readers.read_runs(spark, {("b", "zero_shot"): str(tmp_path / "none.parquet")})
 
 
-def test_row_ids_do_not_depend_on_splits(spark):
-    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 2)], "t string, n int")
-    ids = sorted(r["row_id"] for r in readers.with_row_id(df, ["t", "n"]).collect())
-    assert ids == sorted(r["row_id"] for r in readers.with_row_id(df.repartition(3), ["t", "n"]).collect()) and len(set(ids)) == 3
-
-
 def test_stream_intake_dedupes_labels_and_resumes(spark, tmp_path):
     examples = spark.createDataFrame([(f"c{i}", "x", "masculine") for i in range(3)], "custom_id string, referent string, expected_label string")
     landing = tmp_path / "in"
