@@ -16,11 +16,14 @@ SETTINGS = {
 }
 
 
-def local_session(name: str, cpus: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session on this machine, for tests, checks and the benchmark."""
+def local_session(name: str, cpus: int | str = "*", partitions: int = 8, memory: str = "8g",
+                  folder: str | None = None) -> SparkSession:
+    """A session on this machine, for tests, checks and the benchmark; ``folder`` keeps its state."""
     builder = (SparkSession.builder.master(f"local[{cpus}]").appName(name)
                .config("spark.ui.enabled", "false").config("spark.driver.memory", memory)
                .config("spark.sql.shuffle.partitions", str(partitions)))
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -37,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="pairlens-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
