@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import quality_llr, sharding, token_rollup
+from pairlens.llm import decontamination, licenses, packing, pii, quality_llr, rans, sharding, token_rollup
 from pairlens.session import new_state_path
 
 
@@ -12,6 +13,29 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_spans(_table(spark, sf_dir, "documents"))
+
+
+def op2_rare_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, sf_dir, "documents")).drop("places")
+
+
+def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
+
+
+def op5_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rans.document_token_digest(
+        _table(spark, sf_dir, "documents"), new_state_path(spark, "tokens"),
+        public_tokenizers.path("word_bpe_49k.json"), byte_level=False, end_id=1)
+
+
+def op6_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.document_rollup(_table(spark, sf_dir, "documents"), new_state_path(spark, "rollup"))
 
@@ -24,5 +48,7 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op7_token_rollup, op9_hypergeometric_shards, op10_quality_llr)}
+QUERIES = {f.__name__: f for f in (
+    op1_weak_supervision, op2_rare_token_index, op3_window_packing, op5_rans_files, op6_spaced_seeds, op7_token_rollup,
+    op9_hypergeometric_shards, op10_quality_llr)}
 SQL = {"op7_token_rollup": token_rollup.ROLLUP_SQL}
