@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import decontamination, licenses, packing, pii, quality_llr, rans, sharding, token_rollup
+from pairlens.llm import decontamination, jaccard_join, licenses, packing, pii, quality_llr, rans, sharding, token_rollup
 from pairlens.session import new_state_path
 
 
@@ -40,6 +40,10 @@ def op7_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_rollup.document_rollup(_table(spark, sf_dir, "documents"), new_state_path(spark, "rollup"))
 
 
+def op8_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.document_shards(_table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_weak_supervision, op2_rare_token_index, op3_window_packing, op5_rans_files, op6_spaced_seeds, op7_token_rollup,
-    op9_hypergeometric_shards, op10_quality_llr)}
+    op8_vertical_jaccard, op9_hypergeometric_shards, op10_quality_llr)}
 SQL = {"op7_token_rollup": token_rollup.ROLLUP_SQL}
