@@ -92,43 +92,69 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) ->
     have no words. Items of fewer than ``MIN_WORDS`` words leak nothing; items of equal texts are each named. Repeated
     document rows give a row each. Other columns are ignored; an empty side gives no rows.
     """
-    spark = docs.sparkSession
+    docs, found = docs.select(F.col("doc_id").cast("bigint"), "text"), None
+    for shared in _index_blocks(benchmark, max_seeds):
+        part = docs.mapInArrow(_finder(shared), LEAKS)
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _index_blocks(benchmark: DataFrame, max_seeds: int) -> Iterator:
+    """Broadcast seed indexes that together hold all items, each of about ``max_seeds`` seeds at most."""
     items = benchmark.select(F.col("item_id").cast("bigint"), F.coalesce("text", F.lit("")).alias("text"))
-    bound = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a seed takes a word, and a word two bytes at least
-    blocks = max(1, -(-len(MASKS) * int(bound) // (2 * max_seeds)))
-    found = None
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0  # a word and its separator take two bytes at least
+    blocks = max(1, -(-len(MASKS) * int(size) // (2 * max_seeds)))
     for block in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
-        index = SeedIndex(sorted(((r["item_id"], r["text"].encode().lower()) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
-        part = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_finder(spark.sparkContext.broadcast(index)), LEAKS)
-        found = part if found is None else found.unionByName(part)
-    return found
+        ordered = sorted(((r["item_id"], r["text"].encode().lower()) for r in rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield benchmark.sparkSession.sparkContext.broadcast(SeedIndex(ordered))
+
+
+def leak_free(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
+    """The rows of ``docs``, all columns, that leak no item. Rows are judged where they are, without a shuffle."""
+    for shared in _index_blocks(benchmark, max_seeds):
+        docs = docs.where(F.pandas_udf(_clean(shared), "boolean", F.PandasUDFType.SCALAR)(F.col("text")))
+    return docs
+
+
+def _clean(shared):
+    import pandas as pd
+
+    def run(texts: pd.Series) -> pd.Series:
+        raw = [(t or "").encode().lower() for t in texts]
+        dirty = {d for d, *_ in _found(shared.value, raw)}
+        return pd.Series([d not in dirty for d in range(len(raw))], dtype=bool)
+
+    return run
+
+
+def _found(index: SeedIndex, texts: list[bytes]) -> Iterator[tuple[int, int, int, int, int, int, int]]:
+    """(text, item, first word in the text, first word in the item, words, equal words, seeds) of each leak."""
+    for a, b in chunks(texts):
+        codes, begin = word_codes(texts[a:b], LETTER_TABLE)
+        at, item, item_at = index.hits(codes)
+        doc = np.searchsorted(begin, at, "right") - 1
+        if not len(at):
+            continue
+        rows, count = np.unique(np.stack([doc, item, at - begin[doc] - item_at], axis=1), axis=0, return_counts=True)
+        best: dict[tuple[int, int], tuple] = {}
+        for (d, i, shift), n in zip(rows.tolist(), count.tolist(), strict=True):
+            got = compare(codes[begin[d]:begin[d + 1]], index.words[i], shift)
+            if got and got[0] > best.get((d, i), (-1,))[0]:
+                best[d, i] = (got[0], shift + got[2], got[2], got[1], n)
+        for (d, i), (equal, first, item_first, need, n) in best.items():
+            yield a + d, index.ids[i], first, item_first, need, equal, n
 
 
 def _finder(shared):
     def find(batches) -> Iterator:
         import pyarrow as pa
 
-        index: SeedIndex = shared.value
         names = [c.split()[0] for c in LEAKS.split(", ")]
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
             texts = [(t.as_py() or "").encode().lower() for t in batch.column("text")]
-            out = []
-            for a, b in chunks(texts):
-                codes, begin = word_codes(texts[a:b], LETTER_TABLE)
-                at, item, item_at = index.hits(codes)
-                doc = np.searchsorted(begin, at, "right") - 1
-                if not len(at):
-                    continue
-                rows, count = np.unique(np.stack([doc, item, at - begin[doc] - item_at], axis=1), axis=0, return_counts=True)
-                best: dict[tuple[int, int], tuple] = {}
-                for (d, i, shift), n in zip(rows.tolist(), count.tolist(), strict=True):
-                    got = compare(codes[begin[d]:begin[d + 1]], index.words[i], shift)
-                    if got and got[0] > best.get((d, i), (-1,))[0]:
-                        best[d, i] = (got[0], shift + got[2], got[2], got[1], n)
-                out += [(doc_ids[a + d], index.ids[i], at, item_at, need, equal, n)
-                        for (d, i), (equal, at, item_at, need, n) in best.items()]
+            out = [(doc_ids[d], *rest) for d, *rest in _found(shared.value, texts)]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names)
 

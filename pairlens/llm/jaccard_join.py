@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.components import connected_components
+from pairlens.llm.postings import BLOB, cut, joined, owner_bytes, record_batch
 from pairlens.llm.textcodes import chunks, mix, sequence_code, window_codes, word_codes
 from pairlens.session import new_state_path
 
@@ -55,28 +56,6 @@ def fingerprint(codes: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in mix(a + np.uint64(len(codes))).view(np.int64))
 
 
-def _fragment_of(codes: np.ndarray, fragments: int) -> np.ndarray:
-    return (((codes >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)).astype(np.int64)
-
-
-def _rows(columns: dict):
-    import pyarrow as pa
-
-    kinds = {"fragment": pa.int32(), "block": pa.int32()}
-    return pa.RecordBatch.from_arrays(
-        [pa.array(v, kinds.get(k, pa.binary() if v and isinstance(v[0], bytes) else pa.int64())) for k, v in columns.items()], list(columns))
-
-
-def _cut(codes: np.ndarray, owner: np.ndarray, fragments: int, first: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(fragment, codes, owners) of the fragments below ``first``."""
-    part = _fragment_of(codes, fragments)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(first + 1))
-    for k in np.flatnonzero(np.diff(edges)):
-        at = order[edges[k]:edges[k + 1]]
-        yield int(k), codes[at], owner[at]
-
-
 def _members(batches) -> Iterator:
     """doc_id, n and fingerprint of each text."""
     for batch in batches:
@@ -84,7 +63,7 @@ def _members(batches) -> Iterator:
         for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True):
             a, b = fingerprint(s)
             ids.append(doc), n.append(len(s)), one.append(a), two.append(b)
-        yield _rows({"doc_id": ids, "n": n, "f1": one, "f2": two})
+        yield record_batch({"doc_id": ids, "n": n, "f1": one, "f2": two})
 
 
 CLASS = np.dtype([("f1", "<i8"), ("f2", "<i8"), ("n", "<u4")])
@@ -106,37 +85,24 @@ def _head_postings(fragments: int, first: int):
             classes = np.array([(*f, n) for f, n in seen.items()], dtype=CLASS)
             owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
             out = {"fragment": [], "classes": [], "owners": [], "codes": []}
-            for k, codes, own in _cut(np.concatenate(sets), owner, fragments, first):
+            for k, codes, own in cut(np.concatenate(sets), owner, fragments, first):
                 used, local = np.unique(own, return_inverse=True)
                 out["fragment"].append(k)
                 out["classes"].append(classes[used].tobytes())
-                out["owners"].append(local.astype("<u4" if len(used) > 65535 else "<u2").tobytes())
+                out["owners"].append(owner_bytes(local, len(used)))
                 out["codes"].append(codes.astype("<u4").tobytes())  # the low half
             if out["fragment"]:
-                yield _rows(out)
+                yield record_batch(out)
 
     return run
 
 
-def _joined(table, kind: np.dtype, code: str, *keys: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct owners of a fragment's rows, and of each posting the owner and the code."""
-    owners, local, codes, base = [], [], [], 0
-    for a, b, c in zip(*(table.column(x).to_pylist() for x in ("classes", "owners", "codes")), strict=True):
-        found, values = np.frombuffer(a, dtype=kind), np.frombuffer(c, dtype=code)
-        local.append(np.frombuffer(b, dtype="<u2" if len(b) == 2 * len(values) else "<u4").astype(np.int64) + base)
-        owners.append(found)
-        codes.append(values)
-        base += len(found)
-    distinct, index = np.unique(np.concatenate(owners), return_inverse=True)
-    return distinct, index[np.concatenate(local)], np.concatenate(codes)
-
-
 def _alone(buckets: int):
     """Of each class, the shingles of this fragment that no other class has."""
     def run(table):
         import pyarrow as pa
 
-        classes, owner, codes = _joined(table, CLASS, "<u4")
+        classes, owner, codes = joined(table, CLASS, "<u4")
         order = np.lexsort((owner, codes))
         c, o = codes[order], owner[order]
         first = np.concatenate([[True], (c[1:] != c[:-1]) | (o[1:] != o[:-1])])  # a class comes once per batch that has it
@@ -150,7 +116,7 @@ def _alone(buckets: int):
             at = np.flatnonzero((bucket == b) & (count > 0))
             if len(at):
                 out["block"].append(int(b)), out["classes"].append(classes[at].tobytes()), out["owners"].append(count[at].astype("<u4").tobytes())
-        return pa.Table.from_batches([_rows(out)]) if out["block"] else pa.table(
+        return pa.Table.from_batches([record_batch(out)]) if out["block"] else pa.table(
             {"block": pa.array([], pa.int32()), "classes": pa.array([], pa.binary()), "owners": pa.array([], pa.binary())})
 
     return run
@@ -179,7 +145,7 @@ def _set_rows(batches) -> Iterator:
             if fingerprint(s) == (a, b):
                 out["id"].append(rep), out["n"].append(len(s)), out["m"].append(m), out["codes"].append(s.astype("<u8").tobytes())
         if out["id"]:
-            yield _rows(out)
+            yield record_batch(out)
 
 
 def _pair_postings(fragments: int):
@@ -191,13 +157,13 @@ def _pair_postings(fragments: int):
             reps = np.array(list(zip(*(batch.column(c).to_pylist() for c in ("id", "n", "m")), strict=True)), dtype=REP)
             owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
             out = {"fragment": [], "classes": [], "owners": [], "codes": []}
-            for k, codes, own in _cut(np.concatenate(sets), owner, fragments, fragments):
+            for k, codes, own in cut(np.concatenate(sets), owner, fragments, fragments):
                 used, local = np.unique(own, return_inverse=True)
                 out["fragment"].append(k)
                 out["classes"].append(reps[used].tobytes())
-                out["owners"].append(local.astype("<u4" if len(used) > 65535 else "<u2").tobytes())
+                out["owners"].append(owner_bytes(local, len(used)))
                 out["codes"].append(codes.astype("<u8").tobytes())
-            yield _rows(out)
+            yield record_batch(out)
 
     return run
 
@@ -272,7 +238,7 @@ def _partial_overlaps(blocks: int, percent: int):
     def run(table):
         import pyarrow as pa
 
-        reps, owner, codes = _joined(table, REP, "<u8")
+        reps, owner, codes = joined(table, REP, "<u8")
         x, y, count = count_pairs(owner, codes, reps["n"].astype(np.int64), percent)
         side = (mix(reps["id"].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
         low, high = np.minimum(side[x], side[y]), np.maximum(side[x], side[y])
@@ -287,7 +253,7 @@ def _partial_overlaps(blocks: int, percent: int):
             out["classes"].append(reps[used].tobytes())
             out["owners"].append(local.astype("<u4").tobytes())
             out["codes"].append(count[at].astype("<u4").tobytes())
-        return pa.Table.from_batches([_rows(out)]) if out["block"] else pa.table(
+        return pa.Table.from_batches([record_batch(out)]) if out["block"] else pa.table(
             {"block": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("classes", "owners", "codes")}})
 
     return run
@@ -350,8 +316,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     first = max(1, -(-int(total * HEAD) // HEAD_POSTINGS))
-    blob = "classes binary, owners binary, codes binary"
-    gone = (docs.select("text").mapInArrow(_head_postings(round(first / HEAD), first), f"fragment int, {blob}")
+    gone = (docs.select("text").mapInArrow(_head_postings(round(first / HEAD), first), f"fragment int, {BLOB}")
             .groupBy("fragment").applyInArrow(_alone(partitions), "block int, classes binary, owners binary")
             .groupBy("block").applyInArrow(_hopeless(percent), "f1 bigint, f2 bigint"))
     left = classes.join(gone, ["f1", "f2"], "left_anti")
@@ -361,8 +326,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     fragments = max(1, -(-int(sets.agg(F.sum("n")).first()[0] or 0) // PAIR_POSTINGS))
 
     blocks = int(np.ceil(np.sqrt(2 * partitions)))
-    (sets.mapInArrow(_pair_postings(fragments), f"fragment int, {blob}")
-     .groupBy("fragment").applyInArrow(_partial_overlaps(blocks, percent), f"block int, {blob}")
+    (sets.mapInArrow(_pair_postings(fragments), f"fragment int, {BLOB}")
+     .groupBy("fragment").applyInArrow(_partial_overlaps(blocks, percent), f"block int, {BLOB}")
      .groupBy("block").applyInArrow(_links(percent), "a bigint, b bigint, links bigint")
      .write.parquet(f"{folder}/links"))
     links = spark.read.parquet(f"{folder}/links")

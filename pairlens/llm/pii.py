@@ -305,7 +305,7 @@ def redacted(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans become one, under the
     first one's kind. Null texts stay null, and all other columns stay as they are."""
     model = model or train(docs)
-    return docs.withColumn("text", F.pandas_udf(_redactor(model), "string")(F.col("text")))
+    return docs.withColumn("text", F.pandas_udf(_redactor(model), "string", F.PandasUDFType.SCALAR)(F.col("text")))
 
 
 def redact(text: str | None, takes) -> str | None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import decontamination, jaccard_join, licenses, packing, pii, quality_llr, rans, sharding, token_rollup
+from pairlens.llm import debruijn, decontamination, jaccard_join, licenses, packing, pii, quality_llr, rans, sharding, token_rollup
 from pairlens.session import new_state_path
 
 
@@ -26,6 +26,10 @@ def op3_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         _table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False).drop("ids")
 
 
+def op4_debruijn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.without_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_rans_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.document_token_digest(
         _table(spark, sf_dir, "documents"), new_state_path(spark, "tokens"),
@@ -53,6 +57,6 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_weak_supervision, op2_rare_token_index, op3_window_packing, op5_rans_files, op6_spaced_seeds, op7_token_rollup,
+    op1_weak_supervision, op2_rare_token_index, op3_window_packing, op4_debruijn, op5_rans_files, op6_spaced_seeds, op7_token_rollup,
     op8_vertical_jaccard, op9_hypergeometric_shards, op10_quality_llr)}
 SQL = {"op7_token_rollup": token_rollup.ROLLUP_SQL}
