@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,13 +114,11 @@ def _index_blocks(benchmark: DataFrame, max_seeds: int) -> Iterator:
 def leak_free(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) -> DataFrame:
     """The rows of ``docs``, all columns, that leak no item. Rows are judged where they are, without a shuffle."""
     for shared in _index_blocks(benchmark, max_seeds):
-        docs = docs.where(F.pandas_udf(_clean(shared), "boolean", F.PandasUDFType.SCALAR)(F.col("text")))
+        docs = docs.where(F.pandas_udf(_clean(shared), "boolean")(F.col("text")))
     return docs
 
 
 def _clean(shared):
-    import pandas as pd
-
     def run(texts: pd.Series) -> pd.Series:
         raw = [(t or "").encode().lower() for t in texts]
         dirty = {d for d, *_ in _found(shared.value, raw)}

@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -305,7 +306,7 @@ def redacted(docs: DataFrame, model: SpanModel | None = None) -> DataFrame:
     """``docs`` with every span in ``text`` replaced by its kind in brackets; overlapping spans become one, under the
     first one's kind. Null texts stay null, and all other columns stay as they are."""
     model = model or train(docs)
-    return docs.withColumn("text", F.pandas_udf(_redactor(model), "string", F.PandasUDFType.SCALAR)(F.col("text")))
+    return docs.withColumn("text", F.pandas_udf(_redactor(model), "string")(F.col("text")))
 
 
 def redact(text: str | None, takes) -> str | None:
@@ -320,8 +321,6 @@ def redact(text: str | None, takes) -> str | None:
 
 
 def _redactor(model: SpanModel):
-    import pandas as pd
-
     def run(texts: pd.Series) -> pd.Series:
         takes = _Taker(model)
         return pd.Series([redact(t, takes) for t in texts], dtype=object)
