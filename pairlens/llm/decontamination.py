@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 
 from pairlens.llm.textcodes import LETTER_TABLE, chunks, mix, word_codes
 
-# Looked-at positions are 1. Three masks skip every third word, one takes six words running.
-MASKS = ("11011011011", "10110110110", "01101101101", "111111")
+# Looked-at positions are 1. Whatever words are replaced within MIN_SHARE, in a run of SPAN words or in a
+# whole item of MIN_WORDS words or more, one of these fits between them (a test tries all cases).
+MASKS = ("11011", "110011", "11101", "10111")
 SPAN = 13
 MIN_SHARE = 0.8
 MIN_WORDS = 6
