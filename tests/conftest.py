@@ -9,8 +9,8 @@ from pairlens.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("tests", 4, partitions=4, memory="6g")
+def spark(tmp_path_factory):
+    return local_session("tests", 4, partitions=4, memory="6g", folder=str(tmp_path_factory.mktemp("shared")))
 
 
 @pytest.fixture
