@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.check import Check
-from checks.tables import SQL_CORPUS, SQL_LONG, corpus, table
+from checks.tables import SQL_CORPUS, SQL_LONG, corpus, dealt, table
 from pairlens.fixed_values import FEMALE_FIRST_NAMES, KIN_PAIRS, MALE_FIRST_NAMES, SURNAMES
 from pairlens.functions.columns import settle
 from pairlens.operators import assignment as A
@@ -13,7 +13,7 @@ from pairlens.operators import quality as Q
 from pairlens.operators import reshape as G
 from pairlens.operators import routing as R
 from pairlens.operators import selection as B
-from pairlens.sources.readers import pair_lexicon, spread
+from pairlens.sources.readers import pair_lexicon
 
 # Frequent words of the four languages stand in for pronouns; the documents have no English ones.
 PRONOUNS = ("that", "was", "den", "les", "las", "with", "of")
@@ -61,20 +61,23 @@ def quality_counts(spark, sf_dir):
 # ---------------------------------------------------------------- lexicon and routing
 
 def lexicon_lines(spark, sf_dir):
-    """One markdown table row per document, from its first words; short documents give dashes."""
+    """One markdown table row per line of text, from its first words; short lines give dashes."""
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{2,}"), F.lit(0))
     def word(i):
         return F.coalesce(F.try_element_at("w", F.lit(i)), F.lit("-"))
     line = F.concat(F.lit("| "), word(1), F.lit(" / "), word(2), F.lit(" | "), word(3), F.lit(" | "),
                     word(4), F.lit(", "), word(5), F.lit(" / "), word(6), F.lit(" |"))
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    worded = settle(docs, {"w": w}).select(F.col("doc_id").alias("line_no"), "w")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    worded = settle(lines.select((F.col("doc_id") * 4294967296 + F.col("pos")).alias("line_no"), "text"), {"w": w}).select("line_no", "w")
     return settle(worded, {"line": line}).drop("w")
 
 
 SQL_LEXICON = """
-lexicon_words AS (SELECT doc_id, regexp_extract_all(lower(text), '\\p{L}{2,}') AS w FROM documents),
-lexicon_rows AS (SELECT doc_id AS line_no, coalesce(w[1], '-') AS m1, coalesce(w[2], '-') AS m2, coalesce(w[3], '-') AS f1,
+lexicon_texts AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos
+   FROM documents),
+lexicon_words AS (SELECT doc_id * 4294967296 + pos AS line_no, regexp_extract_all(lower(text), '\\p{L}{2,}') AS w FROM lexicon_texts),
+lexicon_rows AS (SELECT line_no, coalesce(w[1], '-') AS m1, coalesce(w[2], '-') AS m2, coalesce(w[3], '-') AS f1,
    coalesce(w[4], '-') AS n1, coalesce(w[5], '-') AS n2, coalesce(w[6], '-') AS n3 FROM lexicon_words),
 lexicon_forms AS (SELECT line_no, m1, f1, unnest([m1, m2, n1, n2, n3, f1]) AS form, unnest(range(6)) AS pos
    FROM lexicon_rows WHERE f1 <> '-'),
@@ -163,7 +166,7 @@ CHECKS = {
         with_corpus("""SELECT row_id, referent FROM corpus
             ORDER BY ('0x' || substr(md5('7|' || row_id), 1, 8))::BIGINT, row_id LIMIT 500""")),
     "exact_sample_large": Check(
-        lambda s, d: B.exact_sample(corpus(s, d).select("row_id", "referent"), 700, 11, top_n_limit=0),
+        lambda s, d: B.exact_sample(corpus(s, d).select("row_id", "referent"), 700, 11),
         with_corpus("""SELECT row_id, referent FROM corpus
             ORDER BY ('0x' || substr(md5('11|' || row_id), 1, 8))::BIGINT, row_id LIMIT 700""")),
     "first_examples": Check(

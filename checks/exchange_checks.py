@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.check import Check
 from checks.corpus_checks import SQL_LEXICON, SQL_ROUTING, SQL_TURNS, routed, with_corpus
 from checks.prediction_checks import CLOSED_M1, OPEN_M1, with_predictions
-from checks.tables import SQL_ANSWERS, SQL_LONG, answers, corpus, predictions, table
+from checks.tables import SQL_ANSWERS, SQL_LONG, answers, corpus, dealt, predictions, table
 from pairlens.fixed_values import CANNED_REASON, RUBRIC
 from pairlens.operators import assignment as A
 from pairlens.operators import leakage as J
@@ -16,7 +16,6 @@ from pairlens.operators import requests as R
 from pairlens.operators import responses as H
 from pairlens.operators.reshape import to_long
 from pairlens.session import new_state_path
-from pairlens.sources.readers import spread
 from pairlens.streaming import intake
 
 PROMPT = "You label the REFERENT of a sentence."
@@ -351,14 +350,14 @@ bad AS (SELECT DISTINCT row_id FROM sentences WHERE NOT is_test AND s <> '' AND
 
 def containment_leak(spark, sf_dir):
     examples = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("example_id"), "text")
-    docs = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sentence_id"), "text"), "sentence_id")
+    docs = dealt(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sentence_id"), "text"), "sentence_id")
     return J.example_overlap(examples, docs)
 
 
 def line_leak(spark, sf_dir):
     """Lines of the benchmark passages against the corpus lines, in both directions."""
     parts = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
-    examples = parts.select((F.col("item_id") * 1000 + F.col("pos")).alias("example_id"), F.trim("text").alias("text")).where("text <> ''")
+    examples = parts.select((F.col("item_id") * 4294967296 + F.col("pos")).alias("example_id"), F.trim("text").alias("text")).where("text <> ''")
     lines = corpus(spark, sf_dir).select(F.col("row_id").alias("sentence_id"), F.col("EN_source_sentence").alias("text"))
     return J.example_overlap(examples, lines)
 
@@ -373,19 +372,20 @@ def sql_overlap(examples: str, sentences: str) -> str:
 # ---------------------------------------------------------------- stream
 
 def response_stream(spark, sf_dir):
-    """Replies written as files, read as a stream, deduplicated, labelled and appended."""
+    """All replies, superseded, repeated, late and unknown ones too, written as files, read as a stream, labelled and
+    appended; the last reply of each known id is taken when the table is read."""
     preds = predictions(spark, sf_dir, CLOSED_M1)
     folder = new_state_path(spark, "intake")
-    rows = responses(preds).where(F.col("arrival") == 2)
-    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("custom_id"), F.lit(600)))
-    twice = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    twice.select("custom_id", "status", "text", at.alias("arrival")).write.json(f"{folder}/in")
+    rows = responses(preds)
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("custom_id"), F.lit(600)) + F.col("arrival") * 86_400)
+    copies = F.array(F.col("custom_id"), F.col("custom_id"), F.concat("custom_id", F.lit("_gone")))
+    rows.select(F.explode(copies).alias("custom_id"), "status", "text", at.alias("arrival")).write.json(f"{folder}/in")
     key = F.concat(F.lit("cls_"), F.col("row_id").cast("string"), F.lit("_"), F.col("variant"))
     examples = preds.select(key.alias("custom_id"), "row_id", "variant", "referent", "expected_label")
-    stream = intake.labelled(intake.first_responses(intake.read_responses(spark, f"{folder}/in")), examples, open_task=False)
-    intake.append(stream.select("row_id", "variant", "predicted_label", "confidence", "correct"),
+    stream = intake.labelled(intake.read_responses(spark, f"{folder}/in"), examples, open_task=False)
+    intake.append(stream.select("custom_id", "arrival", "known", "row_id", "variant", "predicted_label", "confidence", "correct"),
                   f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    return intake.settled(spark.read.parquet(f"{folder}/out")).select("row_id", "variant", "predicted_label", "confidence", "correct")
 
 
 LONG_REQUEST = "'cls_' || row_id || '_' || variant"
@@ -484,7 +484,7 @@ CHECKS = {
     "containment_leak": Check(containment_leak, sql_overlap(
         "SELECT item_id AS example_id, text FROM benchmark", "SELECT text FROM documents")),
     "line_overlap": Check(line_leak, with_corpus(sql_overlap(
-        """SELECT item_id * 1000 + pos AS example_id, trim(raw) AS text FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS raw,
+        """SELECT item_id * 4294967296 + pos AS example_id, trim(raw) AS text FROM (SELECT item_id, unnest(string_split(text, chr(10))) AS raw,
            generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM benchmark) WHERE trim(raw) <> ''""",
         "SELECT EN_source_sentence AS text FROM corpus"))),
     "response_stream": Check(response_stream, with_predictions(

@@ -321,7 +321,7 @@ CHECKS = {
         lambda s, d: X.missing_referents(predictions(s, d, OPEN_M1)),
         with_predictions("""SELECT row_id, variant, sentence, referent FROM (SELECT *, row_number() OVER (
             PARTITION BY row_id ORDER BY n, variant) AS rn FROM (SELECT row_id, variant, sentence, referent, length(sentence) AS n
-            FROM predictions WHERE predicted_label = 'not_found' ORDER BY n, row_id, variant LIMIT 50)) WHERE rn = 1
+            FROM predictions WHERE predicted_label = 'not_found')) WHERE rn = 1
             ORDER BY n, row_id LIMIT 2""", OPEN_M1)),
     "flips": Check(
         lambda s, d: X.flips(*[split(predictions(s, d, CLOSED_M1_THINK), t) for t in (False, True)], strategies(s, d), FLIPPED),
@@ -338,13 +338,13 @@ CHECKS = {
             contains(lower(coalesce(b.text, '')), 'neutral') OR contains(lower(coalesce(b.text, '')), 'no gendered') AS neutral
             FROM labelled_answers a JOIN labelled_answers b USING (row_id, variant) WHERE NOT a.thinking AND b.thinking
             AND a.variant = 'feminine' AND a.correct AND NOT b.correct AND b.predicted_label = 'ambiguous'
-            ORDER BY n, row_id LIMIT 20) ORDER BY neutral DESC, n, row_id LIMIT 2""", OPEN_M1_THINK, SQL_ANSWERS,
+            ) ORDER BY neutral DESC, n, row_id LIMIT 2""", OPEN_M1_THINK, SQL_ANSWERS,
                          """labelled_answers AS (SELECT a.*, p.predicted_label, p.correct FROM answers a
             JOIN predictions p USING (row_id, variant, model, condition, thinking))""")),
     "marked_reply": Check(
         lambda s, d: X.marked_reply(with_replies(s, d, CLOSED_M1), "thought").select("row_id", "variant", "referent", "raw_response", "marked"),
-        with_predictions("""SELECT row_id, variant, referent, text AS raw_response, contains(lower(left(coalesce(text, ''), 30)), 'thought') AS marked
-            FROM (SELECT * FROM answers WHERE variant = 'source' ORDER BY row_id LIMIT 20) ORDER BY marked DESC, row_id LIMIT 1""",
+        with_predictions("""SELECT row_id, variant, referent, text AS raw_response, contains(lower(coalesce(text, '')), 'thought') AS marked
+            FROM answers WHERE variant = 'source' ORDER BY marked DESC, row_id LIMIT 1""",
                          CLOSED_M1, SQL_ANSWERS)),
     "confident_errors": Check(
         lambda s, d: X.confident_errors(predictions(s, d), M.RUN).select(

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pairlens.fixed_values import RUBRIC_COLUMNS, STRATEGY_NAMES
 from pairlens.functions.hashing import key_hash
 from pairlens.operators.reshape import to_long
-from pairlens.sources.readers import spread
 
 STRATEGIES = tuple(STRATEGY_NAMES)
 RUBRIC_LABELS = STRATEGIES + ("combination", "no_change")
@@ -36,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """The fixture's tables are single files; their rows are dealt to the tasks by a hash of the key."""
+    return df.repartition(F.col(key))
+
+
 def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
@@ -47,9 +51,9 @@ def _sql_pick(values, index: str) -> str:
 # ---------------------------------------------------------------- corpus
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    docs = dealt(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     lines = (docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-             .select("doc_id", (F.col("doc_id") * 1000000 + F.col("pos")).alias("row_id"),
+             .select("doc_id", (F.col("doc_id") * 4294967296 + F.col("pos")).alias("row_id"),
                      F.trim("raw").alias("line"))
              .where(F.col("line") != ""))
     h, line, ref, src, kind = (F.col(c) for c in ("h", "line", "referent", "EN_source_sentence", "kind"))
@@ -119,7 +123,7 @@ _SQL_SCORES = ",\n  ".join(
 SQL_CORPUS = f"""
 raw_lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw,
                      generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-lines AS (SELECT doc_id, doc_id * 1000000 + pos AS row_id, trim(raw) AS line FROM raw_lines WHERE trim(raw) <> ''),
+lines AS (SELECT doc_id, doc_id * 4294967296 + pos AS row_id, trim(raw) AS line FROM raw_lines WHERE trim(raw) <> ''),
 hashed AS (SELECT *, ('0x' || substr(md5(row_id::VARCHAR), 1, 8))::BIGINT AS h,
            lower(coalesce(nullif(regexp_extract(line, '\\p{{L}}{{3,}}'), ''), 'item')) AS referent FROM lines),
 kinds AS (SELECT *, CASE WHEN h % 41 = 0 THEN 'vocative' WHEN h % 43 = 0 THEN 'closing' WHEN h % 47 = 0 THEN 'speaker'

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from pairlens.fixed_values import VARIANT_COLUMNS
 from pairlens.functions.columns import bind, ratio, settle
-from pairlens.functions.sizes import is_small
 from pairlens.functions.text import is_blank, strip, tokens
 
-# Runs of whole tokens used to find a passage: four where the passage has them, else one.
-_RUNS = (4, 1)
+# Runs of whole tokens used to find a passage: the longest of these that lies inside it.
+_RUNS = (4, 3, 2, 1)
 
 
 def normal_sentence(c: Column) -> Column:
@@ -48,24 +47,26 @@ def contamination_report(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def _runs(found: Column, size: Column) -> Column:
-    """Hashes of all runs of ``size`` consecutive tokens; candidates are verified on the text."""
-    last = F.size(found) - size + 1
-    return F.when(last > 0, F.transform(
-        F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.array_join(F.slice(found, i, size), " "))))
+    """Hashes of all runs of ``size`` consecutive tokens that have a neighbour on each side, with the touching
+    characters of the neighbours; candidates are verified on the text."""
+    last = F.size(found) - size
+    return F.when(last > 1, F.transform(F.sequence(F.lit(2), last), lambda i: F.xxhash64(
+        F.right(F.get(found, i - 2), F.lit(1)), F.array_join(F.slice(found, i, size), " "),
+        F.left(F.get(found, i + size - 1), F.lit(1)))))
 
 
 def _inner(needles: DataFrame) -> DataFrame:
     """Runs of whole tokens inside each needle of three tokens or more.
 
     The first and last token of a needle may be cut from longer ones in the haystack; the tokens
-    between stand there whole, so every haystack text with the needle has every inner run.
+    between stand there whole, and so do the characters that touch them, so every haystack text with the
+    needle has every inner run.
     """
     def inside(t: Column) -> Column:
-        size = F.when(F.size(t) >= _RUNS[0], F.lit(_RUNS[0])).otherwise(F.lit(_RUNS[1]))
-        return F.array_distinct(_runs(t, size))
+        return F.array_distinct(_runs(t, F.least(F.size(t) - 2, F.lit(_RUNS[0]))))
 
     def runs(t: Column) -> Column:
-        return F.when(F.size(t) >= 3, bind(F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0))), inside))
+        return F.when(F.size(t) >= 3, inside(t))
 
     rows = settle(needles.select("needle_id", "text"), {"runs": bind(tokens(F.col("text")), runs)})
     return rows.where(F.col("runs").isNotNull())
@@ -76,39 +77,22 @@ def _hay_runs(haystack: DataFrame) -> DataFrame:
     found = tokens(F.col("text"))
     every = bind(found, lambda t: F.array_distinct(F.flatten(F.array_compact(F.array(*[
         _runs(t, F.lit(n)) for n in _RUNS])))))
-    return haystack.select("hay_id", "text", F.explode(every).alias("run"))
+    return haystack.select("hay_id", F.explode(every).alias("run"))
 
 
-def _long_in_small(needles: DataFrame, haystack: DataFrame) -> DataFrame:
-    """Matches in a haystack that fits a broadcast: one look-up per needle, no shuffle."""
-    anchored = _inner(needles).select("needle_id", F.col("text").alias("_needle"), F.array_min("runs").alias("run"))
-    found = anchored.join(F.broadcast(_hay_runs(haystack).select("hay_id", "run")), "run")
-    return found.join(F.broadcast(haystack), "hay_id").where(F.contains("text", "_needle")).select(
-        "needle_id", "hay_id", (F.col("text") == F.col("_needle")).alias("equal"))
-
-
-def _anchors(needles: DataFrame, haystack: DataFrame, few: bool) -> DataFrame:
+def _anchors(needles: DataFrame, haystack: DataFrame) -> DataFrame:
     """Per needle the inner run that the fewest haystack texts have; none if a run occurs nowhere.
 
     Frequencies are counted only for runs that needles have, with partial counts before the shuffle.
     """
     runs = _inner(needles).select("needle_id", F.explode("runs").alias("run"))
     wanted = runs.select("run").distinct()
-    seen = _hay_runs(haystack).select("run").join(F.broadcast(wanted) if few else wanted, "run", "left_semi")
-    frequency = seen.groupBy("run").agg(F.count("*").alias("texts"))
+    frequency = _hay_runs(haystack).select("run").join(wanted, "run", "left_semi").groupBy("run").agg(F.count("*").alias("texts"))
     rarest = F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), F.col("run"))).alias("rarest")
     return (runs.join(frequency, "run", "left").groupBy("needle_id").agg(rarest)
             .where(F.col("rarest.texts") > 0).select("needle_id", F.col("rarest.run").alias("run")))
 
 
-def _long_few(needles: DataFrame, haystack: DataFrame) -> DataFrame:
-    """Matches of needles that fit a broadcast: texts are checked where they are read."""
-    anchors = _anchors(needles, haystack, few=True).join(needles, "needle_id").select(
-        "needle_id", "run", F.col("text").alias("_needle"))
-    return _hay_runs(haystack).join(F.broadcast(anchors), "run").where(F.contains("text", "_needle")).select(
-        "needle_id", "hay_id", (F.col("text") == F.col("_needle")).alias("equal"))
-
-
 def _verified(candidates: DataFrame, needles: DataFrame, haystack: DataFrame) -> DataFrame:
     """Candidate id pairs whose texts do match."""
     return (candidates.distinct().join(needles.select("needle_id", F.col("text").alias("_needle")), "needle_id")
@@ -154,44 +138,43 @@ def _short_candidates(needles: DataFrame, haystack: DataFrame) -> DataFrame:
     return hits.join(postings.withColumn("y", F.coalesce("y", F.lit(""))), ["x", "y"]).select("needle_id", "hay_id")
 
 
-def containing(needles: DataFrame, haystack: DataFrame, small_rows: int = 100_000) -> DataFrame:
+def containing(needles: DataFrame, haystack: DataFrame) -> DataFrame:
     """(needle_id, hay_id, equal) for every haystack text that contains the needle text.
 
-    ``needles``: needle_id, text; ``haystack``: hay_id, text; ids are unique. Every match is found by an
-    equi-join and verified on the whole texts. The sizes of both sides are counted first: a small
-    haystack or few needles are broadcast and no text is shuffled; otherwise only ids and run hashes
-    are, and texts join the surviving pairs. Blank needles match nothing.
+    ``needles``: needle_id, text; ``haystack``: hay_id, text; ids are unique. One plan at every size: ids and
+    hashes of token runs are shuffled, every match is found by an equi-join and verified on the whole texts.
+    Blank needles match nothing.
     """
-    size = F.char_length("text")
-    if is_small(haystack, size, small_rows):
-        found = _long_in_small(needles, haystack)
-    elif is_small(needles, size, small_rows):
-        found = _long_few(needles, haystack)
-    else:
-        pairs = _hay_runs(haystack).select("hay_id", "run").join(_anchors(needles, haystack, few=False), "run")
-        found = _verified(pairs.select("needle_id", "hay_id"), needles, haystack)
+    pairs = _hay_runs(haystack).join(_anchors(needles, haystack), "run").select("needle_id", "hay_id")
     short = needles.where(F.size(tokens(F.col("text"))).isin(1, 2))
-    if short.isEmpty():
-        return found
-    return found.unionByName(_verified(_short_candidates(short, haystack), short, haystack))
+    return _verified(pairs.unionByName(_short_candidates(short, haystack)), needles, haystack)
+
+
+def _merged(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct texts under the smallest key that has them, with their number; and every key's representative."""
+    distinct = rows.groupBy("text").agg(F.min(key).alias("rep"), F.count("*").alias("copies"))
+    return distinct, rows.join(distinct.select("text", "rep"), "text").select(key, "rep")
 
 
-def example_overlap(examples: DataFrame, sentences: DataFrame, small_rows: int = 100_000) -> DataFrame:
+def example_overlap(examples: DataFrame, sentences: DataFrame) -> DataFrame:
     """Per example: sentences equal to it, containing it, and contained in it.
 
     ``examples``: example_id, text; ``sentences``: sentence_id, text. Equal texts are not counted
-    as containing.
+    as containing. Equal sentences are matched once and counted by their number.
     """
-    theirs = sentences.where(F.col("text").isNotNull())
-    inside = containing(examples.select(F.col("example_id").alias("needle_id"), "text"),
-                        theirs.select(F.col("sentence_id").alias("hay_id"), "text"), small_rows)
-    inside = inside.groupBy(F.col("needle_id").alias("example_id")).agg(
-        F.count_if("equal").alias("n_equal"), F.count_if(~F.col("equal")).alias("n_containing"))
-    around = containing(theirs.select(F.col("sentence_id").alias("needle_id"), "text"),
-                        examples.select(F.col("example_id").alias("hay_id"), "text"), small_rows)
-    around = around.where(~F.col("equal")).groupBy(F.col("hay_id").alias("example_id")).agg(F.count("*").alias("n_contained"))
-    return examples.select("example_id").join(inside, "example_id", "left").join(around, "example_id", "left").select(
-        "example_id", *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("n_equal", "n_containing", "n_contained")])
+    theirs, _ = _merged(sentences.where(F.col("text").isNotNull()), "sentence_id")
+    ours, members = _merged(examples.where(F.col("text").isNotNull()), "example_id")
+    copies = theirs.select("rep", "copies")
+    inside = containing(ours.select(F.col("rep").alias("needle_id"), "text"), theirs.select(F.col("rep").alias("hay_id"), "text"))
+    inside = inside.join(copies, F.col("hay_id") == F.col("rep")).groupBy(F.col("needle_id").alias("own")).agg(
+        F.sum(F.when(F.col("equal"), F.col("copies"))).alias("n_equal"),
+        F.sum(F.when(~F.col("equal"), F.col("copies"))).alias("n_containing"))
+    around = containing(theirs.select(F.col("rep").alias("needle_id"), "text"), ours.select(F.col("rep").alias("hay_id"), "text"))
+    around = around.where(~F.col("equal")).join(copies, F.col("needle_id") == F.col("rep")).groupBy(
+        F.col("hay_id").alias("own")).agg(F.sum("copies").alias("n_contained"))
+    counted = (members.withColumnRenamed("rep", "own").join(inside, "own", "left").join(around, "own", "left").drop("own"))
+    return examples.select("example_id").join(counted, "example_id", "left").select(
+        "example_id", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("n_equal", "n_containing", "n_contained")])
 
 
 def require_clean_examples(overlap: DataFrame, shown: int = 5) -> None:
@@ -199,4 +182,4 @@ def require_clean_examples(overlap: DataFrame, shown: int = 5) -> None:
     bad = overlap.where((F.col("n_equal") > 0) | (F.col("n_containing") > 0) | (F.col("n_contained") > 0))
     found = [r["example_id"] for r in bad.orderBy("example_id").limit(shown).collect()]
     if found:
-        raise ValueError(f"examples overlap with test sentences: {found}")
+        raise ValueError(f"{bad.count()} examples overlap with test sentences, first {found}")

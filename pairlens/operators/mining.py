@@ -26,11 +26,10 @@ def shortest_failures(joined: DataFrame, strategies) -> DataFrame:
         "strategy", "first.row_id", "first.variant", "first.sentence", "first.referent")
 
 
-def missing_referents(predictions: DataFrame, picks: int = 2, among: int = 50) -> DataFrame:
-    """The shortest ``not_found`` rows of distinct row ids, looked for among the ``among`` shortest."""
+def missing_referents(predictions: DataFrame, picks: int = 2) -> DataFrame:
+    """The shortest ``not_found`` rows of distinct row ids."""
     shortest = (predictions.where(F.col("predicted_label") == NOT_FOUND)
-                .select("row_id", "variant", "sentence", "referent", _length())
-                .orderBy("_length", "row_id", "variant").limit(among))
+                .select("row_id", "variant", "sentence", "referent", _length()))
     first = F.min(F.struct("_length", "variant", "sentence", "referent")).alias("first")
     return (shortest.groupBy("row_id").agg(first).orderBy("first._length", "row_id").limit(picks)
             .select("row_id", "first.variant", "first.sentence", "first.referent"))
@@ -56,30 +55,25 @@ def flips(first: DataFrame, second: DataFrame, strategies: DataFrame, listed) ->
         "strategy", "first.row_id", "first.variant", "first.sentence", "first.referent")
 
 
-def neutral_regressions(first: DataFrame, second: DataFrame, picks: int = 2, among: int = 20) -> DataFrame:
-    """Feminine rows lost to ``ambiguous`` in the second run, shortest first.
-
-    Rows whose reply speaks of a neutral reading come first; all are taken among the ``among``
-    shortest.
-    """
+def neutral_regressions(first: DataFrame, second: DataFrame, picks: int = 2) -> DataFrame:
+    """Feminine rows lost to ``ambiguous`` in the second run, those whose reply speaks of a neutral reading first,
+    then the shortest."""
     lost = _both(first, second).where(
         (F.col("variant") == "feminine") & F.col("was_correct") & ~F.col("is_correct") & (F.col("now_label") == "ambiguous"))
-    shortest = lost.withColumn("_length", F.char_length("sentence")).orderBy("_length", "row_id").limit(among)
     said = F.lower(F.coalesce("raw_response", F.lit("")))
     neutral = F.exists(F.array(*[F.lit(w) for w in NEUTRAL_READING]), lambda w: F.contains(said, w))
-    return (shortest.withColumn("neutral_reading", neutral)
+    return (lost.withColumns({"_length": F.char_length("sentence"), "neutral_reading": neutral})
             .orderBy(F.desc("neutral_reading"), "_length", "row_id").limit(picks)
             .select("row_id", "variant", "sentence", "referent", "neutral_reading"))
 
 
-def marked_reply(predictions: DataFrame, marker: str, within: int = 30, among: int = 20) -> DataFrame:
-    """The first source row whose reply has the marker near its start, else the first source row.
-
-    Looked for among the first ``among`` source rows in row order.
-    """
-    first = predictions.where(F.col("variant") == "source").orderBy("row_id").limit(among)
-    marked = F.contains(F.lower(F.left(F.coalesce("raw_response", F.lit("")), F.lit(within))), F.lit(marker.lower()))
-    return (first.withColumn("marked", marked).orderBy(F.desc("marked"), "row_id").limit(1)
+def marked_reply(predictions: DataFrame, marker: str, within: int | None = None) -> DataFrame:
+    """The first source row whose reply has the marker (in its first ``within`` characters, if given), else the first
+    source row."""
+    reply = F.coalesce("raw_response", F.lit(""))
+    said = reply if within is None else F.left(reply, F.lit(within))
+    rows = predictions.where(F.col("variant") == "source").withColumn("marked", F.contains(F.lower(said), F.lit(marker.lower())))
+    return (rows.orderBy(F.desc("marked"), "row_id").limit(1)
             .select("row_id", "variant", "sentence", "referent", "expected_label", "raw_response", "marked"))
 
 

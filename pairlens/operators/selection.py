@@ -10,29 +10,21 @@ from pairlens.functions.columns import is_true
 from pairlens.functions.hashing import key_hash
 from pairlens.functions.text import is_blank
 
-# Up to this size a sample is one top-n; beyond it only whole hash buckets and one cut bucket move.
-_TOP_N_LIMIT = 100_000
-
-
-def exact_sample(df: DataFrame, n: int, seed: int, key: str = "row_id", top_n_limit: int = _TOP_N_LIMIT) -> DataFrame:
+def exact_sample(df: DataFrame, n: int, seed: int, key: str = "row_id") -> DataFrame:
     """Exactly ``min(n, rows)`` rows, chosen by a seeded hash of the key.
 
-    The choice depends on keys and seed only, not on partitions or order. ``key`` must be unique.
+    The choice depends on keys and seed only, not on partitions or order. ``key`` must be unique. Whole hash
+    buckets are taken up to the one that holds the n-th key, and only keys are ranked; rows are joined once.
     """
-    drawn = df.withColumn("_draw", key_hash(F.lit(seed), F.col(key)))
-    if n <= top_n_limit:
-        return drawn.orderBy("_draw", key).limit(n).drop("_draw")
-    drawn = drawn.withColumn("_bucket", F.shiftright("_draw", 12))
+    drawn = df.select(key).withColumn("_draw", key_hash(F.lit(seed), F.col(key))).withColumn("_bucket", F.shiftright("_draw", 12))
     # At most 2^20 buckets; their running total needs no more than one small task.
     total = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     cut = (drawn.groupBy("_bucket").agg(F.count("*").alias("_n"))
            .select("_bucket", "_n", F.sum("_n").over(total).alias("_through")).where(F.col("_through") - F.col("_n") < n))
-    kept = drawn.join(cut, "_bucket")
-    whole = kept.where(F.col("_through") <= n)
-    edge = (kept.where(F.col("_through") > n)
-            .withColumn("_rank", F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", key)))
-            .where(F.col("_rank") <= n - (F.col("_through") - F.col("_n"))))
-    return whole.select(*df.columns).unionByName(edge.select(*df.columns))
+    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", key))
+    kept = drawn.join(cut, "_bucket").withColumn("_rank", rank).where(
+        F.col("_rank") <= n - (F.col("_through") - F.col("_n"))).select(key)
+    return df.join(kept, key, "left_semi")
 
 
 def variant_rank(variant: Column) -> Column:
@@ -52,9 +44,13 @@ def drop_blank(df: DataFrame, *columns: str) -> DataFrame:
     return df
 
 
-def undecided(corpus: DataFrame) -> DataFrame:
+def is_undecided() -> Column:
     """Neither accepted nor rejected; null flags count as undecided."""
-    return corpus.where(~is_true(F.col("accepted")) & ~is_true(F.col("eval_reject")))
+    return ~is_true(F.col("accepted")) & ~is_true(F.col("eval_reject"))
+
+
+def undecided(corpus: DataFrame) -> DataFrame:
+    return corpus.where(is_undecided())
 
 
 def _failed() -> Column:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.fixed_values import ACCEPT_THRESHOLD, CLEARED_ON_RETRY, MAX_RETRIES
-from pairlens.operators.selection import is_retryable, retryable, undecided
+from pairlens.operators.selection import is_retryable, is_undecided, retryable, undecided
 from pairlens.operators.validation import acceptance, symbolic_override
 from pairlens.session import new_state_path
 
@@ -69,13 +70,14 @@ def repair_rounds(corpus: DataFrame, evaluate: Callable[[DataFrame, int], DataFr
     """Up to ``max_retries + 1`` evaluation rounds, with retries in between.
 
     ``evaluate(rows, round)`` returns scores for the undecided rows with both rewrites, and
-    ``rewrite(rows, round)`` new rewrites for the retryable ones. Each round's state is written as
-    ``round=r`` under the shared folder and read back: the plan stays short and a lost executor
-    costs no earlier round. The loop ends when nothing is retryable.
+    ``rewrite(rows, round)`` new rewrites for the retryable ones. Each round writes the rows that were open as
+    ``round=r`` under the shared folder and goes on with those that still are; rows that are settled never change
+    again, so they are checked and written once. A lost executor costs no earlier round. The loop ends when nothing
+    is retryable.
     """
     spark = corpus.sparkSession
     path = path or new_state_path(spark, "repair")
-    state = with_state(corpus)
+    state, settled = with_state(corpus), []
     for turn in range(max_retries + 1):
         open_rows = undecided(state).where(
             F.col("EN_masculine_sentence").isNotNull() & F.col("EN_feminine_sentence").isNotNull())
@@ -85,5 +87,7 @@ def repair_rounds(corpus: DataFrame, evaluate: Callable[[DataFrame, int], DataFr
         failed = retryable(state, max_retries)
         if turn == max_retries or failed.isEmpty():
             break
-        state = apply_retries(state, rewrite(failed, turn), max_retries)
-    return state
+        goes_on = is_undecided() | is_retryable(max_retries)
+        settled.append(state.where(~goes_on))
+        state = apply_retries(state.where(goes_on), rewrite(failed, turn), max_retries)
+    return reduce(DataFrame.unionByName, settled, state)

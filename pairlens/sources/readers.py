@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,15 +35,6 @@ def read_corpus(spark: SparkSession, path: str, schema: T.StructType | None = No
     return reader.parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal the rows of a table in few files to all cores, by a hash of the key.
-
-    A table with at least as many splits as cores is left as it is, so nothing large is moved.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV with header and quoted line breaks, such as a review sheet."""
     return spark.read.csv(path, schema=schema, header=True, multiLine=True, escape='"')
@@ -100,18 +92,15 @@ def read_runs(spark: SparkSession, paths: dict[tuple[str, str], str]) -> DataFra
 
     Missing files are skipped; columns that only some runs have are null elsewhere.
     """
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-
-    def there(path: str) -> bool:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf).exists(p)
-
     runs = None
     for (model, condition), path in paths.items():
-        if not there(path):
-            continue
-        run = spark.read.parquet(path).withColumns({"model": F.lit(model), "condition": F.lit(condition)})
+        try:
+            run = spark.read.parquet(path)
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                continue
+            raise
+        run = run.withColumns({"model": F.lit(model), "condition": F.lit(condition)})
         runs = run if runs is None else runs.unionByName(run, allowMissingColumns=True)
     if runs is None:
         raise FileNotFoundError(f"no run found among {sorted(paths.values())}")

@@ -1,4 +1,4 @@
-"""Replies as they land: dedupe, label, append."""
+"""Replies as they land: label and append all of them; the last one of an id is chosen when the table is read."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pairlens.operators.responses import closed_answers, open_answers, with_correct
+from pairlens.operators.responses import closed_answers, latest, open_answers, with_correct
 
 RESPONSE_SCHEMA = "custom_id string, status string, text string, arrival timestamp"
 
@@ -19,22 +19,28 @@ def read_responses(spark: SparkSession, folder: str, fmt: str = "json", files_pe
     return reader.load(folder)
 
 
-def first_responses(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop repeats of an id within the watermark; the first one wins.
+def labelled(stream: DataFrame, examples: DataFrame, open_task: bool) -> DataFrame:
+    """Join the static examples by ``custom_id`` and read the label off each reply.
 
-    State holds the ids of the last ``delay`` only. Later repeats are left to the batch merge,
-    where the last response wins.
+    Every reply stays, late and repeated ones too; ``known`` is false where no example has the id.
     """
-    return stream.withWatermark("arrival", delay).dropDuplicatesWithinWatermark(["custom_id"])
-
-
-def labelled(stream: DataFrame, examples: DataFrame, open_task: bool) -> DataFrame:
-    """Join the static examples by ``custom_id`` and read the label off each reply."""
-    rows = stream.join(examples, "custom_id")
+    rows = stream.join(examples.withColumn("known", F.lit(True)), "custom_id", "left").withColumn(
+        "known", F.coalesce("known", F.lit(False)))
     answered = open_answers(rows) if open_task else closed_answers(rows)
     return with_correct(answered)
 
 
+def settled(appended: DataFrame, batch: DataFrame | None = None) -> DataFrame:
+    """The last reply by ``arrival`` of each known id, of the appended table and a batch of the same columns."""
+    rows = appended if batch is None else appended.unionByName(batch)
+    return latest(rows.where("known"))
+
+
+def unknown(appended: DataFrame) -> DataFrame:
+    """Replies to ids that no example has."""
+    return appended.where("NOT known")
+
+
 def status_counts(stream: DataFrame, delay: str = "1 hour", window: str = "10 minutes") -> DataFrame:
     """Responses per state and arrival window."""
     return (stream.withWatermark("arrival", delay).groupBy(F.window("arrival", window).alias("window"), "status")

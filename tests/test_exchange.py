@@ -39,9 +39,9 @@ def test_long_and_wide(wide):
 def test_exact_sample_is_stable(spark):
     df = spark.range(5000).withColumnRenamed("id", "row_id")
     one = {r[0] for r in B.exact_sample(df, 321, 4).collect()}
-    other = {r[0] for r in B.exact_sample(df.repartition(7), 321, 4, top_n_limit=0).collect()}
+    other = {r[0] for r in B.exact_sample(df.repartition(7), 321, 4).collect()}
     assert one == other and len(one) == 321
-    assert B.exact_sample(df, 9000, 4).count() == 5000 == B.exact_sample(df, 9000, 4, top_n_limit=0).count()
+    assert B.exact_sample(df, 9000, 4).count() == 5000
 
 
 CLOSED = [
@@ -165,12 +165,7 @@ def test_containing_against_brute_force(spark):
     n = spark.createDataFrame(list(enumerate(needles)), "needle_id int, text string")
     h = spark.createDataFrame(list(enumerate(hay)), "hay_id int, text string")
     want = sorted((i, j, x == y) for i, x in enumerate(needles) for j, y in enumerate(hay) if x.strip() and x in y)
-    for small_rows, few in ((1000, None), (70, "needles"), (10, None)):
-        # A haystack that fits, needles that fit, and neither.
-        hay_rows = h if few is None else h.unionByName(spark.range(1000, 1100).selectExpr("int(id) hay_id", "'zz' text"))
-        own = n if few is None else n.where("needle_id % 2 = 0")
-        got = sorted(tuple(r) for r in J.containing(own, hay_rows, small_rows).collect())
-        assert got == ([w for w in want if w[0] % 2 == 0] if few else want)
+    assert sorted(tuple(r) for r in J.containing(n, h).collect()) == want
 
 
 def test_overlap_counts_copies_once_per_kind(spark):
@@ -181,7 +176,7 @@ def test_overlap_counts_copies_once_per_kind(spark):
     overlap = J.example_overlap(examples, sentences)
     got = {r[0]: tuple(r)[1:] for r in overlap.collect()}
     assert got == {1: (3, 1, 2), 2: (0, 0, 0), 3: (1, 5, 0)}
-    with pytest.raises(ValueError, match=r"\[1, 3\]"):
+    with pytest.raises(ValueError, match=r"2 examples .*\[1, 3\]"):
         J.require_clean_examples(overlap)
 
 
@@ -224,7 +219,7 @@ def test_runs_are_stacked_and_missing_ones_skipped(spark, wide, tmp_path):
         readers.read_runs(spark, {("b", "zero_shot"): str(tmp_path / "none.parquet")})
 
 
-def test_stream_intake_dedupes_labels_and_resumes(spark, tmp_path):
+def test_stream_intake_keeps_all_replies_and_resumes(spark, tmp_path):
     examples = spark.createDataFrame([(f"c{i}", "x", "masculine") for i in range(3)], "custom_id string, referent string, expected_label string")
     landing = tmp_path / "in"
     landing.mkdir()
@@ -232,23 +227,31 @@ def test_stream_intake_dedupes_labels_and_resumes(spark, tmp_path):
     def land(name, rows):
         (landing / name).write_text("\n".join(json.dumps(r) for r in rows), encoding="utf-8")
 
-    def reply(i, label):
-        return {"custom_id": f"c{i}", "status": "succeeded", "text": json.dumps({"gender": label}), "arrival": "2024-01-01T00:00:00Z"}
+    def reply(i, label, hour=0):
+        return {"custom_id": f"c{i}", "status": "succeeded", "text": json.dumps({"gender": label}), "arrival": f"2024-01-01T{hour:02}:00:00Z"}
 
     def run():
-        stream = intake.labelled(intake.first_responses(intake.read_responses(spark, str(landing))), examples, open_task=False)
-        intake.append(stream.select("custom_id", "predicted_label", "correct"), str(tmp_path / "out"), str(tmp_path / "state"),
-                      once=True).awaitTermination()
-        return {(r[0], r[1], r[2]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+        stream = intake.labelled(intake.read_responses(spark, str(landing)), examples, open_task=False)
+        intake.append(stream.select("custom_id", "arrival", "known", "predicted_label", "correct"), str(tmp_path / "out"),
+                      str(tmp_path / "state"), once=True).awaitTermination()
+        return spark.read.parquet(str(tmp_path / "out"))
+
+    def last(table):
+        return {(r["custom_id"], r["predicted_label"], r["correct"]) for r in intake.settled(table).collect()}
 
     land("1.json", [reply(0, "masculine"), {**reply(1, "x"), "status": "errored", "text": None}])
-    assert run() == {("c0", "masculine", True), ("c1", "parse_error", False)}
-    land("2.json", [reply(0, "feminine"), reply(2, "feminine")])
-    assert run() == {("c0", "masculine", True), ("c1", "parse_error", False), ("c2", "feminine", False)}
+    assert last(run()) == {("c0", "masculine", True), ("c1", "parse_error", False)}
+    land("2.json", [reply(0, "feminine", 6), reply(9, "feminine", 7)])
+    land("3.json", [reply(2, "feminine", 1), reply(0, "ambiguous", 5)])  # far behind the latest arrival
+    table = run()
+    assert last(table) == {("c0", "feminine", False), ("c1", "parse_error", False), ("c2", "feminine", False)}
+    assert table.count() == 6 and [r["custom_id"] for r in intake.unknown(table).collect()] == ["c9"]
+    batch = table.where("custom_id = 'c2'").withColumns({"arrival": F.expr("arrival + INTERVAL 1 DAY"), "predicted_label": F.lit("masculine")})
+    assert {r["custom_id"]: r["predicted_label"] for r in intake.settled(table, batch).collect()}["c2"] == "masculine"
     counts = intake.status_counts(intake.read_responses(spark, str(landing)))
     query = counts.writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).start()
     query.awaitTermination()
-    assert {r["status"]: r["n"] for r in spark.table("states").collect()} == {"succeeded": 3, "errored": 1}
+    assert {r["status"]: r["n"] for r in spark.table("states").collect()} == {"succeeded": 5, "errored": 1}
 
 
 def test_repair_rounds_stop_and_count(spark):

@@ -101,6 +101,6 @@ def test_objects(one, text, first, last):
 
 @pytest.mark.parametrize("text, value", [
     ('{"confidence": 4.7}', 4), ('{"confidence": true}', 1), ('{"confidence": "4"}', None), ('{"confidence": null}', None),
-    ('{"other": 1}', None), ('{"confidence": -2.9}', -2)])
+    ('{"other": 1}', None), ('{"confidence": -2.9}', -2), ('{"confidence": 3000000000}', None), ('{"confidence": 1e20}', None)])
 def test_integer_field(one, text, value):
     assert one(lambda c: J.integer_field(J.last_object(c), "confidence"), text) == value
