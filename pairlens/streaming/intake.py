@@ -41,9 +41,11 @@ def unknown(appended: DataFrame) -> DataFrame:
     return appended.where("NOT known")
 
 
-def status_counts(stream: DataFrame, delay: str = "1 hour", window: str = "10 minutes") -> DataFrame:
-    """Responses per state and arrival window."""
-    return (stream.withWatermark("arrival", delay).groupBy(F.window("arrival", window).alias("window"), "status")
+def status_counts(stream: DataFrame, delay: str | None = None, window: str = "10 minutes") -> DataFrame:
+    """Responses per state and arrival window. All windows stay open (one row per window and state) unless ``delay`` lets
+    those behind the watermark go, with the replies that come for them later."""
+    stream = stream if delay is None else stream.withWatermark("arrival", delay)
+    return (stream.groupBy(F.window("arrival", window).alias("window"), "status")
             .agg(F.count("*").alias("n")))
 
 
