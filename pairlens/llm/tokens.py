@@ -2,7 +2,7 @@
 
 Both tokenizers split a text into pieces (words, numbers, punctuation) and merge inside pieces only, so the
 ids of a text are the ids of its pieces in order. Pieces and blank-separated chunks are looked up in bounded
-tables that live as long as the Python worker; what is missing goes to the tokenizers library. Texts outside
+tables that live as long as the Python worker; what is missing goes to the tokenizer's merge model. Texts outside
 the plain range (control characters, code points from U+0250 on, special token strings) are encoded whole.
 """
 
@@ -22,7 +22,18 @@ _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9fİɐ-\U0010ffff]")
 _BYTE_PIECES = re.compile(f"{_SPECIAL_CASES} ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _WORD_PIECES = re.compile(f"{_SPECIAL_CASES}[{_L}]+|[{_N}]|[^{_S}{_L}{_N}]+")
 _BLANKS_MEET = ("  ", " \n", "\n ", " \t", "\t ", " \r", "\r ", "  ", "  ")
-MAX_ENTRIES = 400_000
+MAX_ENTRIES = 600_000
+
+
+def _byte_letters() -> dict[int, int]:
+    """The printable stand-in of each byte in byte-level vocabularies: bytes that print stand for themselves, the others
+    for the code points from 256 on, in order."""
+    prints = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(prints)]
+    return {b: b for b in prints} | {b: 256 + k for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
 
 
 class PieceEncoder:
@@ -34,50 +45,67 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.byte_level, self.max_entries = byte_level, max_entries
+        self.blank = " " if byte_level else ""
+        self.split = _BYTE_PIECES.findall if byte_level else _WORD_PIECES.findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes()
-                for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def _of_pieces(self, pieces: list[str]) -> bytes:
-        known = self.pieces
-        missing = [p for p in dict.fromkeys(pieces) if p not in known]
-        if not missing:
-            return b"".join([known[p] for p in pieces])
-        new = dict(zip(missing, self._whole(missing), strict=True))
-        found = b"".join([known[p] if p in known else new[p] for p in pieces])
-        if len(known) < self.max_entries:
-            known.update(new)
-        return found
+        self.words: dict[str, bytes] = {}  # between blanks
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _merged(self, piece: str) -> bytes:
+        letters = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+        return np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self._merged(piece)
+            if len(self.pieces) < self.max_entries:
+                self.pieces[piece] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes:
+        """A word of letters, with its blank."""
+        ids = self.words.get(word)
+        if ids is None:
+            ids = self._merged(self.blank + word)
+            if len(self.words) < self.max_entries:
+                self.words[word] = ids
+        return ids
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isalpha():
+            return self._word(chunk)
+        if chunk[:-1].isalpha() and chunk[-1] in ".,!?;:":
+            return self._word(chunk[:-1]) + self._piece(chunk[-1])
+        return b"".join(map(self._piece, self.split(self.blank + chunk)))
 
     def _chunked(self, chunks: list[str]) -> bytes:
-        known, out = self.chunks, []
-        split = _BYTE_PIECES.findall if self.byte_level else _WORD_PIECES.findall
-        blank = " " if self.byte_level else ""
-        for c, ids in zip(chunks, map(known.get, chunks), strict=True):
-            if ids is None:
-                ids = self._of_pieces(split(blank + c))
-                if len(known) < self.max_entries:
-                    known[c] = ids
-            out.append(ids)
-        return b"".join(out)
+        out = list(map(self.words.get, chunks))
+        k = 0
+        try:
+            while True:
+                k = out.index(None, k)
+                out[k] = self._chunk(chunks[k])
+        except ValueError:
+            return b"".join(out)
 
     def encode(self, text: str | None) -> bytes:
         """Ids of the whole text; of a null text none."""
         if not text:
             return b""
         if _ODD.search(text) or ("<|" in text and any(s in text.lower() for s in self.special)):
-            return self._whole([text])[0]
+            return self._whole(text)
         if not self.byte_level:
             return self._chunked(text.lower().split())
         if text[0] == " " or text[-1] == " " or any(b in text for b in _BLANKS_MEET):
-            return self._of_pieces(_BYTE_PIECES.findall(text))
+            return b"".join(map(self._piece, self.split(text)))
         first, _, rest = text.partition(" ")
-        head = self._of_pieces(_BYTE_PIECES.findall(first))
+        head = b"".join(map(self._piece, self.split(first)))
         return head + self._chunked(rest.split(" ")) if rest else head
 
 
