@@ -102,12 +102,14 @@ def _md(*parts: str) -> str:
 
 def sql_draws(wanted) -> str:
     ident = ("'5'", "row_id", "variant", "label")
+    draws = "".join(f"""
+drawn{i + 1} AS (SELECT * EXCLUDE (taken, t), list_append(taken, CASE WHEN list_contains(taken, t) THEN size - k + {i} ELSE t END) AS taken
+   FROM (SELECT *, {_md(*ident, "'draw'", f"(size - k + {i})")} % (size - k + {i + 1}) AS t FROM drawn{i})),""" for i in range(wanted[0][1]))
     return f"""
 wanted(label, k) AS (VALUES {', '.join(f"('{label}', {k})" for label, k in wanted)}),
 sized AS (SELECT label, k, size FROM wanted JOIN (SELECT label, count(*) AS size FROM pool GROUP BY 1) USING (label)),
-stepped AS (SELECT row_id, variant, label, k, size, {_md(*ident, "'start'")} % size AS start,
-   {_md(*ident, "'step'")} % greatest((size - 1) // greatest(k - 1, 1), 1) + 1 AS step FROM long_form CROSS JOIN sized),
-draws AS (SELECT row_id, variant, label, (start + unnest(range(k)) * step) % size AS idx FROM stepped),
+drawn0 AS (SELECT row_id, variant, label, k, size, []::BIGINT[] AS taken FROM long_form CROSS JOIN sized),{draws}
+draws AS (SELECT row_id, variant, label, unnest(taken) AS idx FROM drawn{wanted[0][1]}),
 demos AS (SELECT row_id, variant, list({{'gold': label, 'sentence': sentence, 'referent': referent}}
    ORDER BY {_md(*ident, "idx")}, label, idx) AS demos
    FROM draws JOIN pool USING (label, idx) GROUP BY ALL)"""

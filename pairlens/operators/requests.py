@@ -172,9 +172,8 @@ def draw_demos(long: DataFrame, pool: DataFrame, per_class: int = 2, seed: int =
                ambiguous_only: bool = False) -> DataFrame:
     """Add ``demos``: array<struct<sentence, referent, gold>>, drawn per row without replacement.
 
-    Each row takes a hashed start and a hashed step through the pool of a label. The step is short
-    enough that the draws never meet, so they are distinct without a retry, and every draw is an
-    equi-join on (label, position). A pool smaller than the number of draws is an error.
+    Each row draws a uniform subset of the positions of a label's pool by Floyd's method: one keyed hash per draw,
+    no retry. Every draw is an equi-join on (label, position). A pool smaller than the number of draws is an error.
     """
     sizes = pool.groupBy("label").agg(F.count("*").alias("size"))
     wanted = [("ambiguous", per_class * len(LABELS))] if ambiguous_only else [(label, per_class) for label in LABELS]
@@ -187,12 +186,14 @@ def draw_demos(long: DataFrame, pool: DataFrame, per_class: int = 2, seed: int =
     ident = (F.lit(seed), F.col("row_id"), F.col("variant"), F.col("label"))
     checked = by_label.withColumn("size", F.when(size >= k, size).otherwise(F.raise_error(_line(
         "pool of ", F.col("label"), " has ", size, " rows, ", k, " are drawn")).cast("bigint")))
-    longest = F.greatest(F.floor((F.col("size") - 1) / F.greatest(k - 1, F.lit(1))), F.lit(1))
-    stepped = checked.withColumns({
-        "start": key_hash(*ident, F.lit("start")) % F.col("size"),
-        "step": key_hash(*ident, F.lit("step")) % longest + 1})
-    draws = stepped.select("row_id", "variant", "label", F.explode(F.transform(
-        F.sequence(F.lit(0), k - 1), lambda j: (F.col("start") + j * F.col("step")) % F.col("size"))).alias("idx"))
+
+    def draw(taken: Column, last: Column) -> Column:
+        """A position up to ``last``; the last one itself if the drawn one is taken."""
+        return bind(key_hash(*ident, F.lit("draw"), last) % (last + 1), lambda t: F.array_append(
+            taken, F.when(F.array_contains(taken, t), last).otherwise(t)))
+
+    positions = F.aggregate(F.sequence(F.col("size") - k, F.col("size") - 1), F.array().cast("array<bigint>"), draw)
+    draws = checked.select("row_id", "variant", "label", F.explode(positions).alias("idx"))
     ranked = draws.withColumn("shuffle", key_hash(*ident, F.col("idx")))
     taken = ranked.join(pool, ["label", "idx"])
     entry = F.struct("shuffle", "label", "idx", F.struct(

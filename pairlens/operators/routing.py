@@ -15,15 +15,17 @@ from pairlens.functions.text import EDGE, SPACE, pattern, quoted, strip, words
 def attach_pair(corpus: DataFrame, lexicon: DataFrame, out: str = "pair") -> DataFrame:
     """Add the lexicon pair of the referent: by its lower-cased form, else by its letters only.
 
-    The lexicon has one row per form. Whether it is broadcast is left to its measured size.
+    The lexicon has one row per form. It is looked up for distinct referents, so a frequent referent meets it once and
+    the rows of the corpus are joined once.
     """
     pair = lexicon.select("form", F.struct("masc", "fem").alias("_pair"))
     exact = pair.select(F.col("form").alias("_key"), F.col("_pair").alias("_exact"))
     letters = pair.select(F.col("form").alias("_letters"), F.col("_pair").alias("_stripped"))
-    keyed = corpus.withColumn("_key", F.lower(strip(F.col("referent"))))
+    keyed = corpus.select("referent").distinct().withColumn("_key", F.lower(strip(F.col("referent"))))
     keyed = keyed.withColumn("_letters", F.regexp_replace("_key", "[^a-z]", ""))
-    return (keyed.join(exact, "_key", "left").join(letters, "_letters", "left")
-            .select(*corpus.columns, F.coalesce("_exact", "_stripped").alias(out)))
+    found = (keyed.join(exact, "_key", "left").join(letters, "_letters", "left")
+             .select("referent", F.coalesce("_exact", "_stripped").alias(out)).where(F.col(out).isNotNull()))
+    return corpus.join(found, "referent", "left").select(*corpus.columns, out)
 
 
 def is_forbidden(pair: Column, forbidden=FORBIDDEN_SWAP_PAIRS) -> Column:

@@ -104,6 +104,21 @@ def test_demos_are_distinct_and_small_pools_fail(spark, wide):
         R.draw_demos(long, pool, 8).collect()
 
 
+def test_draws_are_uniform_subsets(spark):
+    """Every pair and triple of six positions comes up about equally often, not only evenly spaced ones."""
+    from collections import Counter
+    from math import comb
+
+    rows = [(i, f"r{i}", f"s{i}", f"r{i}", f"m{i}", f"r{i}", f"f{i}") for i in range(6)]
+    pool = R.demo_pool(spark.createDataFrame(rows, WIDE))
+    long = spark.range(3000).selectExpr("id AS row_id", "'source' AS variant")
+    for k in (2, 3):
+        drawn = R.draw_demos(long, pool, k, seed=3).collect()
+        seen = Counter(tuple(sorted(d["sentence"] for d in r["demos"] if d["gold"] == "masculine")) for r in drawn)
+        expected = 3000 / comb(6, k)
+        assert len(seen) == comb(6, k) and sum((n - expected) ** 2 / expected for n in seen.values()) < 50
+
+
 def test_demo_messages_are_valid_json(spark):
     df = spark.createDataFrame([('say "hi"\nté', "cook", "masculine")], "sentence string, referent string, gold string")
     demos = df.select(F.array(F.struct("sentence", "referent", "gold")).alias("d"))
