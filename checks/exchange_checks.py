@@ -179,7 +179,7 @@ parsed AS (SELECT p.row_id, p.variant, p.referent, p.expected_label, a.status, a
 
 def _sql_confidence(value: str) -> str:
     return (f"CASE WHEN json_type({value}, '$.confidence') IN ('UBIGINT', 'BIGINT', 'DOUBLE') "
-            f"THEN trunc(json_extract_string({value}, '$.confidence')::DOUBLE)::INT "
+            f"THEN TRY_CAST(trunc(json_extract_string({value}, '$.confidence')::DOUBLE) AS INT) "
             f"WHEN json_type({value}, '$.confidence') = 'BOOLEAN' THEN (json_extract_string({value}, '$.confidence') = 'true')::INT END")
 
 

@@ -223,6 +223,7 @@ def answers(preds: DataFrame) -> DataFrame:
     style = F.floor(g / 1000) % len(_STYLES)
     number = (F.when(F.floor(g / 7000) % 5 == 0, F.concat(F.col("confidence").cast("string"), F.lit(".7")))
               .when(F.floor(g / 7000) % 5 == 1, '"high"').when(F.floor(g / 7000) % 5 == 2, "true")
+              .when(F.floor(g / 7000) % 35 == 3, "3000000000").when(F.floor(g / 7000) % 35 == 8, "1e20")
               .otherwise(F.col("confidence").cast("string")))
     fields = F.concat(F.lit('"gender": "'), label, F.lit('", "confidence": '), number,
                       F.lit(', "reasoning": "near '), ref, F.lit('"'))
@@ -249,7 +250,8 @@ def _sql_text(value: str) -> str:
 
 SQL_ANSWERS = f"""
 answer_parts AS (SELECT *, (g // 1000) % {len(_STYLES)} AS style,
-   CASE (g // 7000) % 5 WHEN 0 THEN confidence || '.7' WHEN 1 THEN '"high"' WHEN 2 THEN 'true' ELSE confidence::VARCHAR END AS number,
+   CASE (g // 7000) % 5 WHEN 0 THEN confidence || '.7' WHEN 1 THEN '"high"' WHEN 2 THEN 'true'
+     ELSE CASE (g // 7000) % 35 WHEN 3 THEN '3000000000' WHEN 8 THEN '1e20' ELSE confidence::VARCHAR END END AS number,
    CASE (g // 35000) % 4 WHEN 0 THEN referent WHEN 1 THEN 'The ' || referent WHEN 2 THEN translate(referent, '{_LOWER}', '{_LOWER.upper()}') || '.'
         ELSE referent || 's' END AS surface,
    CASE WHEN g % 97 = 0 THEN {_sql_pick(_STATUSES, '(g // 97) % 4')} ELSE 'succeeded' END AS status
