@@ -25,13 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairlens.llm.postings import BLOB, cut, joined, owner_bytes, record_batch
+from pairlens.llm.postings import BLOB, cut, joined, owner_bytes, record_batch, slices
 from pairlens.llm.textcodes import chunks, mix, sequence_code, window_codes, word_codes
 from pairlens.session import new_state_path
 
 K = 20
 ANCHOR = 8
-ANCHOR_POSTINGS = 4_000_000
+ANCHOR_POSTINGS = 2_000_000
 NODE_POSTINGS = 1_000_000
 CLASS = np.dtype([("f1", "<i8"), ("f2", "<i8")])
 DOC = np.dtype([("id", "<i8"), ("f1", "<i8")])
@@ -77,7 +77,7 @@ def _sha(text: bytes) -> str:
 def _members(batches) -> Iterator:
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in slices(batches):
         texts, rows = _texts(batch), []
         for doc, text, codes in zip(batch.column("doc_id").to_pylist(), texts, _coded(texts), strict=True):
             rows.append((doc, len(codes), *fingerprint(codes), _sha(text)))
@@ -96,7 +96,7 @@ def _anchors(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 def _anchor_postings(fragments: int, k: int):
     """Distinct anchors of each class; the lowest bit of a posting's code says that the class has the words twice."""
     def run(batches) -> Iterator:
-        for batch in batches:
+        for batch in slices(batches):
             seen, found = {}, []
             for codes in _coded(_texts(batch)):
                 if len(codes) >= k and (f := fingerprint(codes)) not in seen:
@@ -184,7 +184,7 @@ def _node_postings(anchor_fragments: int, fragments: int, k: int):
     def run(batches) -> Iterator:
         from pairlens.llm.postings import fragment_of
 
-        for batch in batches:
+        for batch in slices(batches):
             docs, postings = [], []
             for doc, f1, f2, anchors, codes in zip(*(batch.column(c).to_pylist() for c in ("rep", "f1", "f2", "anchors")), _coded(_texts(batch)), strict=True):
                 if fingerprint(codes) != (f1, f2):
@@ -250,7 +250,7 @@ def _cleaned(k: int):
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, spans, text in zip(batch.column("doc").to_pylist(), batch.column("spans").to_pylist(), _texts(batch), strict=True):
                 words = text.split()

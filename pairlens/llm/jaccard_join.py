@@ -25,18 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.components import connected_components
-from pairlens.llm.postings import BLOB, cut, joined, owner_bytes, record_batch
+from pairlens.llm.postings import BLOB, cut, joined, owner_bytes, record_batch, slices
 from pairlens.llm.textcodes import chunks, mix, sequence_code, window_codes, word_codes
 from pairlens.session import new_state_path
 
 SHINGLE = 5
 PERCENT = 80
 HEAD = 0.5
-HEAD_POSTINGS = 4_000_000  # of a fragment of step 2
+HEAD_POSTINGS = 2_000_000  # of a fragment of step 2
 PAIR_POSTINGS = 1_000_000  # of a fragment of step 3
 LONG_LIST = 64
 TILE = 2_048
-BUFFER = 4_000_000
+BUFFER = 1_000_000
 
 
 def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -58,7 +58,7 @@ def fingerprint(codes: np.ndarray) -> tuple[int, int]:
 
 def _members(batches) -> Iterator:
     """doc_id, n and fingerprint of each text."""
-    for batch in batches:
+    for batch in slices(batches):
         ids, n, one, two = [], [], [], []
         for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True):
             a, b = fingerprint(s)
@@ -74,7 +74,7 @@ def _head_postings(fragments: int, first: int):
     """Classes and the low 32 bits of their codes, by fragment. Codes cut short may meet in a fragment, which only
     makes a shingle seem shared and keeps a class that could go."""
     def run(batches) -> Iterator:
-        for batch in batches:
+        for batch in slices(batches):
             seen, sets = {}, []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 if len(s) and (f := fingerprint(s)) not in seen:
@@ -138,7 +138,7 @@ def _hopeless(percent: int):
 
 def _set_rows(batches) -> Iterator:
     """The sets of the classes left; rows of the same id whose text is another class's are dropped."""
-    for batch in batches:
+    for batch in slices(batches):
         out = {"id": [], "n": [], "m": [], "codes": []}
         wanted = zip(*(batch.column(c).to_pylist() for c in ("rep", "m", "f1", "f2")), strict=True)
         for (rep, m, a, b), s in zip(wanted, shingle_sets(batch.column("text").to_pylist()), strict=True):
@@ -150,7 +150,7 @@ def _set_rows(batches) -> Iterator:
 
 def _pair_postings(fragments: int):
     def run(batches) -> Iterator:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.frombuffer(x, dtype="<u8") for x in batch.column("codes").to_pylist()]
             if not sets:
                 continue

@@ -12,6 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 
 BLOB = "classes binary, owners binary, codes binary"
+SLICE = 2_000  # rows a map task unpacks at once
+
+
+def slices(batches, rows: int = SLICE) -> Iterator:
+    """The record batches in smaller ones, so that memory doesn't follow the session's batch size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def fragment_of(codes: np.ndarray, fragments: int) -> np.ndarray:
@@ -45,9 +53,9 @@ def joined(table, kind: np.dtype, code: str, *keys: str) -> tuple[np.ndarray, np
     owners, local, codes, base = [], [], [], 0
     for a, b, c in zip(*(table.column(x).to_pylist() for x in ("classes", "owners", "codes")), strict=True):
         found, values = np.frombuffer(a, dtype=kind), np.frombuffer(c, dtype=code)
-        local.append(np.frombuffer(b, dtype="<u2" if len(b) == 2 * len(values) else "<u4").astype(np.int64) + base)
+        local.append(np.frombuffer(b, dtype="<u2" if len(b) == 2 * len(values) else "<u4").astype(np.int32) + np.int32(base))
         owners.append(found)
         codes.append(values)
         base += len(found)
     distinct, index = np.unique(np.concatenate(owners), return_inverse=True)
-    return distinct, index[np.concatenate(local)], np.concatenate(codes)
+    return distinct, index.astype(np.int32)[np.concatenate(local)], np.concatenate(codes)

@@ -13,7 +13,7 @@ import numpy as np
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: What a pass keeps in memory at once: about 40 times this many bytes.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
