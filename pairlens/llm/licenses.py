@@ -33,6 +33,10 @@ NOTICES = (
      "the following conditions are met", ("source and binary forms", "following conditions are met")),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
      "public license as published by the free software foundation", ("gnu general public license",)),
+    ("gpl", "licensed under the gnu general public license", ("gnu general public license",)),
+    ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
+    ("mpl-2", "licensed under the mozilla public license version 2 0", ("mozilla public license version 2 0",)),
+    ("bsd", "licensed under the bsd license", ("the bsd license",)),
     ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser "
      "general public license", ("gnu lesser general public license",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),

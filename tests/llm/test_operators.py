@@ -162,8 +162,10 @@ def test_license_scan(spark, docs, none):
     texts = [(1, "Under the MIT-License! under the mit license"), (2, "cc by nc cc by, NC"), (3, "apache license version 20"),
              (4, "This is free and unencumbered software released into the public domain."), (5, None), (6, "the mit under license"),
              (7, " ".join("permission is hereby granted free of charge to any persons obtaining a copy of this software and associated documentation files".split()))]
+    texts.append((8, "This work is licensed under the GNU General Public License, version 3."))
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
     found = {r["doc_id"]: r for r in licenses.license_scan(df).collect()}
+    assert found[8]["labels"] == "gpl" and found[8]["n_base"] == 0
     for i, t in texts:
         words = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
         places = [(k, label) for phrase, label in licenses.PHRASES for k in range(len(words))
