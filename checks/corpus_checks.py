@@ -11,6 +11,7 @@ from pairlens.functions.columns import settle
 from pairlens.operators import assignment as A
 from pairlens.operators import quality as Q
 from pairlens.operators import reshape as G
+from pairlens.operators import responses as H
 from pairlens.operators import routing as R
 from pairlens.operators import selection as B
 from pairlens.sources.readers import pair_lexicon
@@ -49,6 +50,20 @@ def quality_flags(spark, sf_dir):
         "row_id", "flag_multi_sentence", "flag_pre_gendered", "flag_low_grammaticality", "flagged", "flag_reasons")
 
 
+def scored_flags(spark, sf_dir):
+    """The same flags with scores that come back as replies; a missing score is a failed or garbled reply."""
+    rows = corpus(spark, sf_dir)
+    score = F.col("grammaticality_score")
+    replies = rows.select(
+        F.concat(F.lit("gram_"), F.col("row_id").cast("string")).alias("custom_id"),
+        F.when(score.isNull() & (F.col("h") % 2 == 0), "errored").otherwise("succeeded").alias("status"),
+        F.coalesce(F.concat(F.lit('Rated: {"score": '), score.cast("string"), F.lit("}")), F.lit("no score")).alias("text"),
+        F.lit(1).alias("arrival"))
+    scored = H.grammaticality_scores(H.attach(rows.select("row_id"), replies, "gram"))
+    return Q.quality_flags(Q.with_scores(rows.drop("grammaticality_score"), scored), PRONOUNS).select(
+        "row_id", "flag_multi_sentence", "flag_pre_gendered", "flag_low_grammaticality", "flagged", "flag_reasons")
+
+
 def prefilter(spark, sf_dir):
     return Q.prefilter(corpus(spark, sf_dir), PRONOUNS).select(
         "row_id", "filter_multi_sentence", "filter_pre_gendered", "filter_low_grammaticality", "filter_any", "auto_reject")
@@ -155,6 +170,12 @@ def rotation(spark, sf_dir):
         F.col("assigned_kin.fem").alias("kin_fem"))
 
 
+SQL_QUALITY = with_corpus("""SELECT row_id, multi AS flag_multi_sentence,
+        gendered AS flag_pre_gendered, low AS flag_low_grammaticality, multi OR gendered OR low AS flagged,
+        array_to_string(list_filter([CASE WHEN multi THEN 'multi_sentence' END, CASE WHEN gendered THEN 'pre_gendered' END,
+          CASE WHEN low THEN 'low_grammaticality(score=' || grammaticality_score || ')' END], lambda x: x IS NOT NULL), ', ')
+          AS flag_reasons FROM flags""", SQL_FLAGS)
+
 CHECKS = {
     "corpus": Check(corpus, with_corpus("SELECT * FROM corpus")),
     "long_form": Check(lambda s, d: G.to_long(corpus(s, d)), with_corpus("SELECT * FROM long_form", SQL_LONG)),
@@ -192,11 +213,8 @@ CHECKS = {
             count(*) FILTER (accepted = false AND coalesce(retry_count, 0) >= 5) AS at_cap,
             count(*) FILTER (accepted = false AND eval_reject IS NOT TRUE AND coalesce(retry_count, 0) < 5) AS retryable
             FROM corpus""")),
-    "quality_flags": Check(quality_flags, with_corpus("""SELECT row_id, multi AS flag_multi_sentence,
-        gendered AS flag_pre_gendered, low AS flag_low_grammaticality, multi OR gendered OR low AS flagged,
-        array_to_string(list_filter([CASE WHEN multi THEN 'multi_sentence' END, CASE WHEN gendered THEN 'pre_gendered' END,
-          CASE WHEN low THEN 'low_grammaticality(score=' || grammaticality_score || ')' END], lambda x: x IS NOT NULL), ', ')
-          AS flag_reasons FROM flags""", SQL_FLAGS)),
+    "quality_flags": Check(quality_flags, SQL_QUALITY),
+    "scored_flags": Check(scored_flags, SQL_QUALITY),
     "prefilter": Check(prefilter, with_corpus("""SELECT row_id, multi AS filter_multi_sentence,
         gendered AS filter_pre_gendered, low AS filter_low_grammaticality, multi OR gendered OR low AS filter_any,
         multi OR low AS auto_reject FROM flags""", SQL_FLAGS)),

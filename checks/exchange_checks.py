@@ -8,7 +8,7 @@ from checks.check import Check
 from checks.corpus_checks import SQL_LEXICON, SQL_ROUTING, SQL_TURNS, routed, with_corpus
 from checks.prediction_checks import CLOSED_M1, OPEN_M1, with_predictions
 from checks.tables import SQL_ANSWERS, SQL_LONG, answers, corpus, dealt, predictions, table
-from pairlens.fixed_values import CANNED_REASON, RUBRIC
+from pairlens.fixed_values import CANNED_REASON, CONDITIONS, OPEN_CONDITIONS, RUBRIC
 from pairlens.operators import assignment as A
 from pairlens.operators import leakage as J
 from pairlens.operators import records as N
@@ -20,7 +20,7 @@ from pairlens.streaming import intake
 
 PROMPT = "You label the REFERENT of a sentence."
 GRAMMAR_PROMPT = "Rate the grammar from 1 to 5.\n\nSentence: {sentence}\n\nAnswer as JSON."
-CONDITIONS = {"zero_shot": "closed", "zero_shot_identify": "open"}
+PROMPTS = {c: f"Judge by {c}." for c in CONDITIONS}
 
 
 def _q(value: str) -> str:
@@ -41,8 +41,12 @@ def generation_requests(spark, sf_dir):
 
 
 def condition_requests(spark, sf_dir):
-    conditions = R.condition_table(spark, CONDITIONS)
-    return first_content(R.condition_requests(to_long(corpus(spark, sf_dir)), conditions, "judge"), "condition", "is_open")
+    """All conditions with the system block of each."""
+    conditions = R.condition_table(spark, PROMPTS)
+    rows = R.condition_requests(to_long(corpus(spark, sf_dir)), conditions, "judge")
+    rows = R.with_system(rows.join(F.broadcast(conditions.select("condition", "system_prompt")), "condition"), F.col("system_prompt"))
+    block = F.col("system")[0]
+    return first_content(rows, "condition", "is_open", block["text"].alias("system_text"), block["cache_control"]["type"].alias("cache"))
 
 
 SQL_FEEDBACK = """array_to_string(list_filter([
@@ -421,8 +425,9 @@ CHECKS = {
     "condition_requests": Check(condition_requests, with_corpus(
         request_sql("cls", "row_id || '_' || variant", "judge", 200,
                     "'Sentence: ' || sentence || CASE WHEN is_open THEN '' ELSE chr(10) || 'Referent: ' || referent END",
-                    "FROM long_form CROSS JOIN (VALUES ('zero_shot', false), ('zero_shot_identify', true)) c(condition, is_open)",
-                    ", condition, is_open"), SQL_LONG)),
+                    "FROM long_form CROSS JOIN (VALUES " + ", ".join(
+                        f"('{c}', {str(c in OPEN_CONDITIONS).lower()}, '{p}')" for c, p in PROMPTS.items()) + ") c(condition, is_open, prompt)",
+                    ", condition, is_open, prompt AS system_text, 'ephemeral' AS cache"), SQL_LONG)),
     "demo_pool": Check(demo_pool, with_corpus("SELECT * FROM pool", SQL_POOL)),
     "demo_draw": Check(demo_trace(False), with_corpus(
         f"SELECT row_id, variant, {SQL_TRACE} AS demos_used FROM demos", SQL_LONG, SQL_POOL, sql_draws(EACH))),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.check import Check
 from checks.corpus_checks import PRONOUNS, SQL_FLAGS
 from checks.tables import (
-    M1, PLAIN, PLAIN_ZERO_SHOT, RUNS, SQL_ANSWERS, ZERO_SHOT, answers, corpus, predictions, sql_predictions, table)
+    FEW_SHOT, M1, PLAIN, PLAIN_ZERO_SHOT, RUNS, SQL_ANSWERS, ZERO_SHOT, answers, corpus, predictions, sql_predictions, table)
 from pairlens.fixed_values import LABELS, PREDICTION_LABELS
 from pairlens.operators import metrics as M
 from pairlens.operators import mining as X
@@ -67,7 +67,7 @@ class_prf AS (SELECT {RUN}, label, tp, fp, fn, round(p, 4) AS precision, round(r
    round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 4) AS f1 FROM rates),
 prf AS (SELECT * FROM class_prf UNION ALL SELECT {RUN}, 'macro', sum(tp)::BIGINT, sum(fp)::BIGINT, sum(fn)::BIGINT,
    round(sum(precision) / 3, 4), round(sum(recall) / 3, 4), round(sum(f1) / 3, 4) FROM class_prf GROUP BY ALL),
-summary AS (SELECT {RUN}, CASE WHEN condition = 'zero_shot_identify' THEN 'open' ELSE 'closed' END AS task,
+summary AS (SELECT {RUN}, CASE WHEN suffix(condition, '_identify') THEN 'open' ELSE 'closed' END AS task,
    max(tp::DOUBLE / (tp + fn)) FILTER (label = 'macro') AS accuracy, max(f1) FILTER (label = 'macro') AS macro_f1,
    max(recall) FILTER (label = 'masculine') AS masc_recall, max(recall) FILTER (label = 'feminine') AS fem_recall,
    max(recall) FILTER (label = 'ambiguous') AS ambig_recall FROM prf GROUP BY ALL),
@@ -241,12 +241,14 @@ CHECKS = {
     "leaderboard": Check(leaderboard, with_predictions(
         "SELECT *, round(closed_accuracy - open_accuracy, 4) AS closed_minus_open_acc FROM board", PLAIN_ZERO_SHOT, SQL_PRF)),
     "shot_deltas": Check(
-        lambda s, d: M.shot_deltas(leaderboard(s, d, False), leaderboard(s, d, True)),
+        lambda s, d: M.shot_deltas(leaderboard(s, d), M.leaderboard(summaries(s, d, FEW_SHOT))),
         with_predictions("""SELECT a.model, a.closed_accuracy AS closed_zs, b.closed_accuracy AS closed_fs,
             b.closed_accuracy - a.closed_accuracy AS closed_delta, a.open_accuracy AS open_zs, b.open_accuracy AS open_fs,
             b.open_accuracy - a.open_accuracy AS open_delta, a.closed_accuracy - a.open_accuracy AS closed_to_open_zs,
-            b.closed_accuracy - b.open_accuracy AS closed_to_open_fs FROM board a JOIN board_thinking b USING (model)""",
-                         ZERO_SHOT, SQL_PRF)),
+            b.closed_accuracy - b.open_accuracy AS closed_to_open_fs FROM zero a JOIN few b USING (model)""",
+                         PLAIN_ZERO_SHOT + FEW_SHOT, SQL_PRF, ", ".join(f"""{name} AS (SELECT model,
+            max(accuracy) FILTER (task = 'closed') AS closed_accuracy, max(accuracy) FILTER (task = 'open') AS open_accuracy
+            FROM summary WHERE starts_with(condition, '{name}_shot') GROUP BY 1)""" for name in ("zero", "few")))),
     "thinking_delta": Check(
         lambda s, d: M.thinking_delta(summaries(s, d, ZERO_SHOT)),
         with_predictions("""SELECT model, task, round(max(accuracy) FILTER (NOT thinking), 4) AS no_thinking,

@@ -16,7 +16,7 @@ from pairlens.operators.reshape import to_long
 STRATEGIES = tuple(STRATEGY_NAMES)
 RUBRIC_LABELS = STRATEGIES + ("combination", "no_change")
 
-# (model, condition, thinking); the open condition is zero_shot_identify.
+# (model, condition, thinking); open conditions end in _identify.
 RUNS = (
     ("m1", "zero_shot", False), ("m1", "zero_shot_identify", False),
     ("m1", "zero_shot", True), ("m1", "zero_shot_identify", True),
@@ -24,6 +24,8 @@ RUNS = (
     ("m2", "zero_shot", False), ("m2", "zero_shot_identify", False),
     ("m2", "zero_shot", True), ("m2", "zero_shot_identify", True),
 )
+# Few-shot runs of both tasks and models, beside the ones above.
+FEW_SHOT = tuple((m, c, False) for m in ("m1", "m2") for c in ("few_shot", "few_shot_identify"))
 # The conditions of one model, and the runs without thinking.
 M1 = tuple(r for r in RUNS if r[0] == "m1" and not r[2])
 PLAIN = tuple(r for r in RUNS if not r[2])
@@ -185,7 +187,7 @@ def predictions(spark: SparkSession, sf_dir: str, runs=RUNS, columns=None) -> Da
     out = (rows.withColumn("predicted_label", label)
            .withColumn("confidence", F.when(F.col("predicted_label").isin("masculine", "feminine", "ambiguous"),
                                             (F.floor(g / 100) % 5 + 1).cast("int")))
-           .withColumn("task", F.when(F.col("condition") == "zero_shot_identify", "open").otherwise("closed"))
+           .withColumn("task", F.when(F.endswith("condition", F.lit("_identify")), "open").otherwise("closed"))
            .withColumn("correct", F.coalesce(F.col("predicted_label") == F.col("expected_label"), F.lit(False))))
     return out if columns is None else out.select(*columns)
 
@@ -201,7 +203,7 @@ labelled AS (SELECT *, CASE WHEN g % 1009 = 0 THEN NULL WHEN g % 100 < 80 THEN e
    WHEN g % 100 < 98 THEN 'not_found' ELSE 'parse_error' END AS predicted_label FROM drawn),
 predictions AS (SELECT *, CASE WHEN predicted_label IN ('masculine', 'feminine', 'ambiguous')
    THEN ((g // 100) % 5 + 1)::INT END AS confidence,
-   CASE WHEN condition = 'zero_shot_identify' THEN 'open' ELSE 'closed' END AS task,
+   CASE WHEN suffix(condition, '_identify') THEN 'open' ELSE 'closed' END AS task,
    coalesce(predicted_label = expected_label, false) AS correct FROM labelled)"""
 
 

@@ -36,9 +36,9 @@ def _requests(rows: DataFrame, kind: str, identity: Column, model: str, content:
         F.array(message("user", content)).alias("messages"))
 
 
-def with_system(requests: DataFrame, prompt: str) -> DataFrame:
-    """Add the system block, marked for prompt caching."""
-    block = F.struct(F.lit("text").alias("type"), F.lit(prompt).alias("text"),
+def with_system(requests: DataFrame, prompt: str | Column) -> DataFrame:
+    """Add the system block, marked for prompt caching; ``prompt`` is a text or a column."""
+    block = F.struct(F.lit("text").alias("type"), (F.lit(prompt) if isinstance(prompt, str) else prompt).alias("text"),
                      F.struct(F.lit("ephemeral").alias("type")).alias("cache_control"))
     return requests.withColumn("system", F.array(block))
 
