@@ -152,7 +152,7 @@ def _repeated_anchors(buckets: int):
             out["fragment"].append(part), out["block"].append(int(b)), out["classes"].append(classes[used].tobytes())
             out["owners"].append(owner_bytes(local, len(used))), out["codes"].append(words[at].astype("<u4").tobytes())
         return pa.Table.from_batches([record_batch(out)]) if out["block"] else _empty(
-            fragment="int", block="int", classes="binary", owners="binary", codes="binary")
+            fragment="long", block="int", classes="binary", owners="binary", codes="binary")
 
     return run
 
@@ -276,13 +276,13 @@ def repeated_paths(docs: DataFrame, members: DataFrame, k: int = K) -> DataFrame
     classes = long.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
     total = int(long.agg(F.sum("n_words")).first()[0] or 0)
     anchor_fragments = max(1, -(-total // (7 * ANCHOR_POSTINGS)))  # an anchor in about seven words
-    anchors = (docs.select("text").mapInArrow(_anchor_postings(anchor_fragments, k), f"fragment int, {BLOB}")
-               .groupBy("fragment").applyInArrow(_repeated_anchors(partitions), f"fragment int, block int, {BLOB}")
+    anchors = (docs.select("text").mapInArrow(_anchor_postings(anchor_fragments, k), f"fragment bigint, {BLOB}")
+               .groupBy("fragment").applyInArrow(_repeated_anchors(partitions), f"fragment bigint, block int, {BLOB}")
                .groupBy("block").applyInArrow(_by_class, "f1 bigint, f2 bigint, anchors binary"))
     wanted = classes.join(anchors, ["f1", "f2"])
     fragments = max(1, -(-total // (3 * NODE_POSTINGS)))
     nodes = (docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "f1", "f2", "anchors", "text")
-             .mapInArrow(_node_postings(anchor_fragments, fragments, k), f"fragment int, {BLOB}")
+             .mapInArrow(_node_postings(anchor_fragments, fragments, k), f"fragment bigint, {BLOB}")
              .groupBy("fragment").applyInArrow(_branching, "doc bigint, f1 bigint, at bigint, node bigint, behind bigint"))
     chain = Window.partitionBy("doc", "f1").orderBy("at")
     runs = (nodes.withColumns({"edges": F.lead("at").over(chain) - F.col("at"), "end": F.lead("node").over(chain)})

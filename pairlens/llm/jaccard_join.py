@@ -33,7 +33,7 @@ SHINGLE = 5
 PERCENT = 80
 HEAD = 0.5
 HEAD_POSTINGS = 2_000_000  # of a fragment of step 2
-PAIR_POSTINGS = 1_000_000  # of a fragment of step 3
+PAIR_POSTINGS = 2_000_000  # of a fragment of step 3
 LONG_LIST = 64
 TILE = 2_048
 BUFFER = 1_000_000
@@ -71,10 +71,17 @@ REP = np.dtype([("id", "<i8"), ("n", "<u4"), ("m", "<u8")])
 
 
 def _head_postings(fragments: int, first: int):
-    """Classes and the low 32 bits of their codes, by fragment. Codes cut short may meet in a fragment, which only
-    makes a shingle seem shared and keeps a class that could go."""
+    """Of each slice of rows: by fragment, the low 32 bits of its sets' codes and whose they are (numbers in the slice);
+    and once, under a negative fragment of its own, the table of its classes. Codes cut short may meet in a fragment, which only
+    makes a shingle seem shared and keeps a class that could go.
+
+    A slice's id is a hash of its classes in order, of the task and of its place there: should a repeated task see its rows
+    in another order, its slices are other slices, and what is left of the first ones counts for less."""
     def run(batches) -> Iterator:
-        for batch in slices(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId() << 32
+        for place, batch in enumerate(slices(batches)):
             seen, sets = {}, []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 if len(s) and (f := fingerprint(s)) not in seen:
@@ -83,54 +90,59 @@ def _head_postings(fragments: int, first: int):
             if not sets:
                 continue
             classes = np.array([(*f, n) for f, n in seen.items()], dtype=CLASS)
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
-            out = {"fragment": [], "classes": [], "owners": [], "codes": []}
+            order = mix(np.arange(len(sets), dtype=np.uint64) + np.uint64(task + place))
+            slice_id = int(mix(classes["f1"].astype(np.uint64) ^ order).sum(dtype=np.uint64) >> np.uint64(2))
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
+            out = {"fragment": [-1 - slice_id], "slice": [slice_id], "owners": [classes.tobytes()], "codes": [b""]}
             for k, codes, own in cut(np.concatenate(sets), owner, fragments, first):
-                used, local = np.unique(own, return_inverse=True)
                 out["fragment"].append(k)
-                out["classes"].append(classes[used].tobytes())
-                out["owners"].append(owner_bytes(local, len(used)))
+                out["slice"].append(slice_id)
+                out["owners"].append(own.astype("<u2").tobytes())
                 out["codes"].append(codes.astype("<u4").tobytes())  # the low half
-            if out["fragment"]:
-                yield record_batch(out)
+            yield record_batch(out)
 
     return run
 
 
-def _alone(buckets: int):
-    """Of each class, the shingles of this fragment that no other class has."""
-    def run(table):
-        import pyarrow as pa
-
-        classes, owner, codes = joined(table, CLASS, "<u4")
-        order = np.lexsort((owner, codes))
-        c, o = codes[order], owner[order]
-        first = np.concatenate([[True], (c[1:] != c[:-1]) | (o[1:] != o[:-1])])  # a class comes once per batch that has it
-        c, o = c[first], o[first]
-        same = np.concatenate([[False], c[1:] == c[:-1]])
-        alone = ~(same | np.concatenate([same[1:], [False]]))
-        count = np.bincount(o[alone], minlength=len(classes))
-        bucket = classes["f1"].astype(np.uint64) % np.uint64(buckets)
-        out = {"block": [], "classes": [], "owners": []}
-        for b in np.unique(bucket):
-            at = np.flatnonzero((bucket == b) & (count > 0))
-            if len(at):
-                out["block"].append(int(b)), out["classes"].append(classes[at].tobytes()), out["owners"].append(count[at].astype("<u4").tobytes())
-        return pa.Table.from_batches([record_batch(out)]) if out["block"] else pa.table(
-            {"block": pa.array([], pa.int32()), "classes": pa.array([], pa.binary()), "owners": pa.array([], pa.binary())})
-
-    return run
+def _alone(table):
+    """Of each slice, how many shingles of this fragment each class has alone; class tables pass. A class that several
+    slices have counts as several, so nothing of it is alone: it is kept."""
+    import pyarrow as pa
+
+    if table.column("fragment")[0].as_py() < 0:
+        return table.drop_columns(["fragment"]).append_column("table", pa.array([True] * len(table)))
+    slice_ids, owners, codes = (table.column(c).to_pylist() for c in ("slice", "owners", "codes"))
+    row = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) // 4 for c in codes])
+    code = np.frombuffer(b"".join(codes), dtype="<u4")
+    order = np.argsort(code, kind="stable")
+    c = code[order]
+    same = np.concatenate([[False], c[1:] == c[:-1]])
+    alone = order[~(same | np.concatenate([same[1:], [False]]))]
+    pair = row[alone].astype(np.int64) << 16 | np.frombuffer(b"".join(owners), dtype="<u2")[alone]
+    pair, count = np.unique(pair, return_counts=True)
+    edge = np.searchsorted(pair >> 16, np.arange(len(codes) + 1))
+    used = [k for k in range(len(codes)) if edge[k] < edge[k + 1]]
+    return pa.table({
+        "slice": pa.array([slice_ids[k] for k in used], pa.int64()),
+        "owners": pa.array([(pair[edge[k]:edge[k + 1]] & 0xFFFF).astype("<u2").tobytes() for k in used], pa.binary()),
+        "codes": pa.array([count[edge[k]:edge[k + 1]].astype("<u4").tobytes() for k in used], pa.binary()),
+        "table": pa.array([False] * len(used), pa.bool_())})
 
 
 def _hopeless(percent: int):
+    """The classes of a slice that have too many shingles alone."""
     def run(table):
         import pyarrow as pa
 
-        classes = np.concatenate([np.frombuffer(x, dtype=CLASS) for x in table.column("classes").to_pylist()])
-        count = np.concatenate([np.frombuffer(x, dtype="<u4") for x in table.column("owners").to_pylist()]).astype(np.int64)
-        distinct, index = np.unique(classes, return_inverse=True)
-        alone = np.bincount(index, weights=count)
-        gone = distinct[100 * alone > (100 - percent) * distinct["n"].astype(np.int64)]
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("table", "owners", "codes")), strict=True))
+        classes = np.frombuffer(next((o for t, o, _ in rows if t), b""), dtype=CLASS)
+        if not len(classes):
+            rows = []  # of an earlier attempt at this task
+        alone = np.zeros(len(classes), dtype=np.int64)
+        for t, o, c in rows:
+            if not t:
+                np.add.at(alone, np.frombuffer(o, dtype="<u2"), np.frombuffer(c, dtype="<u4"))
+        gone = classes[100 * alone > (100 - percent) * classes["n"].astype(np.int64)]
         return pa.table({"f1": pa.array(gone["f1"]), "f2": pa.array(gone["f2"])})
 
     return run
@@ -316,9 +328,10 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     first = max(1, -(-int(total * HEAD) // HEAD_POSTINGS))
-    gone = (docs.select("text").mapInArrow(_head_postings(round(first / HEAD), first), f"fragment int, {BLOB}")
-            .groupBy("fragment").applyInArrow(_alone(partitions), "block int, classes binary, owners binary")
-            .groupBy("block").applyInArrow(_hopeless(percent), "f1 bigint, f2 bigint"))
+    packed = "owners binary, codes binary"
+    gone = (docs.select("text").mapInArrow(_head_postings(round(first / HEAD), first), f"fragment bigint, slice bigint, {packed}")
+            .groupBy("fragment").applyInArrow(_alone, f"slice bigint, {packed}, table boolean")
+            .groupBy("slice").applyInArrow(_hopeless(percent), "f1 bigint, f2 bigint").distinct())
     left = classes.join(gone, ["f1", "f2"], "left_anti")
     (docs.join(left, docs.doc_id == left.rep).select("rep", "m", "f1", "f2", "text")
      .mapInArrow(_set_rows, "id bigint, n bigint, m bigint, codes binary").write.parquet(f"{folder}/sets"))
@@ -326,7 +339,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     fragments = max(1, -(-int(sets.agg(F.sum("n")).first()[0] or 0) // PAIR_POSTINGS))
 
     blocks = int(np.ceil(np.sqrt(2 * partitions)))
-    (sets.mapInArrow(_pair_postings(fragments), f"fragment int, {BLOB}")
+    (sets.mapInArrow(_pair_postings(fragments), f"fragment bigint, {BLOB}")
      .groupBy("fragment").applyInArrow(_partial_overlaps(blocks, percent), f"block int, {BLOB}")
      .groupBy("block").applyInArrow(_links(percent), "a bigint, b bigint, links bigint")
      .write.parquet(f"{folder}/links"))

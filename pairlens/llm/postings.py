@@ -10,16 +10,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOB = "classes binary, owners binary, codes binary"
 SLICE = 2_000  # rows a map task unpacks at once
 
 
+def small_batches(spark, rows: int = SLICE) -> None:
+    """Texts are long, so the session sends fewer rows at once to Python than it does by default."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def slices(batches, rows: int = SLICE) -> Iterator:
     """The record batches in smaller ones, so that memory doesn't follow the session's batch size."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def fragment_of(codes: np.ndarray, fragments: int) -> np.ndarray:
@@ -27,9 +34,7 @@ def fragment_of(codes: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def record_batch(columns: dict):
-    import pyarrow as pa
-
-    kinds = {"fragment": pa.int32(), "block": pa.int32()}
+    kinds = {"block": pa.int32()}
     return pa.RecordBatch.from_arrays(
         [pa.array(v, kinds.get(k, pa.binary() if v and isinstance(v[0], bytes) else pa.int64())) for k, v in columns.items()], list(columns))
 
