@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlens.llm import debruijn, decontamination, jaccard_join, licenses, packing, pii, quality_llr, rans, sharding, token_rollup
+from pairlens.llm.postings import small_batches
 from pairlens.session import new_state_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
