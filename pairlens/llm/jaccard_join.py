@@ -8,12 +8,14 @@ pair's overlap; the parts are summed per pair.
 2. In the fragments of the first ``HEAD`` of the order, shingles that one class alone has are counted per class. A
    class with more than 20 % of such shingles cannot reach a similarity of 0.8 with anything, and is done. This is
    exact, and it also disposes of sets that merely share a common passage.
-3. The classes left go through all fragments. Pairs are counted inside the fragment, in tiles where posting lists are
-   long, and leave it packed: a row per fragment and block of pairs, not per pair.
-4. Blocks sum the parts, keep the pairs at or over the threshold, and return a spanning forest and link counts.
-
-Work on one group of k different near copies grows with k^2 (all their pairs are compared, in tiles of bounded
-memory), rows do not: at most k times the number of blocks a class meets.
+3. The classes left go through all fragments. Pairs of short posting lists are counted inside the fragment. Classes of
+   long lists are cut into ranges of ``TILE``; each two ranges are a tile, and where there is more than one, a tile is a
+   Spark group of its own. Counts leave packed, in rows of at most ``ROW_PAIRS`` pairs, whenever about ``BUFFER`` have gathered.
+4. Blocks, as many as the counted pairs ask for, sum the parts, keep the pairs at or over the threshold, and return a spanning
+   forest and link counts.
+
+Work on one group of k different near copies grows with k^2, and so do the packed counts on disk: all their pairs are
+compared. What a task holds of them does not: a buffer, a tile, or a block.
 """
 
 from __future__ import annotations
@@ -21,11 +23,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.components import connected_components
-from pairlens.llm.postings import BLOB, cut, joined, owner_bytes, record_batch, slices
+from pairlens.llm.postings import BLOB, cut, joined, owner_bytes, record_batch, slices, small_batches
 from pairlens.llm.textcodes import chunks, mix, sequence_code, window_codes, word_codes
 from pairlens.session import new_state_path
 
@@ -36,7 +39,10 @@ HEAD_POSTINGS = 2_000_000  # of a fragment of step 2
 PAIR_POSTINGS = 2_000_000  # of a fragment of step 3
 LONG_LIST = 64
 TILE = 2_048
-BUFFER = 1_000_000
+BUFFER = 1_000_000  # pairs a task gathers before it sends them on
+ROW_PAIRS = 50_000  # of a row of counted pairs
+ROW_BATCH = 50  # such rows sent to Python at once
+BLOCK_PAIRS = 2_000_000  # counted pairs of a block
 
 
 def shingle_sets(texts: list[str | None], n: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -180,8 +186,13 @@ def _pair_postings(fragments: int):
     return run
 
 
+def _summed(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    distinct, index = np.unique(code, return_inverse=True)
+    return distinct, np.bincount(index, weights=count, minlength=len(distinct)).astype(np.int64)
+
+
 class _Counts:
-    """Sums of pairs, in a buffer of bounded size in front of the distinct ones."""
+    """Sums of pairs, in a buffer of bounded size; what passes it leaves through ``full``, as partial sums."""
 
     def __init__(self, width: int):
         self.width, self.parts, self.size = np.int64(width), [], 0
@@ -189,74 +200,186 @@ class _Counts:
     def add(self, x: np.ndarray, y: np.ndarray, count: np.ndarray | None = None) -> None:
         self.parts.append((x * self.width + y, np.ones(len(x), np.int64) if count is None else count))
         self.size += len(x)
-        if self.size > BUFFER:
-            self.parts = [self._summed()]
-            self.size = 0
 
-    def _summed(self) -> tuple[np.ndarray, np.ndarray]:
-        code, count = (np.concatenate(x) for x in zip(*self.parts, strict=True)) if self.parts else (np.zeros(0, np.int64),) * 2
-        distinct, index = np.unique(code, return_inverse=True)
-        return distinct, np.bincount(index, weights=count, minlength=len(distinct)).astype(np.int64)
+    def full(self, limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Once over ``limit`` entries are gathered, sum them; if more than half of it are distinct, send them on."""
+        if self.size > limit:
+            self.parts = [_summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+            self.size = len(self.parts[0][0])
+            if 2 * self.size > limit:
+                code, count = self.parts[0]
+                self.parts, self.size = [], 0
+                yield code // self.width, code % self.width, count
 
-    def result(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        code, count = self._summed()
-        return code // self.width, code % self.width, count
 
-
-def count_pairs(owner: np.ndarray, codes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(x, y, shared codes) of all pairs x < y of owners that share a code and whose sizes allow a link."""
+def _ordered(owner: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and owners by code, where the posting lists begin (and the last ends), and their lengths."""
     order = np.lexsort((owner, codes))
     c, o = codes[order], owner[order]
-    edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]]))
-    length = np.diff(edge)
-    counts = _Counts(len(sizes))
+    edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]])) if len(c) else np.zeros(1, np.int64)
+    return c, o, edge, np.diff(edge)
+
+
+def _fits(sizes: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    a, b = sizes[x], sizes[y]
+    return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
-    def fits(x, y):
-        a, b = sizes[x], sizes[y]
-        return 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
 
+def _short_pairs(c, o, length, sizes, percent) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Partial sums of the pairs of lists of at most ``LONG_LIST``."""
+    counts = _Counts(len(sizes))
     short = np.repeat((length > 1) & (length <= LONG_LIST), length)
     c1, o1 = c[short], o[short]
     at, k = np.arange(len(c1)), 1
     while len(at):
         at = at[at + k < len(c1)]
         at = at[c1[at] == c1[at + k]]
-        x, y = o1[at], o1[at + k]
-        keep = fits(x, y)
-        counts.add(x[keep], y[keep])
+        for some in range(0, len(at), BUFFER):
+            x, y = o1[at[some:some + BUFFER]], o1[at[some:some + BUFFER] + k]
+            keep = _fits(sizes, x, y, percent)
+            counts.add(x[keep], y[keep])
+            yield from counts.full(BUFFER)
         k += 1
-    long = np.flatnonzero(length > LONG_LIST)
-    if len(long):
-        lists = [o[edge[i]:edge[i + 1]] for i in long]
-        hot = np.unique(np.concatenate(lists))
-        lists = [np.searchsorted(hot, x) for x in lists]
+    yield from counts.full(0)
+
+
+def _tile_pairs(left, right, same: bool, a_ids, b_ids, sizes, percent) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of one tile; lists hold numbers in ``a_ids`` and ``b_ids``, which number ``sizes``."""
+    tile = np.zeros((len(a_ids), len(b_ids)), dtype=np.int32)
+    for a, b in zip(left, right, strict=True):
+        if len(a) and len(b):
+            tile[np.ix_(a, b)] += 1
+    a, b = np.nonzero(np.triu(tile, 1) if same else tile)
+    x, y = a_ids[a], b_ids[b]
+    keep = _fits(sizes, x, y, percent)
+    return x[keep], y[keep], tile[a, b][keep].astype(np.int64)
+
+
+def _long_lists(o, edge, length) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Owners of long lists, and the lists as numbers of them."""
+    lists = [o[edge[i]:edge[i + 1]] for i in np.flatnonzero(length > LONG_LIST)]
+    hot = np.unique(np.concatenate(lists)) if lists else o[:0]
+    return hot, [np.searchsorted(hot, x) for x in lists]
+
+
+def _range_of(lists: list[np.ndarray], i: int) -> list[np.ndarray]:
+    return [x[np.searchsorted(x, i):np.searchsorted(x, i + TILE)] - i for x in lists]
+
+
+def pair_parts(owner: np.ndarray, codes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Partial sums of ``count_pairs``, a pair perhaps in several; each of about ``BUFFER`` pairs or one tile's."""
+    c, o, edge, length = _ordered(owner, codes)
+    yield from _short_pairs(c, o, length, sizes, percent)
+    hot, lists = _long_lists(o, edge, length)
+    for i in range(0, len(hot), TILE):
+        left = _range_of(lists, i)
+        for j in range(i, len(hot), TILE):
+            yield _tile_pairs(left, _range_of(lists, j), i == j, hot[i:i + TILE], hot[j:j + TILE], sizes, percent)
+
+
+def count_pairs(owner: np.ndarray, codes: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(x, y, shared codes) of all pairs x < y of owners that share a code and whose sizes allow a link, at once."""
+    counts = _Counts(len(sizes))
+    for part in pair_parts(owner, codes, sizes, percent):
+        counts.add(*part)
+    code, count = _summed(*(np.concatenate(x) for x in zip(*counts.parts, strict=True))) if counts.parts else (np.zeros(0, np.int64),) * 2
+    return code // counts.width, code % counts.width, count
+
+
+BLOB_COLUMNS = ("classes", "owners", "codes")
+PARTS = f"fragment bigint, i int, j int, pairs bigint, {BLOB}"
+
+
+def _part(reps: np.ndarray, x: np.ndarray, y: np.ndarray, count: np.ndarray, fragment: int = 0, i: int = -1, j: int = -1, pairs: int | None = None):
+    """A row of ``PARTS``: counted pairs, or (``i`` from 0 on) of a tile's work: then x are owners, y numbers of lists, count the sides."""
+    both = np.concatenate([x, y]) if i < 0 else x
+    used, local = np.unique(both, return_inverse=True)
+    owners = local.astype("<u4").tobytes() if i < 0 else local.astype("<u4").tobytes() + y.astype("<u4").tobytes()
+    row = (fragment, i, j, len(x) if pairs is None else pairs, reps[used].tobytes(), owners, count.astype("<u4").tobytes())
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3)
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], [c.split()[0] for c in PARTS.split(", ")])
+
+
+def _part_rows(reps: np.ndarray, x: np.ndarray, y: np.ndarray, count: np.ndarray) -> Iterator:
+    for at in range(0, len(x), ROW_PAIRS):
+        yield _part(reps, x[at:at + ROW_PAIRS], y[at:at + ROW_PAIRS], count[at:at + ROW_PAIRS])
+
+
+def _fragment_parts(percent: int):
+    """Of a fragment, rows of counted pairs; and where long lists make more than one tile, the work of each tile as a row."""
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reps, owner, codes = joined(pa.Table.from_batches(list(batches)), REP, "<u8")
+        sizes, fragment = reps["n"].astype(np.int64), key[0].as_py()
+        c, o, edge, length = _ordered(owner, codes)
+        for x, y, count in _short_pairs(c, o, length, sizes, percent):
+            yield from _part_rows(reps, x, y, count)
+        hot, lists = _long_lists(o, edge, length)
+        if len(hot) <= TILE:
+            if len(hot):
+                yield from _part_rows(reps, *_tile_pairs(lists, lists, True, hot, hot, sizes, percent))
+            return
+        ranges = []
         for i in range(0, len(hot), TILE):
-            left = [x[np.searchsorted(x, i):np.searchsorted(x, i + TILE)] - i for x in lists]
-            for j in range(i, len(hot), TILE):
-                tile = np.zeros((min(TILE, len(hot) - i), min(TILE, len(hot) - j)), dtype=np.int32)
-                for a, x in zip(left, lists, strict=True):
-                    b = x[np.searchsorted(x, j):np.searchsorted(x, j + TILE)] - j
-                    if len(a) and len(b):
-                        tile[np.ix_(a, b)] += 1
-                a, b = np.nonzero(np.triu(tile, 1) if i == j else tile)
-                x, y = hot[a + i], hot[b + j]
-                keep = fits(x, y)
-                counts.add(x[keep], y[keep], tile[a, b][keep].astype(np.int64))
-    return counts.result()
-
-
-def _partial_overlaps(blocks: int, percent: int):
-    """A fragment's part of all overlaps, a row per block of pairs."""
-    def run(table):
-        import pyarrow as pa
+            cut_lists = _range_of(lists, i)
+            ranges.append((hot[i + np.concatenate(cut_lists)], np.repeat(np.arange(len(lists)), [len(x) for x in cut_lists])))
+        for i in range(len(ranges)):
+            for j in range(i, len(ranges)):
+                (x, at), (y, to) = ranges[i], ranges[j]
+                if i == j:
+                    y, to = y[:0], to[:0]
+                side = np.repeat([0, 1], [len(x), len(y)])
+                yield _part(reps, np.concatenate([x, y]), np.concatenate([at, to]), side, fragment, i, j, 0)
+
+    return run
+
+
+def _tile_parts(percent: int):
+    """The counted pairs of a tile's work."""
+    def run(batches) -> Iterator:
+        for batch in batches:
+            for classes, owners, codes in zip(*(batch.column(c).to_pylist() for c in ("classes", "owners", "codes")), strict=True):
+                reps, both, side = np.frombuffer(classes, dtype=REP), np.frombuffer(owners, dtype="<u4"), np.frombuffer(codes, dtype="<u4")
+                owner, number = both[:len(both) // 2].astype(np.int64), both[len(both) // 2:]
+
+                def lists(k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+                    ids, local = np.unique(owner[side == k], return_inverse=True)
+                    edge = np.searchsorted(number[side == k], np.arange(int(number.max()) + 2))
+                    return ids, [local[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+                a_ids, left = lists(0)
+                b_ids, right = lists(1) if side.any() else (a_ids, left)
+                yield from _part_rows(reps, *_tile_pairs(left, right, not side.any(), a_ids, b_ids, reps["n"].astype(np.int64), percent))
 
-        reps, owner, codes = joined(table, REP, "<u8")
-        x, y, count = count_pairs(owner, codes, reps["n"].astype(np.int64), percent)
-        side = (mix(reps["id"].astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-        low, high = np.minimum(side[x], side[y]), np.maximum(side[x], side[y])
-        block = low * blocks + high
+    return run
+
+
+def _unpacked(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct classes of rows of counted pairs, x < y and counts, summed per pair."""
+    reps, xs, ys, counts, base = [], [], [], [], 0
+    for a, b, c in rows:
+        found, both = np.frombuffer(a, dtype=REP), np.frombuffer(b, dtype="<u4").astype(np.int64) + base
+        xs.append(both[:len(both) // 2]), ys.append(both[len(both) // 2:]), counts.append(np.frombuffer(c, dtype="<u4"))
+        reps.append(found)
+        base += len(found)
+    distinct, index = np.unique(np.concatenate(reps), return_inverse=True)
+    x, y, width = index[np.concatenate(xs)], index[np.concatenate(ys)], np.int64(len(distinct))
+    code, count = _summed(np.minimum(x, y) * width + np.maximum(x, y), np.concatenate(counts))
+    return distinct, code // width, code % width, count
+
+
+def block_side(partitions: int, pairs: int) -> int:
+    """Blocks are pairs of so many sides: as many as there are partitions, or as hold ``BLOCK_PAIRS`` counted pairs each."""
+    return int(np.ceil(np.sqrt(2 * max(partitions, -(-pairs // BLOCK_PAIRS)))))
+
+
+def _blocks(sides: int):
+    """Counted pairs, about ``BUFFER`` at once, dealt to blocks: a row per block."""
+    def dealt(rows):
+        reps, x, y, count = _unpacked(rows)
+        side = (mix(reps["id"].astype(np.uint64)) % np.uint64(sides)).astype(np.int64)
+        block = np.minimum(side[x], side[y]) * sides + np.maximum(side[x], side[y])
         order = np.argsort(block, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) > 0, [True]])) if len(order) else np.zeros(1, int)
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(block[order]) > 0, [True]]))
         out = {"block": [], "classes": [], "owners": [], "codes": []}
         for a, b in zip(edge[:-1], edge[1:], strict=True):
             at = order[a:b]
@@ -265,8 +388,19 @@ def _partial_overlaps(blocks: int, percent: int):
             out["classes"].append(reps[used].tobytes())
             out["owners"].append(local.astype("<u4").tobytes())
             out["codes"].append(count[at].astype("<u4").tobytes())
-        return pa.Table.from_batches([record_batch(out)]) if out["block"] else pa.table(
-            {"block": pa.array([], pa.int32()), **{c: pa.array([], pa.binary()) for c in ("classes", "owners", "codes")}})
+        return record_batch(out)
+
+    def run(batches) -> Iterator:
+        rows, size = [], 0
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("classes", "owners", "codes")), strict=True):
+                rows.append(row)
+                size += len(row[2]) // 4
+                if size > BUFFER:
+                    yield dealt(rows)
+                    rows, size = [], 0
+        if rows:
+            yield dealt(rows)
 
     return run
 
@@ -277,17 +411,7 @@ def _links(percent: int):
     def run(table):
         import pyarrow as pa
 
-        reps, xs, ys, counts, base = [], [], [], [], 0
-        for a, b, c in zip(*(table.column(x).to_pylist() for x in ("classes", "owners", "codes")), strict=True):
-            found, both = np.frombuffer(a, dtype=REP), np.frombuffer(b, dtype="<u4").astype(np.int64) + base
-            xs.append(both[:len(both) // 2]), ys.append(both[len(both) // 2:]), counts.append(np.frombuffer(c, dtype="<u4"))
-            reps.append(found)
-            base += len(found)
-        distinct, index = np.unique(np.concatenate(reps), return_inverse=True)
-        x, y = index[np.concatenate(xs)], index[np.concatenate(ys)]
-        sums = _Counts(len(distinct))
-        sums.add(np.minimum(x, y), np.maximum(x, y), np.concatenate(counts).astype(np.int64))
-        x, y, shared = sums.result()
+        distinct, x, y, shared = _unpacked(list(zip(*(table.column(c).to_pylist() for c in ("classes", "owners", "codes")), strict=True)))
         n = distinct["n"].astype(np.int64)
         ok = 100 * shared >= percent * (n[x] + n[y] - shared)
         x, y = x[ok], y[ok]
@@ -338,11 +462,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = spark.read.parquet(f"{folder}/sets")
     fragments = max(1, -(-int(sets.agg(F.sum("n")).first()[0] or 0) // PAIR_POSTINGS))
 
-    blocks = int(np.ceil(np.sqrt(2 * partitions)))
     (sets.mapInArrow(_pair_postings(fragments), f"fragment bigint, {BLOB}")
-     .groupBy("fragment").applyInArrow(_partial_overlaps(blocks, percent), f"block int, {BLOB}")
+     .groupBy("fragment").applyInArrow(_fragment_parts(percent), PARTS)
+     .write.option("parquet.block.size.row.check.min", "4").parquet(f"{folder}/parts"))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    small_batches(spark, ROW_BATCH)  # rows of counted pairs are long
+    parts = spark.read.parquet(f"{folder}/parts")
+    (parts.where("i >= 0").repartition(partitions, "fragment", "i", "j").mapInArrow(_tile_parts(percent), PARTS)
+     .write.option("parquet.block.size.row.check.min", "4").parquet(f"{folder}/tiles"))
+    counted = parts.where("i < 0").unionByName(spark.read.schema(PARTS).parquet(f"{folder}/tiles")).select(*BLOB_COLUMNS, "pairs")
+    sides = block_side(partitions, int(counted.agg(F.sum("pairs")).first()[0] or 0))
+    (counted.select(*BLOB_COLUMNS).mapInArrow(_blocks(sides), f"block int, {BLOB}")
      .groupBy("block").applyInArrow(_links(percent), "a bigint, b bigint, links bigint")
      .write.parquet(f"{folder}/links"))
+    small_batches(spark, int(batch))
     links = spark.read.parquet(f"{folder}/links")
     component = connected_components(links.select("a", "b"))
     linked = links.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("others"))

@@ -2,13 +2,50 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pairlens.llm import quality_llr
+from pairlens.llm import jaccard_join, quality_llr
 
 SF = "/root/testdata/sf0.01"
 
 
+# ------------------------------------------------------------------ 8
+
+def test_pairs_leave_in_bounded_rows_and_tiles_are_groups(monkeypatch):
+    rng = np.random.default_rng(3)
+    owner, codes = np.repeat(np.arange(40), 12), rng.integers(0, 25, 480).astype(np.uint64)
+    codes[:200] += np.uint64(1000) * (np.arange(200) // 40).astype(np.uint64)
+    one = np.unique(np.stack([codes.astype(np.int64), owner], 1), axis=0)
+    codes, owner = one[:, 0].astype("<u8"), one[:, 1]
+    reps = np.array([(100 + k, n, 1) for k, n in enumerate(rng.integers(20, 30, 40))], dtype=jaccard_join.REP)
+    x, y, n = jaccard_join.count_pairs(owner, codes, reps["n"].astype(np.int64))
+    want = {(100 + a, 100 + b): c for a, b, c in zip(x.tolist(), y.tolist(), n.tolist(), strict=True)}
+    for name, value in (("LONG_LIST", 9), ("TILE", 7), ("BUFFER", 60), ("ROW_PAIRS", 25)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = pa.record_batch({"fragment": [3], "classes": [reps.tobytes()], "owners": [owner.astype("<u4").tobytes()], "codes": [codes.tobytes()]})
+    parts = [r for b in jaccard_join._fragment_parts(80)((pa.scalar(3),), iter([rows])) for r in b.to_pylist()]
+    work = [r for r in parts if r["i"] >= 0]
+    assert len({(r["i"], r["j"]) for r in work}) == len(work) > 3
+    tiles = jaccard_join._tile_parts(80)(iter([pa.RecordBatch.from_pylist(work)]))
+    counted = [r for r in parts if r["i"] < 0] + [r for b in tiles for r in b.to_pylist()]
+    assert len(counted) > 10 and all(len(r["codes"]) // 4 == r["pairs"] <= 25 for r in counted)
+    got = Counter()
+    for b in jaccard_join._blocks(5)(iter([pa.RecordBatch.from_pylist(counted)])):
+        for r in b.to_pylist():
+            reps, x, y, n = jaccard_join._unpacked([(r["classes"], r["owners"], r["codes"])])
+            got.update({(a, b): c for a, b, c in zip(reps["id"][x].tolist(), reps["id"][y].tolist(), n.tolist(), strict=True)})
+    assert got == want
+
+
+def test_blocks_follow_the_pairs():
+    assert jaccard_join.block_side(12, 0) == 5
+    assert jaccard_join.block_side(12, 10**9) ** 2 / 2 * jaccard_join.BLOCK_PAIRS >= 10**9
+
+
 # ------------------------------------------------------------------ 10
 
 def test_quality_score_finds_labelled_junk(spark):
