@@ -35,7 +35,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_BRACKETED = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?[\[({] ?(?:at|AT|At) ?[\])}] ?([A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?(?:dot|DOT|Dot) ?[\])}]) ?[A-Za-z0-9-]+)+)")
+_AT = r"[\[({] ?(?:at|AT|At) ?[\])}]"
+_BRACKETED_AT = re.compile(_AT)  # what every match of the next one holds
+_BRACKETED = re.compile(r"([A-Za-z0-9._%+-]{1,64}) ?" + _AT + r" ?([A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?(?:dot|DOT|Dot) ?[\])}]) ?[A-Za-z0-9-]+)+)")
 _NATIONAL = re.compile(r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,5}\)?(?:[ ./-][0-9]{2,5}){1,4}(?![0-9A-Za-z])")
 _IPV6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 _DIGIT = re.compile("[0-9]")
@@ -96,7 +98,7 @@ def candidates(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, i
     base, more = [], []
     if "@" in text:
         base += [("email", a, b) for a, b in _emails(text)]
-    if any(x in text for x in ("at]", "at)", "at}", "AT]", "AT)", "AT}", "at ]", "at )")):
+    if _BRACKETED_AT.search(text):
         more += [("email", m.start(), m.end()) for m in _BRACKETED.finditer(text)]
     if _DIGIT.search(text):
         for a, b, ok in _ips(text):

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pairlens.llm import jaccard_join, quality_llr
+from pairlens.llm import jaccard_join, pii, quality_llr
 
 SF = "/root/testdata/sf0.01"
 
 
+# ------------------------------------------------------------------ 1
+
+def test_every_bracketed_form_is_a_candidate():
+    for opening, word, blank, closing in itertools.product("[({", ("at", "AT", "At"), ("", " "), "])}"):
+        text = f"write ann {opening}{blank}{word}{blank}{closing} example [dot] com"
+        assert [(k, text[a:b]) for k, a, b, _ in pii.candidates(text)[1]] == [("email", text[6:])], text
+    assert pii.redact("to ann ( AT ) example.com now", lambda f: True) == "to [EMAIL] now"
+
+
 # ------------------------------------------------------------------ 8
 
 def test_pairs_leave_in_bounded_rows_and_tiles_are_groups(monkeypatch):
