@@ -81,11 +81,9 @@ def shuffle_into_shards(df: DataFrame, id_col: str, shards: int = 16, seed: int
 
 
 def document_shards(docs: DataFrame, shards: int = 16, seed: int = 7) -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1; a null text has 1), text_crc32 (of a null text: 0), law ``rows``,
+    """Shuffle the documents themselves, then tell of each: doc_id, size (UTF-8 bytes plus 1; a null text has 1), text_crc32 (of a null text: 0), law ``rows``,
     shard, slot and grown_shard (null: this law moves rows when a shard is added)."""
-    digest = docs.select(
+    return shuffle_into_shards(docs, "doc_id", shards, seed).select(
         "doc_id", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("bigint").alias("size"),
-        F.coalesce(F.crc32("text"), F.lit(0)).cast("bigint").alias("text_crc32"))
-    return shuffle_into_shards(digest, "doc_id", shards, seed).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.coalesce(F.crc32("text"), F.lit(0)).cast("bigint").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from pairlens.llm import jaccard_join, pii, quality_llr
+from pairlens.llm import jaccard_join, pii, quality_llr, sharding
 
 SF = "/root/testdata/sf0.01"
 
@@ -56,6 +56,16 @@ def test_blocks_follow_the_pairs():
     assert jaccard_join.block_side(12, 10**9) ** 2 / 2 * jaccard_join.BLOCK_PAIRS >= 10**9
 
 
+# ------------------------------------------------------------------ 9
+
+def test_documents_are_shuffled_with_their_texts(spark, monkeypatch):
+    seen, shuffle = [], sharding.shuffle_into_shards
+    monkeypatch.setattr(sharding, "shuffle_into_shards", lambda df, *a, **b: seen.append(df.columns) or shuffle(df, *a, **b))
+    docs = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id bigint, text string, source string")
+    got = {(r["doc_id"], r["size"]) for r in sharding.document_shards(docs, 2).collect()}
+    assert got == {(1, 4), (2, 1)} and seen == [docs.columns]
+
+
 # ------------------------------------------------------------------ 10
 
 def test_quality_score_finds_labelled_junk(spark):
