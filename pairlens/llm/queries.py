@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import debruijn, decontamination, jaccard_join, licenses, packing, periodic_runs, pii, quality_llr, rans, sharding, token_rollup
+from pairlens.llm import collocations, debruijn, decontamination, jaccard_join, licenses, packing, periodic_runs, pii, quality_llr, rans, sharding, token_rollup
 from pairlens.llm.postings import small_batches
 from pairlens.session import new_state_path
 
@@ -63,7 +63,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(periodic_runs.collapse_runs(docs))
 
 
+def op13_hat_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_weak_supervision, op2_rare_token_index, op3_window_packing, op4_debruijn, op5_rans_files, op6_spaced_seeds, op7_token_rollup,
-    op8_vertical_jaccard, op9_hypergeometric_shards, op10_quality_llr, op12_periodic_runs)}
-SQL = {"op7_token_rollup": token_rollup.ROLLUP_SQL}
+    op8_vertical_jaccard, op9_hypergeometric_shards, op10_quality_llr, op12_periodic_runs,
+    op13_hat_trie_collocations)}
+SQL = {"op7_token_rollup": token_rollup.ROLLUP_SQL, "op13_hat_trie_collocations": collocations.COLLOCATIONS_SQL}
