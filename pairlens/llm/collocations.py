@@ -52,6 +52,7 @@ _ENDS = b".,;:!?\n\x0b\x0c\r"
 #: A-Z in lower case, every piece's end a line feed, tabs blanks.
 _PIECES = bytes(ord("\n") if b in _ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = tuple(np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)) for k in (1, 2, 3))
 
 
 def pair_code(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -232,8 +233,8 @@ def _word_counts(held: int):
 
 def positions(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
     """The three bits of each id."""
-    for salt in (1, 2, 3):
-        yield mix(ids + np.uint64(salt) * _STEP) & np.uint64(bits - 1)
+    for salt in _SALTS:
+        yield mix(ids + salt) & np.uint64(bits - 1)
 
 
 def passes(sieve: np.ndarray, ids: np.ndarray) -> np.ndarray:

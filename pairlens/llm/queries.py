@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlens.llm import collocations, debruijn, decontamination, jaccard_join, licenses, packing, periodic_runs, pii, quality_llr, rans, sharding, token_rollup
+from pairlens.llm import collocations, debruijn, decontamination, jaccard_join, licenses, packing, periodic_runs, pii, quality_llr, rans, sharding, token_rollup, toxicity
 from pairlens.llm.postings import small_batches
 from pairlens.session import new_state_path
 
@@ -58,6 +58,10 @@ def op10_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_llr.quality_verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = periodic_runs.planted(_table(spark, sf_dir, "documents"))
     return periodic_runs.run_digests(periodic_runs.collapse_runs(docs))
@@ -69,6 +73,6 @@ def op13_hat_trie_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_weak_supervision, op2_rare_token_index, op3_window_packing, op4_debruijn, op5_rans_files, op6_spaced_seeds, op7_token_rollup,
-    op8_vertical_jaccard, op9_hypergeometric_shards, op10_quality_llr, op12_periodic_runs,
-    op13_hat_trie_collocations)}
+    op8_vertical_jaccard, op9_hypergeometric_shards, op10_quality_llr,
+    op11_string_kernel_toxicity, op12_periodic_runs, op13_hat_trie_collocations)}
 SQL = {"op7_token_rollup": token_rollup.ROLLUP_SQL, "op13_hat_trie_collocations": collocations.COLLOCATIONS_SQL}
