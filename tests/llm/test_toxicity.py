@@ -95,22 +95,24 @@ def test_held_out_accuracy(scored):
     assert sum(named) >= 0.9 * len(named)
 
 
-def test_changed_insults_are_found(spark, scored, monkeypatch):
+def test_changed_insults_are_found(spark, monkeypatch):
+    """Held-out toxic documents of the larger tables, with every insult spaced, dashed, starred, or with one more letter."""
     rng = random.Random(5)
 
     def one_more(m):
         i = rng.randrange(1, len(m.group()))
         return m.group()[:i] + rng.choice("jqxz") + m.group()[i:]
 
-    labels, docs = spark.read.parquet(f"{SF}/labels.parquet"), spark.read.parquet(f"{SF}/documents.parquet")
+    labels, docs = (spark.read.parquet(f"/root/testdata/sf0.1/{x}.parquet") for x in ("labels", "documents"))
     machine = T.train(docs, labels)
     monkeypatch.setattr(T, "train", lambda *a, **b: machine)
-    texts = [r["text"] for r in scored if r["toxic"] and r["predicted"] and INSULTS.search(r["text"])]
+    known = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").where(T.is_held_out(F.col("doc_id")))
+    texts = [r["text"] for r in known.select("text").collect() if INSULTS.search(r["text"])]
     for change in (lambda m: " ".join(m.group()), lambda m: "-".join(m.group()), lambda m: "*".join(m.group()), one_more):
         changed = [(k, INSULTS.sub(change, t)) for k, t in enumerate(texts)]
         assert not any(INSULTS.search(t) for _, t in changed)
         found = T.toxicity(spark.createDataFrame(changed, "doc_id bigint, text string"), labels).agg(F.sum("predicted")).first()[0]
-        assert found >= 0.85 * len(texts), (found, len(texts))
+        assert found >= 0.85 * len(texts) > 40, (found, len(texts))
 
 
 def test_held_out_labels_and_other_columns_change_nothing(spark, scored):
