@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.llm.components import connected_components
@@ -63,13 +63,14 @@ def fingerprint(codes: np.ndarray) -> tuple[int, int]:
 
 
 def _members(batches) -> Iterator:
-    """doc_id, n and fingerprint of each text."""
+    """doc_id, n and fingerprint of each text; a column ``row_key`` goes along."""
     for batch in slices(batches):
         ids, n, one, two = [], [], [], []
         for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text").to_pylist()), strict=True):
             a, b = fingerprint(s)
             ids.append(doc), n.append(len(s)), one.append(a), two.append(b)
-        yield record_batch({"doc_id": ids, "n": n, "f1": one, "f2": two})
+        keys = {"row_key": batch.column("row_key").to_pylist()} if "row_key" in batch.schema.names else {}
+        yield record_batch({"doc_id": ids, "n": n, "f1": one, "f2": two, **keys})
 
 
 CLASS = np.dtype([("f1", "<i8"), ("f2", "<i8"), ("n", "<u4")])
@@ -433,18 +434,21 @@ def _links(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, row_key: Column | None = None) -> DataFrame:
     """Per document row: doc_id, n_shingles (long), component_id (smallest doc_id reachable by links), n_links (documents
     whose shingle sets have a Jaccard similarity of at least ``percent`` % with this one, equal ones included).
 
     A null or blank text has no shingles and no links. Rows with a null doc_id are not compared: component_id is null,
     n_links 0. Repeated rows are equal documents; rows that share an id are each compared, and count as one node
-    of the graph. Other columns are ignored. An empty table gives no rows.
+    of the graph. Other columns are ignored. An empty table gives no rows. With ``row_key``, a long over the columns of ``docs``, rows
+    also have that and the fingerprint of their set (f1, f2), which tell rows of one id apart.
     """
     spark = docs.sparkSession
     folder = new_state_path(spark, "jaccard")
-    docs = docs.select(F.col("doc_id").cast("bigint"), "text")
-    docs.mapInArrow(_members, "doc_id bigint, n bigint, f1 bigint, f2 bigint").write.parquet(f"{folder}/members")
+    keyed = [] if row_key is None else [row_key.alias("row_key")]
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text", *keyed)
+    docs = rows.select("doc_id", "text")
+    rows.mapInArrow(_members, "doc_id bigint, n bigint, f1 bigint, f2 bigint" + ", row_key bigint" * len(keyed)).write.parquet(f"{folder}/members")
     members = spark.read.parquet(f"{folder}/members")
     classes = members.where("n > 0 AND doc_id IS NOT NULL").groupBy("f1", "f2").agg(
         F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("*").alias("m"))
@@ -487,4 +491,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return found.select(
         F.col("d.doc_id"), F.col("d.n").alias("n_shingles"),
         F.coalesce("c.component", "c.rep", "d.doc_id").alias("component_id"),
-        F.coalesce(F.col("c.m") - 1 + F.coalesce("c.others", F.lit(0)), F.lit(0)).alias("n_links"))
+        F.coalesce(F.col("c.m") - 1 + F.coalesce("c.others", F.lit(0)), F.lit(0)).alias("n_links"),
+        *[F.col(f"d.{c}") for c in ("row_key", "f1", "f2") if keyed])
