@@ -79,9 +79,54 @@ def test_packing_stage(outputs):
     check_pieces(outputs[5].collect(), Counter((r["doc_id"], enc.encode(r["text"]) + b"\0\0\0\0") for r in outputs[4].collect()))
 
 
+@pytest.fixture(scope="module")
+def clashing(spark):
+    """Good documents with columns named like the operators' own, odd rows, and rows that share an id."""
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").where(
+        "lang = 'en' AND n_chars BETWEEN 400 AND 3000").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1 AND toxic = 0"), "doc_id", "left_semi")
+        .orderBy("doc_id").limit(6).collect()]
+    long = " ".join(f"w{k}" for k in range(120_000))
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[0]), (2, texts[2]), (3, texts[2] + " more"), (4, texts[3]), (None, texts[4]), (None, texts[4]),
+            (5, long), (6, None), (7, "")]
+    names = ["_row", "_id", "_quality", "_ql_words", "component_id", "f1", "row_key", "packed_row", "text_key", "nth_copy", "rep", "m"]
+    data = [(i, t, "en", "s", len(t or ""), *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(rows)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{n} string" for n in names)
+    return spark.createDataFrame(data, schema).repartition(3), names
+
+
+def test_shared_ids_and_clashing_names(spark, clashing):
+    docs, names = clashing
+    kept = sorted((r["doc_id"] or 0, (r["text"] or "")[:60], r["_row"]) for r in docs.collect())
+    after = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert after.columns == docs.columns
+    rows = after.collect()
+    of_one = sorted(r["text"] for r in rows if r["doc_id"] == 1)
+    both = sorted(r["text"] for r in docs.where("doc_id = 1").distinct().collect())
+    assert of_one == sorted(set(both)) and len(of_one) == 2  # two documents under one id stay, the repeated row goes
+    assert sorted((r["doc_id"] or 0) for r in rows) == [0, 0, 1, 1, 2, 4, 5, 6, 7]
+    assert all((r["doc_id"] or 0, (r["text"] or "")[:60], r["_row"]) in kept for r in rows)
+    for r in rows:
+        assert len({r[n].removeprefix(n) for n in names}) == 1  # a row's own values, all of them
+
+
+def test_every_stage_keeps_columns_and_takes_odd_tables(spark, clashing):
+    docs, names = clashing
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+        if name == "packing":
+            assert {r["doc_id"] for r in out.select("doc_id").collect()} == {1, 2, 3, 4, 5, 6, 7, None}
+            continue
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert any(r["doc_id"] == 5 and len(r["text"]) > 600_000 for r in rows), name
+        for r in rows:
+            assert len({r[n].removeprefix(n) for n in names}) == 1, name
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
     names = set(__spark_entry__.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert jaccard_join.SHINGLE == 5 and jaccard_join.PERCENT == 80
