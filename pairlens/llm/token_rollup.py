@@ -66,10 +66,12 @@ class TokenRollup:
         events = (events.where(F.col("doc_id").isNotNull())
                   .select("doc_id", "tokenizer", "op", "source", "lang", "n_tokens", "seq")
                   .withColumn("_rank", F.row_number().over(latest)).where("_rank = 1"))
-        old = self.current()
+        touched = events.select("doc_id", "tokenizer")
         same = (F.col("e.doc_id") == F.col("o.doc_id")) & F.col("e.tokenizer").eqNullSafe(F.col("o.tokenizer"))
-        retired = (old.alias("o").join(events.alias("e"), same, "left_semi")
-                   .withColumn("sign", F.lit(-1)))
+        # only the ledger rows of touched documents are netted; the join's partitioning by doc_id serves the sum as well
+        rows = self._read("ledger", LEDGER).alias("o").join(touched.alias("e"), same, "left_semi")
+        retired = (rows.groupBy("doc_id", "tokenizer", "source", "lang", "n_tokens").agg(F.sum("sign").alias("_sign"))
+                   .where("_sign > 0").drop("_sign").withColumn("sign", F.lit(-1)))
         added = (events.where("op in ('insert', 'revise')")
                  .select("doc_id", "tokenizer", "source", "lang",
                          F.coalesce("n_tokens", F.lit(0)).cast("bigint").alias("n_tokens"), F.lit(1).alias("sign")))
@@ -89,11 +91,12 @@ PIECES = r"[A-Za-z]+|[0-9]|[^\x00-\x7F]+"
 
 
 def document_batches(docs: DataFrame, short: int = 200) -> dict[str, DataFrame]:
-    """Three batches of events of a growing corpus, over every document.
+    """Four batches of events of a growing corpus, over every document.
 
     ``arrive``: all documents, counted exactly by tokenizer ``words-1`` and by a quarter of their characters
     for ``pieces-1``. ``recount``: exact piece counts for all. ``retire``: documents under ``short``
-    characters go. A null text has no tokens and no characters.
+    characters go. ``return``: they come back, with exact counts, so that the totals cover every document.
+    A null text has no tokens and no characters. Rows that share a doc_id count as one document, see ``TokenRollup``.
     """
     text, keys = F.coalesce("text", F.lit("")), ["doc_id", "source", "lang"]
 
@@ -108,20 +111,22 @@ def document_batches(docs: DataFrame, short: int = 200) -> dict[str, DataFrame]:
         "recount": events("revise", "pieces-1", F.regexp_count(text, F.lit(PIECES))),
         "retire": events("delete", "words-1", F.lit(0), gone).unionByName(
             events("delete", "pieces-1", F.lit(0), gone)),
+        "return": events("insert", "words-1", F.regexp_count(text, F.lit(WORDS)), gone).unionByName(
+            events("insert", "pieces-1", F.regexp_count(text, F.lit(PIECES)), gone)),
     }
 
 
 def document_rollup(docs: DataFrame, path: str) -> DataFrame:
-    """Totals after the three batches, one of them sent twice."""
+    """Totals of every document after the four batches, two of them sent twice."""
     rollup = TokenRollup(docs.sparkSession, path)
     batches = document_batches(docs)
-    for name in ("arrive", "recount", "arrive", "retire", "recount"):
+    for name in ("arrive", "recount", "arrive", "retire", "recount", "return"):
         rollup.commit(name, batches[name])
     return rollup.totals()
 
 
 ROLLUP_SQL = """
-WITH kept AS (SELECT * FROM documents WHERE length(coalesce(text, '')) >= 200 AND doc_id IS NOT NULL)
+WITH kept AS (SELECT * FROM documents WHERE doc_id IS NOT NULL)
 SELECT source, lang, 'words-1' AS tokenizer, CAST(count(*) AS BIGINT) AS n_docs,
   CAST(sum(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))) AS BIGINT) AS n_tokens
 FROM kept GROUP BY source, lang

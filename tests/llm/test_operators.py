@@ -377,6 +377,21 @@ def test_rollup_follows_signed_events(spark):
     assert {r["doc_id"] for r in rollup.current().collect()} == {1, 2, 3}
 
 
+def test_document_rollup_equals_brute_force(spark, docs, none, rows):
+    """Every document counts, short ones too; of rows that share an id the one with most tokens."""
+    odd = docs.withColumn("source", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("source")))
+    got = {tuple(r) for r in token_rollup.document_rollup(odd, new_state_path(spark, "rollup")).collect()}
+    want: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
+    texts = {i: t for i, t in rows if i is not None}
+    for i, t in texts.items():
+        for name, pattern in (("words-1", r"[^\x20\x09-\x0D]+"), ("pieces-1", r"[A-Za-z]+|[0-9]|[^\x00-\x7F]+")):
+            cell = want[None if i % 3 == 0 else "s", "en", name]
+            cell[0] += 1
+            cell[1] += len(re.findall(pattern, t or ""))
+    assert got == {(*k, *v) for k, v in want.items()} and any(len(t or "") < 200 for t in texts.values())
+    assert token_rollup.document_rollup(none, new_state_path(spark, "rollup")).count() == 0
+
+
 def test_an_interrupted_batch_is_written_anew(spark):
     path = new_state_path(spark, "rollup")
     rollup = token_rollup.TokenRollup(spark, path)
