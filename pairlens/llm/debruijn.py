@@ -9,11 +9,15 @@ coordinates; the earliest occurrence stays and the words of all others go.
    stands at one place only are not repeated. Anchors are counted in fragments of their order, packed.
 3. Nodes at windows with repeated anchors are grouped by code, with a tag of the words' windows before and behind. Nodes
    with several ways in or out, or at the end of a text, are where paths begin and end.
-4. Spark chains each text's branching nodes to path occurrences, groups equal paths (same first edge, last node and
-   length), and joins every occurrence with the earliest one's coordinates.
-
-Window codes have 64 bits; tags have 32. A tag collision can only hide a branch, and occurrences that then differ in
-length or last node count as different paths, so nothing is removed that has no earlier copy.
+4. Spark chains each text's branching nodes to path occurrences, groups paths of the same first edge, last node and
+   length, and joins every occurrence with the earliest one's coordinates. Paths that very many texts have are dealt over
+   ``SALTS`` tasks each; at most ``HOT`` paths can be that frequent, and only they are broadcast.
+5. Verification: a node carries the running code of all words before it, so the source coordinates of an occurrence give the code
+   of its words between the ends. Paths whose occurrences all have the same one are equal word for word. Where they differ
+   (two tags or node codes agreed by chance and hid a branch), the words of every occurrence are fetched from its source and
+   compared with the earlier ones', and only words in windows that stand there too are removed.
+
+Codes of words, windows and tags have 64 bits each.
 """
 
 from __future__ import annotations
@@ -26,16 +30,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlens.llm.postings import BLOB, cut, joined, owner_bytes, record_batch, slices
-from pairlens.llm.textcodes import chunks, mix, sequence_code, window_codes, word_codes
+from pairlens.llm.textcodes import _Q, _Q_INV, _powers, chunks, mix, sequence_code, window_codes, word_codes
 from pairlens.session import new_state_path
 
 K = 20
 ANCHOR = 8
 ANCHOR_POSTINGS = 2_000_000
 NODE_POSTINGS = 1_000_000
+HOT = 1_000  # a path with more than this share of all occurrences is dealt over SALTS tasks
+SALTS = 64
+TAG_BITS = 64
 CLASS = np.dtype([("f1", "<i8"), ("f2", "<i8")])
 DOC = np.dtype([("id", "<i8"), ("f1", "<i8")])
-NODE = np.dtype([("code", "<u8"), ("at", "<u4"), ("before", "<u4"), ("behind", "<u4")])
+NODE = np.dtype([("code", "<u8"), ("at", "<u4"), ("before", "<u8"), ("behind", "<u8"), ("words", "<u8")])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -87,6 +95,18 @@ def _members(batches) -> Iterator:
                                              ["doc_id", "n_words", "f1", "f2", "sha"])
 
 
+def running_code(codes: np.ndarray) -> np.ndarray:
+    """Code of all words before each place, the end included; see ``between``."""
+    total = np.zeros(len(codes) + 1, dtype=np.uint64)
+    np.cumsum(mix(codes ^ _STEP) * _powers(_Q, len(codes)), out=total[1:])
+    return total
+
+
+def between(first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """From running codes at both ends, the code of the words from ``at`` on, wherever they stand."""
+    return mix((last - first) * _powers(_Q_INV, int(at.max()) + 1 if len(at) else 0)[at])
+
+
 def _anchors(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the anchor-sized windows, and the anchor of each ``k``-word window."""
     grams = window_codes(codes, ANCHOR)
@@ -196,11 +216,13 @@ def _node_postings(anchor_fragments: int, fragments: int, k: int):
                 if not edge.any():
                     continue
                 nodes, windows = window_codes(codes, k - 1), window_codes(codes, k)
-                tags = np.maximum(windows & np.uint64(0xFFFFFFFF), np.uint64(1)).astype(np.uint32)
+                tags = np.maximum(windows >> np.uint64(64 - TAG_BITS), np.uint64(1))  # 0: no window
                 at = np.flatnonzero(np.concatenate([edge, [False]]) | np.concatenate([[False], edge]))
                 p = np.zeros(len(at), dtype=NODE)
                 p["code"], p["at"] = nodes[at], at
-                p["before"], p["behind"] = np.concatenate([[0], tags])[at], np.concatenate([tags, [0]])[at]
+                none = np.zeros(1, np.uint64)
+                p["before"], p["behind"] = np.concatenate([none, tags])[at], np.concatenate([tags, none])[at]
+                p["words"] = running_code(codes)[at]
                 docs.append((doc, f1))
                 postings.append(p)
             if not docs:
@@ -240,10 +262,10 @@ def _branching(table):
         single &= (low == high) & (low > 0)
     at = np.flatnonzero(np.repeat((length > 1) & ~single, length))
     if not len(at):
-        return _empty(doc="long", f1="long", at="long", node="long", behind="long")
+        return _empty(doc="long", f1="long", at="long", node="long", behind="long", words="long")
     n = nodes[at]
     return pa.table({"doc": pa.array(docs["id"][owner[at]]), "f1": pa.array(docs["f1"][owner[at]]), "at": pa.array(n["at"].astype(np.int64)),
-                     "node": pa.array(n["code"].astype(np.uint64).view(np.int64)), "behind": pa.array(n["behind"].astype(np.int64))})
+                     **{name: pa.array(n[c].astype(np.uint64).view(np.int64)) for name, c in (("node", "code"), ("behind", "behind"), ("words", "words"))}})
 
 
 def _cleaned(k: int):
@@ -269,7 +291,8 @@ def _cleaned(k: int):
 
 
 def repeated_paths(docs: DataFrame, members: DataFrame, k: int = K) -> DataFrame:
-    """Occurrences of repeated paths: doc, f1, at (first word), edges (windows), first (the earliest occurrence's doc and at)."""
+    """Occurrences of repeated paths: doc, f1, at (first word), edges (windows), path and end (with edges, the path's key), first (the
+    earliest occurrence's doc and at) and equal (all occurrences have the same words)."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     long = members.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= k))
@@ -283,16 +306,64 @@ def repeated_paths(docs: DataFrame, members: DataFrame, k: int = K) -> DataFrame
     fragments = max(1, -(-total // (3 * NODE_POSTINGS)))
     nodes = (docs.join(wanted, docs.doc_id == wanted.rep).select("rep", "f1", "f2", "anchors", "text")
              .mapInArrow(_node_postings(anchor_fragments, fragments, k), f"fragment bigint, {BLOB}")
-             .groupBy("fragment").applyInArrow(_branching, "doc bigint, f1 bigint, at bigint, node bigint, behind bigint"))
+             .groupBy("fragment").applyInArrow(_branching, "doc bigint, f1 bigint, at bigint, node bigint, behind bigint, words bigint"))
     chain = Window.partitionBy("doc", "f1").orderBy("at")
-    runs = (nodes.withColumns({"edges": F.lead("at").over(chain) - F.col("at"), "end": F.lead("node").over(chain)})
-            .where("edges IS NOT NULL").withColumn("path", F.xxhash64("node", "behind")))
+    runs = (nodes.withColumns({"edges": F.lead("at").over(chain) - F.col("at"), "end": F.lead("node").over(chain),
+                               "after": F.lead("words").over(chain)})
+            .where("edges IS NOT NULL").withColumn("path", F.xxhash64("node", "behind"))
+            .select("doc", "f1", "at", "edges", "path", "end", "words", "after")
+            .mapInArrow(_verified, "doc bigint, f1 bigint, at bigint, edges bigint, path bigint, end bigint, words bigint"))
     folder = new_state_path(spark, "paths")
-    runs.write.parquet(folder)
-    runs, same = spark.read.parquet(folder), ["path", "end", "edges"]
-    paths = (runs.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"))
-             .where("n > 1"))
-    return runs.join(paths, same).select("doc", "f1", "at", "edges", "first")
+    runs.write.parquet(f"{folder}/runs")
+    runs, same = spark.read.parquet(f"{folder}/runs"), ["path", "end", "edges"]
+    (runs.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first"),
+                             (F.min("words") == F.max("words")).alias("equal"))
+     .where("n > 1").write.parquet(f"{folder}/paths"))
+    paths = spark.read.parquet(f"{folder}/paths")
+    often = max(SALTS, runs.count() // HOT)
+    hot = paths.where(F.col("n") > often).select(*same, F.lit(True).alias("hot"))  # at most HOT rows
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "at"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt")
+    salts = F.explode(F.when(F.col("n") > often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    return (runs.join(F.broadcast(hot), same, "left").select("doc", "f1", "at", "edges", "path", "end", salt)
+            .join(paths.select(*same, "first", "equal", salts), [*same, "salt"]).select("doc", "f1", "at", "edges", "path", "end", "first", "equal"))
+
+
+def _verified(batches) -> Iterator:
+    """The code of a path's words before its last node, from the running codes at its ends."""
+    import pyarrow as pa
+
+    for batch in batches:
+        at, first, last = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("at", "words", "after"))
+        code = between(first.view(np.uint64), last.view(np.uint64), at)
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc", "f1", "at", "edges", "path", "end")], pa.array(code.view(np.int64))],
+                                         ["doc", "f1", "at", "edges", "path", "end", "words"])
+
+
+def _window_rows(k: int):
+    """Of every occurrence of an unequal path the codes of its windows: doc, f1, at (the window's), code."""
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        for batch in slices(batches):
+            rows: list[tuple] = []
+            for doc, f1, spans, codes in zip(*(batch.column(c).to_pylist() for c in ("doc", "f1", "spans")), _coded(_texts(batch)), strict=True):
+                windows = window_codes(codes, k).view(np.int64).tolist()
+                rows += [(doc, f1, i, windows[i]) for s in spans for i in range(s["at"], s["at"] + s["edges"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4,
+                                             ["doc", "f1", "at", "code"])
+
+    return run
+
+
+def _compared(docs: DataFrame, unequal: DataFrame, k: int) -> DataFrame:
+    """Spans (doc, f1, at, edges) of the windows of unequal paths' occurrences that an earlier occurrence has too, each one
+    window: words are compared at their source coordinates."""
+    spans = unequal.groupBy("doc", "f1").agg(F.collect_list(F.struct("at", "edges")).alias("spans"))  # of one document
+    windows = (docs.join(spans, docs.doc_id == spans.doc).select("doc", "f1", "spans", "text")
+               .mapInArrow(_window_rows(k), "doc bigint, f1 bigint, at bigint, code bigint").distinct())
+    earliest = windows.groupBy("code").agg(F.min(F.struct("doc", "at")).alias("first"))
+    return (windows.join(earliest, "code").where("doc <> first.doc OR at <> first.at")
+            .select("doc", "f1", "at", F.lit(1).cast("bigint").alias("edges")))
 
 
 def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
@@ -307,7 +378,9 @@ def without_repeats(docs: DataFrame, k: int = K) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint"), "text")
     docs.mapInArrow(_members, "doc_id bigint, n_words bigint, f1 bigint, f2 bigint, sha string").write.parquet(folder)
     members = spark.read.parquet(folder)
-    later = repeated_paths(docs, members, k).where("doc <> first.doc OR at <> first.at")
+    paths = repeated_paths(docs, members, k)
+    later = (paths.where("equal AND (doc <> first.doc OR at <> first.at)").select("doc", "f1", "at", "edges")
+             .unionByName(_compared(docs, paths.where("NOT equal"), k)))
     spans = later.groupBy("doc", "f1").agg(F.collect_list(F.struct("at", "edges")).alias("spans"))  # of one document
     changed = (docs.join(spans, docs.doc_id == spans.doc).select("doc", "f1", "spans", "text")
                .mapInArrow(_cleaned(k), "doc bigint, f1 bigint, n_removed bigint, kept string"))

@@ -305,6 +305,28 @@ def test_repeated_spans(spark, seed):
     assert got == plain_removal(rows, debruijn.K)
 
 
+@pytest.mark.parametrize("bits", [1, 64])
+def test_hidden_branches_are_compared_word_by_word(spark, monkeypatch, bits):
+    """With tags narrowed to one bit, paths that differ in a word in the middle look alike; that word stays."""
+    monkeypatch.setattr(debruijn, "TAG_BITS", bits)
+    head, tail = [f"p{k}" for k in range(30)], [f"s{k}" for k in range(30)]
+    rows = [(k, " ".join([f"own{k}", *head, f"mid{k}", *tail])) for k in range(8)] + [(8 + k, " ".join([*head, f"mid{k}", *tail])) for k in range(4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in debruijn.without_repeats(df).collect()}
+    assert got == plain_removal(rows, debruijn.K)
+
+
+def test_hot_paths_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(debruijn, "HOT", 3)
+    monkeypatch.setattr(debruijn, "SALTS", 4)
+    rng = random.Random(1)
+    passage = [f"p{k}" for k in range(40)]
+    rows = [(k, " ".join([f"a{rng.random()}", *passage, f"b{rng.random()}"])) for k in range(80)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in debruijn.without_repeats(df).collect()}
+    assert got == plain_removal(rows, debruijn.K)
+
+
 def test_repeated_spans_of_odd_rows(docs, none):
     out = debruijn.without_repeats(docs)
     assert out.count() == docs.count() and out.where("doc_id IS NULL AND n_removed > 0").count() == 0
