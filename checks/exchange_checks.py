@@ -377,21 +377,48 @@ def sql_overlap(examples: str, sentences: str) -> str:
 
 # ---------------------------------------------------------------- stream
 
-def response_stream(spark, sf_dir):
-    """All replies, superseded, repeated, late and unknown ones too, written as files, read as a stream, labelled and
-    appended; the last reply of each known id is taken when the table is read."""
-    preds = predictions(spark, sf_dir, CLOSED_M1)
-    folder = new_state_path(spark, "intake")
-    rows = responses(preds)
+def _landed(spark, preds, folder, lots=2):
+    """All replies, superseded, repeated, late and unknown ones too, as files that land in lots; yields after each."""
     at = F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("custom_id"), F.lit(600)) + F.col("arrival") * 86_400)
     copies = F.array(F.col("custom_id"), F.col("custom_id"), F.concat("custom_id", F.lit("_gone")))
-    rows.select(F.explode(copies).alias("custom_id"), "status", "text", at.alias("arrival")).write.json(f"{folder}/in")
+    rows = responses(preds).select(F.explode(copies).alias("custom_id"), "status", "text", at.alias("arrival"))
+    lot = F.pmod(F.xxhash64("custom_id", "arrival"), F.lit(lots))
+    for k in range(lots):
+        rows.where(lot == k).write.mode("append").json(f"{folder}/in")
+        yield k
+
+
+def _kept_replies(spark, sf_dir):
+    """The lots are read in several micro-batches each, by a query that starts again on its checkpoint for each lot."""
+    preds = predictions(spark, sf_dir, CLOSED_M1)
+    folder = new_state_path(spark, "intake")
     key = F.concat(F.lit("cls_"), F.col("row_id").cast("string"), F.lit("_"), F.col("variant"))
     examples = preds.select(key.alias("custom_id"), "row_id", "variant", "referent", "expected_label")
-    stream = intake.labelled(intake.read_responses(spark, f"{folder}/in"), examples, open_task=False)
-    intake.append(stream.select("custom_id", "arrival", "known", "row_id", "variant", "predicted_label", "confidence", "correct"),
-                  f"{folder}/out", f"{folder}/state", once=True).awaitTermination()
-    return intake.settled(spark.read.parquet(f"{folder}/out")).select("row_id", "variant", "predicted_label", "confidence", "correct")
+    for _ in _landed(spark, preds, folder):
+        stream = intake.labelled(intake.read_responses(spark, f"{folder}/in", files_per_trigger=4), examples, open_task=False)
+        intake.keep_last(stream.select("custom_id", "arrival", "known", "row_id", "variant", "predicted_label", "confidence", "correct"),
+                         f"{folder}/state", once=True).awaitTermination()
+    return intake.last_replies(spark, f"{folder}/state")
+
+
+def response_stream(spark, sf_dir):
+    """The last reply of each known id, out of the stream's state."""
+    return _kept_replies(spark, sf_dir).where("known").select("row_id", "variant", "predicted_label", "confidence", "correct")
+
+
+def unknown_replies(spark, sf_dir):
+    """The last reply of each id that no example has."""
+    return intake.unknown(_kept_replies(spark, sf_dir)).select("custom_id", "predicted_label", "confidence")
+
+
+def response_states(spark, sf_dir):
+    """Replies by state, summed over the arrival windows that the stream counts."""
+    preds, folder = predictions(spark, sf_dir, CLOSED_M1), new_state_path(spark, "intake")
+    for _ in _landed(spark, preds, folder):
+        counts = intake.status_counts(intake.read_responses(spark, f"{folder}/in", files_per_trigger=4))
+        intake.write_counts(counts, f"{folder}/counts", f"{folder}/state").awaitTermination()
+    table = spark.read.parquet(f"{folder}/counts")
+    return table.groupBy("status").agg(F.sum("n").alias("n"))
 
 
 LONG_REQUEST = "'cls_' || row_id || '_' || variant"
@@ -497,4 +524,10 @@ CHECKS = {
     "response_stream": Check(response_stream, with_predictions(
         """SELECT row_id, variant, predicted_label, confidence, coalesce(predicted_label = expected_label, false) AS correct
            FROM closed_labels WHERE predicted_label IS NOT NULL""", CLOSED_M1, SQL_ANSWERS, SQL_REPLIES, SQL_CLOSED)),
+    "unknown_replies": Check(unknown_replies, with_predictions(
+        """SELECT 'cls_' || row_id || '_' || variant || '_gone' AS custom_id, predicted_label, confidence
+           FROM closed_labels WHERE predicted_label IS NOT NULL""", CLOSED_M1, SQL_ANSWERS, SQL_REPLIES, SQL_CLOSED)),
+    "response_states": Check(response_states, with_predictions(
+        """SELECT status, CAST(3 * count(*) AS BIGINT) AS n FROM (
+             SELECT status FROM answers UNION ALL SELECT 'succeeded' FROM answers WHERE g % 5 = 0) GROUP BY status""", CLOSED_M1, SQL_ANSWERS)),
 }

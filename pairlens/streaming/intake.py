@@ -1,4 +1,4 @@
-"""Replies as they land: label and append all of them; the last one of an id is chosen when the table is read."""
+"""Replies as they land: label them, keep the last one of each id as keyed state, and append all of them to a table if asked to."""
 
 from __future__ import annotations
 
@@ -30,6 +30,29 @@ def labelled(stream: DataFrame, examples: DataFrame, open_task: bool) -> DataFra
     return with_correct(answered)
 
 
+def keep_last(stream: DataFrame, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Keep the last labelled reply by ``arrival`` of each id as the query's state, in ``checkpoint``, a folder that all
+    executors share.
+
+    A micro-batch touches the ids it brings and no others. A query that starts again on the same checkpoint goes on
+    behind its last finished micro-batch; one that broke off is done again from the same state, so no reply counts
+    twice and none gets lost. With ``once`` it takes everything that is there, in as many micro-batches as the reader's limit
+    makes, then stops. State follows the number of ids; for many, set ``spark.sql.streaming.stateStore.providerClass`` to Spark's
+    RocksDB provider.
+    """
+    rest = [c for c in stream.columns if c != "custom_id"]
+    ranked = F.struct("arrival", *[c for c in rest if c != "arrival"])
+    last = stream.where(F.col("custom_id").isNotNull()).groupBy("custom_id").agg(F.max(ranked).alias("last"))
+    writer = last.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def last_replies(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What ``keep_last`` has kept: one row per id, read from its state. Nothing is grouped or shuffled."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select("key.custom_id", "value.max.*")
+
+
 def settled(appended: DataFrame, batch: DataFrame | None = None) -> DataFrame:
     """The last reply by ``arrival`` of each known id, of the appended table and a batch of the same columns."""
     rows = appended if batch is None else appended.unionByName(batch)
@@ -41,6 +64,16 @@ def unknown(appended: DataFrame) -> DataFrame:
     return appended.where("NOT known")
 
 
+def write_counts(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a table of ``status_counts`` up to date until everything that is there is counted. The whole small table is
+    written anew after every micro-batch, so a repeated batch changes nothing."""
+    def replace(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    return (counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def status_counts(stream: DataFrame, delay: str | None = None, window: str = "10 minutes") -> DataFrame:
     """Responses per state and arrival window. All windows stay open (one row per window and state) unless ``delay`` lets
     those behind the watermark go, with the replies that come for them later."""

@@ -269,6 +269,41 @@ def test_stream_intake_keeps_all_replies_and_resumes(spark, tmp_path):
     assert {r["status"]: r["n"] for r in spark.table("states").groupBy("status").agg(F.sum("n").alias("n")).collect()} == {"succeeded": 5, "errored": 1}
 
 
+def test_stream_state_keeps_the_last_reply_of_each_id(spark, tmp_path):
+    """Several micro-batches, a restart in between, late and repeated replies, an id that no example has, a null id."""
+    examples = spark.createDataFrame([(f"c{i}", "x", "masculine") for i in range(3)], "custom_id string, referent string, expected_label string")
+    landing, progress = tmp_path / "in", []
+    landing.mkdir()
+
+    def land(name, *replies):
+        rows = [{"custom_id": i, "status": "succeeded", "text": json.dumps({"gender": g}), "arrival": f"2024-01-01T{h:02}:00:00Z"} for i, g, h in replies]
+        (landing / name).write_text("\n".join(json.dumps(r) for r in rows), encoding="utf-8")
+
+    def run():
+        stream = intake.labelled(intake.read_responses(spark, str(landing), files_per_trigger=1), examples, open_task=False)
+        query = intake.keep_last(stream.select("custom_id", "arrival", "known", "predicted_label"), str(tmp_path / "state"), once=True)
+        query.awaitTermination()
+        progress.append(len([p for p in query.recentProgress if p["numInputRows"]]))
+        kept = intake.last_replies(spark, str(tmp_path / "state"))
+        return {r["custom_id"]: (r["predicted_label"], r["known"]) for r in kept.collect()}, kept
+
+    land("1.json", ("c0", "masculine", 3), ("c1", "feminine", 1))
+    land("2.json", ("c0", "feminine", 2), ("c1", "masculine", 9), (None, "masculine", 9))
+    assert run()[0] == {"c0": ("masculine", True), "c1": ("masculine", True)}
+    land("3.json", ("c0", "ambiguous", 4), ("c9", "feminine", 1))
+    land("4.json", ("c0", "feminine", 1), ("c1", "masculine", 9))
+    land("5.json", ("c9", "ambiguous", 0))
+    rows, kept = run()
+    assert rows == {"c0": ("ambiguous", True), "c1": ("masculine", True), "c9": ("feminine", False)}
+    assert progress == [2, 3] and [r["custom_id"] for r in intake.unknown(kept).collect()] == ["c9"]
+    assert run()[0] == rows and "Exchange" not in kept._jdf.queryExecution().executedPlan().toString()
+
+    counts = intake.status_counts(intake.read_responses(spark, str(landing), files_per_trigger=2))
+    for _ in range(2):
+        intake.write_counts(counts, str(tmp_path / "counts"), str(tmp_path / "counts_state")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "counts")).agg(F.sum("n")).first()[0] == 10
+
+
 def test_repair_rounds_stop_and_count(spark):
     rows = [(i, "cook", f"The cook number {i} ate.", f"The cook number {i} ate, sir.", f"The cook number {i} ate, miss.") for i in range(4)]
     corpus = spark.createDataFrame(rows, "row_id bigint, referent string, EN_source_sentence string, EN_masculine_sentence string, EN_feminine_sentence string")
