@@ -15,6 +15,7 @@ from pairlens.operators import quality as Q
 from pairlens.operators import reports as L
 
 CLOSED_M1 = (("m1", "zero_shot", False),)
+CLOSED_M2 = (("m2", "zero_shot", False),)
 OPEN_M1 = (("m1", "zero_shot_identify", False),)
 CLOSED_M1_THINK = (("m1", "zero_shot", False), ("m1", "zero_shot", True))
 OPEN_M1_THINK = (("m1", "zero_shot_identify", False), ("m1", "zero_shot_identify", True))
@@ -344,10 +345,13 @@ CHECKS = {
                          """labelled_answers AS (SELECT a.*, p.predicted_label, p.correct FROM answers a
             JOIN predictions p USING (row_id, variant, model, condition, thinking))""")),
     "marked_reply": Check(
-        lambda s, d: X.marked_reply(with_replies(s, d, CLOSED_M1), "thought").select("row_id", "variant", "referent", "raw_response", "marked"),
-        with_predictions("""SELECT row_id, variant, referent, text AS raw_response, contains(lower(coalesce(text, '')), 'thought') AS marked
-            FROM answers WHERE variant = 'source' ORDER BY marked DESC, row_id LIMIT 1""",
-                         CLOSED_M1, SQL_ANSWERS)),
+        lambda s, d: X.marked_reply(with_replies(s, d, CLOSED_M1), "thought", partner=with_replies(s, d, CLOSED_M2)).select(
+            "row_id", "variant", "referent", "raw_response", "marked", "partner_response"),
+        with_predictions("""SELECT p.row_id, p.variant, p.referent, p.text AS raw_response, p.marked, q.text AS partner_response
+            FROM (SELECT row_id, variant, referent, text, contains(lower(coalesce(text, '')), 'thought') AS marked
+                  FROM answers WHERE variant = 'source' AND model = 'm1' ORDER BY marked DESC, row_id LIMIT 1) p
+            LEFT JOIN (SELECT * FROM answers WHERE model = 'm2') q USING (row_id, variant)""",
+                         CLOSED_M1 + CLOSED_M2, SQL_ANSWERS)),
     "confident_errors": Check(
         lambda s, d: X.confident_errors(predictions(s, d), M.RUN).select(
             *M.RUN, "row_id", "variant", "confidence", "predicted_label", "rank"),

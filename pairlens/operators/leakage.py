@@ -26,20 +26,19 @@ def _keys(corpus: DataFrame) -> DataFrame:
     return corpus.select("row_id", F.explode_outer(F.array_distinct(keys)).alias("_key")).select("row_id", "_key.a", "_key.b")
 
 
-def _marked(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Every train row once: row_id, hit. Only ids and hashes are shuffled.
-
-    The test side is reduced to distinct sentences, so a sentence copied any number of times on
-    either side matches once per train row.
-    """
-    known = _keys(test).where(F.col("a").isNotNull()).select("a", "b").distinct().withColumn("_known", F.lit(1))
-    return (_keys(train).join(known, ["a", "b"], "left").groupBy("row_id")
-            .agg((F.count("_known") > 0).alias("hit")))
+def _suspects(train: DataFrame, known: DataFrame) -> DataFrame:
+    """Train sentences (row_id, a, b) that the test side's sieve may hold; the others don't leave the scan."""
+    return _keys(train).where(may_hold(sieve(known.select(F.col("a").alias("key"))), F.col("a")))
 
 
 def contaminated_ids(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Ids of train rows with any variant equal to any variant of any test row."""
-    return _marked(train, test).where("hit").select("row_id")
+    """Ids of train rows with any variant equal to any variant of any test row.
+
+    The test side is reduced to distinct sentences. Hashes are shuffled, of the train side only those that its sieve may
+    hold, so the exchange follows the hits and not the train corpus.
+    """
+    known = _keys(test).where(F.col("a").isNotNull()).select("a", "b").distinct()
+    return _suspects(train, known).join(known, ["a", "b"], "left_semi").select("row_id").distinct()
 
 
 def drop_contaminated(train: DataFrame, test: DataFrame) -> DataFrame:
@@ -47,8 +46,9 @@ def drop_contaminated(train: DataFrame, test: DataFrame) -> DataFrame:
 
 
 def contamination_report(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Rows, dropped rows and dropped percent."""
-    counted = _marked(train, test).agg(F.count("*").alias("rows"), F.count_if("hit").alias("dropped"))
+    """Rows, dropped rows and dropped percent; ``row_id`` is unique."""
+    marks = train.select(F.lit(False).alias("hit")).unionByName(contaminated_ids(train, test).select(F.lit(True).alias("hit")))
+    counted = marks.agg(F.count_if(~F.col("hit")).alias("rows"), F.count_if("hit").alias("dropped"))
     return counted.withColumn("percent", ratio(F.col("dropped") * 100, F.col("rows"), 2))
 
 

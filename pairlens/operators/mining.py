@@ -67,14 +67,18 @@ def neutral_regressions(first: DataFrame, second: DataFrame, picks: int = 2) ->
             .select("row_id", "variant", "sentence", "referent", "neutral_reading"))
 
 
-def marked_reply(predictions: DataFrame, marker: str, within: int | None = None) -> DataFrame:
+def marked_reply(predictions: DataFrame, marker: str, within: int | None = None, partner: DataFrame | None = None) -> DataFrame:
     """The first source row whose reply has the marker (in its first ``within`` characters, if given), else the first
-    source row."""
+    source row; with ``partner``, another model's predictions, also its reply to that row (null if it has none)."""
     reply = F.coalesce("raw_response", F.lit(""))
     said = reply if within is None else F.left(reply, F.lit(within))
     rows = predictions.where(F.col("variant") == "source").withColumn("marked", F.contains(F.lower(said), F.lit(marker.lower())))
-    return (rows.orderBy(F.desc("marked"), "row_id").limit(1)
-            .select("row_id", "variant", "sentence", "referent", "expected_label", "raw_response", "marked"))
+    picked = (rows.orderBy(F.desc("marked"), "row_id").limit(1)
+              .select("row_id", "variant", "sentence", "referent", "expected_label", "raw_response", "marked"))
+    if partner is None:
+        return picked
+    theirs = partner.select("row_id", "variant", F.col("raw_response").alias("partner_response"))
+    return theirs.join(F.broadcast(picked), ["row_id", "variant"], "right").select(*picked.columns, "partner_response")
 
 
 def head_per_run(rows: DataFrame, by, order: list[Column], n: int) -> DataFrame:

@@ -13,18 +13,24 @@ from pairlens.functions.text import is_blank
 def exact_sample(df: DataFrame, n: int, seed: int, key: str = "row_id") -> DataFrame:
     """Exactly ``min(n, rows)`` rows, chosen by a seeded hash of the key.
 
-    The choice depends on keys and seed only, not on partitions or order. ``key`` must be unique. Whole hash
-    buckets are taken up to the one that holds the n-th key, and only keys are ranked; rows are joined once.
+    The choice depends on keys and seed only, not on partitions or order. ``key`` must be unique; rows with a null key are never
+    drawn. A histogram of the draws finds the bucket with the n-th key, whose keys alone are ranked; the rows then pass one
+    filter, and none is shuffled or joined. The two small lookups run while the plan is built.
     """
-    drawn = df.select(key).withColumn("_draw", key_hash(F.lit(seed), F.col(key))).withColumn("_bucket", F.shiftright("_draw", 12))
+    draw = key_hash(F.lit(seed), F.col(key))
+    bucket, df = F.shiftright(draw, 12), df.where(F.col(key).isNotNull())
+    if n <= 0:
+        return df.limit(0)
     # At most 2^20 buckets; their running total needs no more than one small task.
-    total = Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
-    cut = (drawn.groupBy("_bucket").agg(F.count("*").alias("_n"))
-           .select("_bucket", "_n", F.sum("_n").over(total).alias("_through")).where(F.col("_through") - F.col("_n") < n))
-    rank = F.row_number().over(Window.partitionBy("_bucket").orderBy("_draw", key))
-    kept = drawn.join(cut, "_bucket").withColumn("_rank", rank).where(
-        F.col("_rank") <= n - (F.col("_through") - F.col("_n"))).select(key)
-    return df.join(kept, key, "left_semi")
+    total = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    border = (df.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).withColumn("through", F.sum("n").over(total))
+              .where(F.col("through") >= n).orderBy("bucket").first())
+    if border is None:
+        return df
+    inside = df.where(bucket == border["bucket"]).select(draw.alias("draw"), F.col(key).alias("key"))
+    last = (inside.orderBy("draw", "key").limit(n - border["through"] + border["n"])
+            .agg(F.max(F.struct("draw", "key")).alias("last")).first()["last"])
+    return df.where((draw < last["draw"]) | ((draw == last["draw"]) & (F.col(key) <= last["key"])))
 
 
 def variant_rank(variant: Column) -> Column:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlens.operators import leakage as J
+from pairlens.operators import mining
 from pairlens.operators import records as N
 from pairlens.operators import requests as R
 from pairlens.operators import responses as H
@@ -234,6 +235,37 @@ def test_runs_are_stacked_and_missing_ones_skipped(spark, wide, tmp_path):
         readers.read_runs(spark, {("b", "zero_shot"): str(tmp_path / "none.parquet")})
 
 
+def test_contamination_shuffles_hits_only(spark):
+    columns = "row_id bigint, EN_source_sentence string, EN_masculine_sentence string, EN_feminine_sentence string"
+    train = spark.createDataFrame([(k, f"Line {k}", f"line {k}, sir", None) for k in range(3_000)], columns)
+    test = spark.createDataFrame([(9, " LINE 7", "other", ""), (10, "line 8, SIR ", None, None)], columns)
+    known = J._keys(test).where("a IS NOT NULL").select("a", "b").distinct()
+    assert J._suspects(train, known).count() <= 5  # of 6,000 sentences
+    assert sorted(r[0] for r in J.contaminated_ids(train, test).collect()) == [7, 8]
+    plan = J.contaminated_ids(train, test)._jdf.queryExecution().executedPlan().toString()
+    scan_side = plan[plan.index("may") if "may" in plan else 0:]
+    assert "scalar-subquery" in scan_side.lower() or "Subquery" in scan_side
+    nothing = train.limit(0)
+    assert J.contaminated_ids(train, nothing).count() == 0 and tuple(J.contamination_report(nothing, test).first())[:2] == (0, 0)
+
+
+def test_a_sieve_holds_all_its_keys(spark):
+    keys = spark.range(5_000).select(F.xxhash64("id").alias("key"))
+    other = spark.range(5_000, 50_000).select(F.xxhash64("id").alias("key"))
+    assert keys.where(J.may_hold(J.sieve(keys), F.col("key"))).count() == 5_000
+    assert other.where(J.may_hold(J.sieve(keys), F.col("key"))).count() < 450
+    assert other.where(J.may_hold(J.sieve(keys.limit(0)), F.col("key"))).count() == 0
+
+
+def test_marked_reply_with_its_partner(spark):
+    columns = "row_id bigint, variant string, sentence string, referent string, expected_label string, raw_response string"
+    ours = spark.createDataFrame([(1, "source", "s", "r", "ambiguous", "no"), (2, "source", "s", "r", "ambiguous", "I THINK so")], columns)
+    theirs = spark.createDataFrame([(2, "source", "s", "r", "ambiguous", "theirs"), (1, "source", "s", "r", "ambiguous", "x")], columns)
+    assert mining.marked_reply(ours, "think", partner=theirs).first()["partner_response"] == "theirs"
+    found = mining.marked_reply(ours, "think", partner=theirs.where("row_id = 1")).collect()
+    assert [(r["row_id"], r["partner_response"]) for r in found] == [(2, None)]
+
+
 def test_stream_intake_keeps_all_replies_and_resumes(spark, tmp_path):
     examples = spark.createDataFrame([(f"c{i}", "x", "masculine") for i in range(3)], "custom_id string, referent string, expected_label string")
     landing = tmp_path / "in"
