@@ -294,21 +294,21 @@ CHECKS = {
             GROUP BY GROUPING SETS ((cue_group, display), (cue_group), ())
             HAVING grouping(cue_group) = 1 OR cue_group IS NOT NULL""", OPEN_M1, SQL_STRATA)),
     "chi_square": Check(
-        lambda s, d: L.chi_square(flagged(s, d), with_p=False),
-        with_predictions("""SELECT local_parsed, local_unparsed, cross_parsed, cross_unparsed, 1 AS dof,
-            total * power(greatest(abs(local_parsed * cross_unparsed - local_unparsed * cross_parsed) - total / 2, 0), 2)
-            / ((local_parsed + local_unparsed) * (cross_parsed + cross_unparsed) * (local_parsed + cross_parsed)
-               * (local_unparsed + cross_unparsed)) AS chi2
-            FROM (SELECT local_parsed::DOUBLE AS local_parsed, local_unparsed::DOUBLE AS local_unparsed,
-            cross_parsed::DOUBLE AS cross_parsed, cross_unparsed::DOUBLE AS cross_unparsed,
-            (local_parsed + local_unparsed + cross_parsed + cross_unparsed)::DOUBLE AS total FROM (
-            SELECT count(*) FILTER (cue_group = 'local' AND parsed) AS local_parsed,
-            count(*) FILTER (cue_group = 'local' AND NOT parsed) AS local_unparsed,
-            count(*) FILTER (cue_group = 'cross' AND parsed) AS cross_parsed,
-            count(*) FILTER (cue_group = 'cross' AND NOT parsed) AS cross_unparsed FROM shown))""", OPEN_M1, SQL_STRATA)
-        .replace("SELECT local_parsed, local_unparsed, cross_parsed, cross_unparsed, 1 AS dof",
-                 "SELECT local_parsed::BIGINT AS local_parsed, local_unparsed::BIGINT AS local_unparsed, "
-                 "cross_parsed::BIGINT AS cross_parsed, cross_unparsed::BIGINT AS cross_unparsed, 1 AS dof")),
+        lambda s, d: L.chi_square(flagged(s, d)).withColumn("p", F.round("p", 9)),
+        with_predictions("""SELECT local_parsed, local_unparsed, cross_parsed, cross_unparsed, dof, chi2, round(CASE WHEN dof = 0 OR chi2 <= 0 THEN 1.0
+              WHEN chi2 < 18 THEN 1 - density * 2 * sqrt(chi2 / 2) * list_reduce(terms, lambda a, k: a * chi2 / (2 * k + 1) + 1, 1.0::DOUBLE)
+              ELSE density / (sqrt(chi2 / 2) * list_reduce(terms, lambda a, k: k / (chi2 * a) + 1, 1.0::DOUBLE)) END, 9) AS p
+            FROM (SELECT *, exp(-chi2 / 2) / sqrt(pi()) AS density FROM tested) AS t, (SELECT range(150, 0, -1)::DOUBLE[] AS terms) AS r""", OPEN_M1, SQL_STRATA,
+                         """counted AS (SELECT count(*) FILTER (cue_group = 'local' AND parsed) AS local_parsed,
+              count(*) FILTER (cue_group = 'local' AND NOT parsed) AS local_unparsed,
+              count(*) FILTER (cue_group = 'cross' AND parsed) AS cross_parsed,
+              count(*) FILTER (cue_group = 'cross' AND NOT parsed) AS cross_unparsed FROM shown),
+            margins AS (SELECT *, (local_parsed + local_unparsed)::DOUBLE AS a, (cross_parsed + cross_unparsed)::DOUBLE AS b,
+              (local_parsed + cross_parsed)::DOUBLE AS c, (local_unparsed + cross_unparsed)::DOUBLE AS d FROM counted),
+            tested AS (SELECT local_parsed, local_unparsed, cross_parsed, cross_unparsed,
+              CASE WHEN a * b * c * d > 0 THEN 1 ELSE 0 END AS dof, CASE WHEN a * b * c * d > 0 THEN (a + b) * power(greatest(
+                abs(local_parsed::DOUBLE * cross_unparsed - local_unparsed::DOUBLE * cross_parsed) - (a + b) / 2, 0), 2) / (a * b * c * d)
+                ELSE 0.0 END AS chi2 FROM margins)""")),
     "matched_accuracy": Check(
         lambda s, d: L.matched_accuracy(flagged(s, d)),
         with_predictions("""SELECT count(*) AS n_matched, count(*) FILTER (correct)::DOUBLE / count(*) AS accuracy

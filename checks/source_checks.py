@@ -31,12 +31,12 @@ def review_sheet(spark, sf_dir):
 
 
 def term_lists(spark, sf_dir):
-    """One file per language, one line of text per term."""
+    """One list per language, one line of text per term."""
     path = new_state_path(spark, "terms")
     lines = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("value"), "lang")
     lines.write.partitionBy("lang").text(path)
     terms = readers.read_term_lists(spark, f"{path}/*")
-    return terms.groupBy("term").agg(F.count("*").alias("n"))
+    return terms.groupBy("list_name", "term").agg(F.count("*").alias("n"))
 
 
 def record_file(spark, sf_dir):
@@ -76,8 +76,9 @@ def failed_rows(spark, sf_dir):
 CHECKS = {
     "corpus_file": Check(corpus_file, with_corpus("SELECT row_id, referent, EN_source_sentence, EN_feminine_sentence FROM corpus")),
     "review_sheet": Check(review_sheet, "SELECT doc_id AS row_id, '\"' || text || '\", \"' || lang AS EN_source_sentence FROM documents"),
-    "term_lists": Check(term_lists, """SELECT term, count(*) AS n FROM (SELECT trim(unnest(string_split(text, chr(10)))) AS term FROM documents)
-        WHERE term <> '' GROUP BY term"""),
+    "term_lists": Check(term_lists, """SELECT list_name, term, count(*) AS n FROM (
+        SELECT coalesce(lang, '__HIVE_DEFAULT_PARTITION__') AS list_name, trim(unnest(string_split(text, chr(10)))) AS term FROM documents)
+        WHERE term <> '' GROUP BY list_name, term"""),
     "record_file": Check(record_file, f"""SELECT system, question, target, count(*) AS n FROM (
         {sql_records(sql_closed_target("label"), False, False)}) GROUP BY ALL"""),
     "split_rows": Check(split_rows, "SELECT doc_id, source, text, CASE WHEN length(text) < 500 THEN 'short' ELSE 'long' END AS status FROM documents"),

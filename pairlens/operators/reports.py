@@ -4,10 +4,8 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pairlens.fixed_values import (
     APPOSITIVE_WARNING_SHARE, EDIT_SOFT_LIMIT, NOT_FOUND, OK_RATINGS, PARSE_ERROR, RATINGS, RUBRIC_COLUMNS,
@@ -145,10 +143,20 @@ def strata(flagged: DataFrame) -> DataFrame:
         (ratio(F.col("n_correct"), F.col("n")) * 100).alias("acc_all"), "n_matched", "n_correct")
 
 
-@F.pandas_udf(T.DoubleType())
-def _tail_probability(chi2: pd.Series) -> pd.Series:
-    """Upper tail of the chi-square distribution with one degree of freedom."""
-    return chi2.map(lambda x: math.erfc(math.sqrt(x / 2)))
+_TAIL_TERMS = 150
+
+
+def tail_probability(chi2: Column) -> Column:
+    """Upper tail of the chi-square distribution with one degree of freedom: erfc(sqrt(chi2 / 2)).
+
+    Below 18 one minus the series of positive terms, above it the continued fraction; both are evaluated from the last term on.
+    """
+    terms, half = F.sequence(F.lit(_TAIL_TERMS), F.lit(1)), chi2 / 2
+    series = F.aggregate(terms, F.lit(1.0), lambda a, k: a * chi2 / (k * 2 + 1) + 1.0)
+    fraction = F.aggregate(terms, F.lit(1.0), lambda a, k: k / (chi2 * a) + 1.0)
+    density = F.exp(-half) / F.lit(math.sqrt(math.pi))
+    return (F.when(chi2 <= 0, F.lit(1.0)).when(chi2 < 18, F.lit(1.0) - density * 2.0 * F.sqrt(half) * series)
+            .otherwise(density / (F.sqrt(half) * fraction)))
 
 
 def chi_square(flagged: DataFrame, with_p: bool = True) -> DataFrame:
@@ -174,7 +182,7 @@ def chi_square(flagged: DataFrame, with_p: bool = True) -> DataFrame:
                         F.when(full, F.lit(1)).otherwise(F.lit(0)).alias("dof"))
     if not with_p:
         return out
-    return out.withColumn("p", F.when(F.col("dof") == 1, _tail_probability(F.col("chi2"))).otherwise(F.lit(1.0)))
+    return out.withColumn("p", F.when(F.col("dof") == 1, tail_probability(F.col("chi2"))).otherwise(F.lit(1.0)))
 
 
 def matched_accuracy(flagged: DataFrame) -> DataFrame:

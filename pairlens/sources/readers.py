@@ -41,17 +41,24 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their place: file, 1-based number and text. Files are read whole, one row each,
+    """Lines with their place: file, path, 1-based number and text. Files are read whole, one row each,
     which suits word lists."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).select(
-        "file", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+    files = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_path").alias("path"), "value")
+    return files.select("file", "path", F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).select(
+        "file", "path", (F.col("pos") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def list_name(file: Column, path: Column) -> Column:
+    """The file's name without its ending; of a part file, as Spark writes them, the name of its folder (of ``key=value`` the value)."""
+    folder = F.url_decode(F.regexp_extract(path, r"([^/=]*)/[^/]*$", 1))
+    return F.when(F.startswith(file, F.lit("part-")), folder).otherwise(F.regexp_replace(file, r"\.[^.]*$", ""))
 
 
 def read_term_lists(spark: SparkSession, path: str) -> DataFrame:
-    """Term lists, one term per line: term, list_name (the file name without its ending)."""
+    """Term lists, one term per line: term, list_name (see ``list_name``)."""
     lines = read_text_lines(spark, path)
-    return lines.select(strip(F.col("line")).alias("term"), F.regexp_replace("file", r"\.[^.]*$", "").alias("list_name")).where(
+    return lines.select(strip(F.col("line")).alias("term"), list_name(F.col("file"), F.col("path")).alias("list_name")).where(
         F.col("term") != "")
 
 

@@ -217,6 +217,8 @@ def test_sources_and_sinks_round_trip(spark, wide, tmp_path):
     (tmp_path / "terms" / "male.txt").write_text("king\n\n duke \n", encoding="utf-8")
     terms = readers.read_term_lists(spark, str(tmp_path / "terms")).collect()
     assert {(r["term"], r["list_name"]) for r in terms} == {("king", "male"), ("duke", "male")}
+    spark.createDataFrame([("queen", "fe male")], "value string, kind string").write.partitionBy("kind").text(str(tmp_path / "parts"))
+    assert [tuple(r) for r in readers.read_term_lists(spark, str(tmp_path / "parts" / "*")).collect()] == [("queen", "fe male")]
     (tmp_path / "pairs.md").write_text("# x\n| Masculine | Feminine |\n|---|---|\n| king | queen |\n", encoding="utf-8")
     assert {r["form"] for r in readers.read_pair_lexicon(spark, str(tmp_path / "pairs.md")).collect()} == {"king", "queen"}
     failed = wide.withColumn("generation_status", F.when(F.col("row_id") == 2, "expired").otherwise("ok"))

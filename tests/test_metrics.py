@@ -100,6 +100,13 @@ def test_strata_and_chi_square(spark):
     assert (flat["chi2"], flat["dof"], flat["p"]) == (0.0, 0, 1.0)
 
 
+def test_tail_probability_equals_erfc(spark):
+    values = [0.0, 1e-9, 0.01, 0.5, 1.0, 3.84, 10.0, 17.99, 18.0, 18.01, 40.0, 100.0, 400.0, 1400.0]
+    rows = spark.createDataFrame([(x,) for x in values], "chi2 double").select("chi2", L.tail_probability(F.col("chi2")).alias("p")).collect()
+    for r in rows:
+        assert r["p"] == pytest.approx(math.erfc(math.sqrt(r["chi2"] / 2)), rel=1e-9), r["chi2"]
+
+
 def test_evaluation_writes_all_tables(preds, spark, tmp_path):
     attributes = spark.createDataFrame([(2, "adjective", True, False, True)],
                                        "row_id bigint, strategy string, filter_any boolean, filter_multi_sentence boolean, accepted boolean")
