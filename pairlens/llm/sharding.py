@@ -1,6 +1,7 @@
 """Uniform shuffle into shards of exact size through a hypergeometric communication matrix.
 
-The rows are dealt to logical source partitions by a keyed hash of their id. How many rows of each
+The rows are dealt to logical source partitions by a keyed hash of all their columns, so rows of one id part; rows that are
+equal in everything stay together. How many rows of each
 partition go to each shard is drawn exactly, partition by partition, from the multivariate
 hypergeometric law: that is the count matrix of a uniformly random permutation cut into shards. Each
 partition then permutes its rows by random keys, hands them out by its row of the matrix, and each shard
@@ -17,7 +18,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_PARTITION = 20_000
-MAX_PARTITIONS = 4_096
+MAX_PARTITIONS = 4_096  # beyond, partitions grow; their sorts spill
+NUMPY_TOTAL = 1_000_000_000
+DEVIATIONS = 13
 
 
 def shard_sizes(total: int, shards: int) -> np.ndarray:
@@ -25,13 +28,42 @@ def shard_sizes(total: int, shards: int) -> np.ndarray:
     return total // shards + (np.arange(shards) < total % shards).astype(np.int64)
 
 
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, sample: int) -> int:
+    """How many of ``sample`` rows drawn without replacement are among ``good`` ones, for totals of any size.
+
+    Numpy's sampler takes totals below ``NUMPY_TOTAL``. Beyond, the law is inverted around its mode: probabilities follow
+    from their exact ratios within ``DEVIATIONS`` standard deviations, which leaves out less than 10^-30.
+    """
+    total = good + bad
+    if total < NUMPY_TOTAL:
+        return int(rng.hypergeometric(good, bad, sample))
+    low, high = max(0, sample - bad), min(sample, good)
+    share = good / total
+    spread = (sample * share * (1 - share) * (total - sample) / max(1, total - 1)) ** 0.5
+    mode = min(max(int((sample + 1) * (good + 1) / (total + 2)), low), high)
+    reach = int(DEVIATIONS * spread) + 50
+    x = np.arange(max(low, mode - reach), min(high, mode + reach) + 1, dtype=np.int64)
+    y = x[:-1].astype(np.float64)
+    ratio = np.log(good - y) + np.log(sample - y) - np.log(y + 1) - np.log(np.float64(bad - sample) + y + 1)
+    logs = np.concatenate([[0.0], np.cumsum(ratio)])
+    weight = np.cumsum(np.exp(logs - logs.max()))
+    return int(x[np.searchsorted(weight, rng.random() * weight[-1], side="right")])
+
+
 def communication_matrix(counts: list[int], sizes: np.ndarray, seed: int) -> np.ndarray:
     """Row p says how many rows of partition p each shard gets; rows sum to ``counts``, columns to ``sizes``."""
     rng = np.random.default_rng(seed)
     left = np.array(sizes, dtype=np.int64)
     drawn = np.zeros((len(counts), len(left)), dtype=np.int64)
     for p, count in enumerate(counts):
-        drawn[p] = rng.multivariate_hypergeometric(left, count, method="marginals")
+        if left.sum() < NUMPY_TOTAL:
+            drawn[p] = rng.multivariate_hypergeometric(left, count, method="marginals")
+        else:
+            rest, need = int(left.sum()), count
+            for shard, size in enumerate(left.tolist()):
+                rest -= size
+                drawn[p, shard] = hypergeometric(rng, size, rest, need) if need and size else 0
+                need -= int(drawn[p, shard])
         left -= drawn[p]
     return drawn
 
@@ -53,10 +85,10 @@ def shuffle_into_shards(df: DataFrame, id_col: str, shards: int = 16, seed: int
     buckets = int(max(1, -(-total // (shards * rows_per_partition))))
 
     def random(n: int):
-        return F.xxhash64(F.lit(seed * 3 + n), key)
+        return F.xxhash64(F.lit(seed * 3 + n), key, F.col("_hs_tie"))
 
-    placed = df.withColumns({
-        "_hs_part": F.pmod(random(0), F.lit(parts)).cast("int"), "_hs_tie": whole})
+    placed = df.withColumn("_hs_tie", whole).withColumn(
+        "_hs_part", F.pmod(F.xxhash64(F.lit(seed * 3), key, F.col("_hs_tie")), F.lit(parts)).cast("int"))
     counted = {r["_hs_part"]: r["count"] for r in placed.groupBy("_hs_part").count().collect()}
     counts = [counted.get(p, 0) for p in range(parts)]
     ends = np.cumsum(communication_matrix(counts, shard_sizes(total, shards), seed), axis=1)

@@ -507,6 +507,37 @@ def test_matrix_has_exact_margins():
     assert sizes.max() - sizes.min() <= 1 and sizes.sum() == 103
 
 
+def test_matrix_of_a_trillion_rows_has_exact_margins():
+    counts, sizes = [250_000_000_000, 300_000_000_007, 449_999_999_990, 3], sharding.shard_sizes(10**12, 16)
+    matrix = sharding.communication_matrix(counts, sizes, 5)
+    assert (matrix >= 0).all() and matrix.sum(axis=1).tolist() == counts and (matrix.sum(axis=0) == sizes).all()
+    expected = np.outer(counts, sizes / 10**12)
+    assert (np.abs(matrix - expected) <= 7 * np.sqrt(expected) + 3).all() and (matrix[:3] != expected[:3].round()).any()
+
+
+def test_large_draws_follow_the_law(monkeypatch):
+    """The inversion, used for small totals too, against exact probabilities."""
+    from math import comb
+
+    monkeypatch.setattr(sharding, "NUMPY_TOTAL", 0)
+    rng = np.random.default_rng(8)
+    for good, bad, sample in ((7, 5, 6), (30, 70, 20), (2, 90, 60), (50, 3, 40)):
+        n = 20_000
+        seen = Counter(sharding.hypergeometric(rng, good, bad, sample) for _ in range(n))
+        for x in range(max(0, sample - bad), min(sample, good) + 1):
+            p = comb(good, x) * comb(bad, sample - x) / comb(good + bad, sample)
+            assert abs(seen[x] / n - p) <= 5 * (p * (1 - p) / n) ** 0.5 + 1e-4, (good, bad, sample, x)
+
+
+def test_rows_of_one_id_part(spark):
+    rows = [(None if k % 2 else 7, f"text {k}") for k in range(4_000)]
+    out = sharding.shuffle_into_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", 4, rows_per_partition=100)
+    found = out.collect()
+    assert Counter(r["shard"] for r in found) == {k: 1_000 for k in range(4)}
+    assert sorted(r["text"] for r in found) == sorted(t for _, t in rows)
+    assert all(sorted(r["slot"] for r in found if r["shard"] == k) == list(range(1_000)) for k in range(4))
+
+
 def test_shards(spark, docs, none, rows):
     got = sharding.document_shards(docs).collect()
     assert len(got) == len(rows)
