@@ -4,7 +4,8 @@ Fixed masks pick some positions of a run of words and ignore the others, so a su
 masks that look at it. Seeds of the benchmark items are indexed, seeds of every document position are looked up,
 and each hit fixes an alignment (item, shift) along which the words are compared: a document leaks an item if
 some ``SPAN`` neighbouring words of the item (all of them, if it has fewer) stand in the document with at most
-20 % of them replaced.
+20 % of them replaced. An item of fewer than ``MIN_WORDS`` words has one seed, of all its words, and leaks where they stand
+unchanged.
 
 The benchmark side goes to the tasks in blocks of at most ``MAX_SEEDS`` seeds; a larger benchmark takes more
 passes, each over all documents. Documents are never shuffled.
@@ -33,6 +34,11 @@ _WEIGHTS = np.random.default_rng(77).integers(0, 1 << 63, 32, dtype=np.uint64) *
 LEAKS = ("doc_id bigint, item_id bigint, doc_word bigint, item_word bigint, n_words bigint, n_equal bigint, n_seeds bigint")
 
 
+def masks_of(n_words: int) -> tuple[str, ...]:
+    """The masks whose seeds an item is looked up by."""
+    return MASKS if n_words >= MIN_WORDS else ("1" * n_words,) if n_words else ()
+
+
 def seeds(codes: np.ndarray, mask: str) -> np.ndarray:
     """Seed of ``mask`` at every position where it fits."""
     n = len(codes) - len(mask) + 1
@@ -53,22 +59,29 @@ class SeedIndex:
         codes, begin = word_codes([t for _, t in items], LETTER_TABLE)
         self.words = [codes[a:b] for a, b in zip(begin[:-1], begin[1:], strict=True)]
         found = [(s, np.full(len(s), k), np.arange(len(s))) for k, w in enumerate(self.words)
-                 if len(w) >= MIN_WORDS for s in (seeds(w, m) for m in MASKS)]
+                 for s in (seeds(w, m) for m in masks_of(len(w)))]
+        self.whole = sorted({m for w in self.words for m in masks_of(len(w)) if m not in MASKS})
         seed, item, at = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), *[np.zeros(0, int)] * 2)
         order = np.argsort(seed, kind="stable")
         self.seed, self.item, self.at = seed[order], item[order], at[order]
         self.filter = np.zeros(1 << _FILTER_BITS, dtype=bool)
         self.filter[self.seed & np.uint64((1 << _FILTER_BITS) - 1)] = True
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions in ``codes``, items and item positions of all equal seeds."""
+    def hits(self, codes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions in ``codes``, items and item positions of all equal seeds; of a short item's the first in each text
+        (texts start at ``begin``), so that a frequent word yields no more rows than leaks."""
         out = []
-        for m in MASKS:
+        for m in (*MASKS, *self.whole):
             s = seeds(codes, m)
             at = np.flatnonzero(self.filter[s & np.uint64((1 << _FILTER_BITS) - 1)])
             low = np.searchsorted(self.seed, s[at], "left")
             count = np.searchsorted(self.seed, s[at], "right") - low
             at, low, count = at[count > 0], low[count > 0], count[count > 0]
+            if m not in MASKS:
+                doc = np.searchsorted(begin, at, "right") - 1
+                inside = at + len(m) <= begin[doc + 1]
+                first = np.flatnonzero(inside)[np.unique(np.stack([doc, low])[:, inside], axis=1, return_index=True)[1]]
+                at, low, count = at[first], low[first], count[first]
             entry = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
             out.append((np.repeat(at, count), self.item[entry], self.at[entry]))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -91,8 +104,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, max_seeds: int = MAX_SEEDS) ->
     """``LEAKS``: one row per document row and benchmark item it leaks; the best run of words on its best alignment.
 
     Words are runs of ASCII letters and digits and of all other characters, ASCII case aside. Null texts
-    have no words. Items of fewer than ``MIN_WORDS`` words leak nothing; items of equal texts are each named. Repeated
-    document rows give a row each. Other columns are ignored; an empty side gives no rows.
+    have no words. Items of fewer than ``MIN_WORDS`` words leak where all of them stand unchanged, at their first place; items
+    without words leak nothing; items of equal texts are each named. Repeated document rows give a row each. Other columns are ignored; an empty side gives no rows.
     """
     docs, found = docs.select(F.col("doc_id").cast("bigint"), "text"), None
     for shared in _index_blocks(benchmark, max_seeds):
@@ -132,7 +145,7 @@ def _found(index: SeedIndex, texts: list[bytes]) -> Iterator[tuple[int, int, int
     """(text, item, first word in the text, first word in the item, words, equal words, seeds) of each leak."""
     for a, b in chunks(texts):
         codes, begin = word_codes(texts[a:b], LETTER_TABLE)
-        at, item, item_at = index.hits(codes)
+        at, item, item_at = index.hits(codes, begin)
         doc = np.searchsorted(begin, at, "right") - 1
         if not len(at):
             continue

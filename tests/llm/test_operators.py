@@ -342,12 +342,12 @@ def test_leaks_survive_substitutions(spark, docs, none):
     texts = [(1, "a b " + " ".join(item).upper() + " c"), (2, "q " + ", ".join(swapped)), (3, " ".join(item[5:19])),
              (4, " ".join(rng.sample(item, 25))), (5, " ".join(item[:8])), (6, None), (None, " ".join(item))]
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
-    items = [(7, " ".join(item)), (8, "w1 w2 w3"), (9, None), (10, " ".join(f"v{k}" for k in range(9)))]
+    items = [(7, " ".join(item)), (8, "w1 w2 w3"), (9, None), (10, " ".join(f"v{k}" for k in range(9))), (11, "Q")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     for limit in (decontamination.MAX_SEEDS, 60):  # one block and several
         got = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(df, bench, limit).collect()}
-        assert got == {(1, 7), (2, 7), (3, 7), (None, 7)}
-        assert {r["doc_id"] for r in decontamination.leak_free(df, bench, limit).collect()} == {4, 5, 6}
+        assert got == {(1, 7), (2, 7), (3, 7), (None, 7), (1, 8), (5, 8), (None, 8), (2, 11)}
+        assert {r["doc_id"] for r in decontamination.leak_free(df, bench, limit).collect()} == {4, 6}
     assert decontamination.leaks(none, bench).count() == 0 and decontamination.leaks(docs, bench.limit(0)).count() == 0
     assert decontamination.leak_free(docs, bench).columns == docs.columns
 
@@ -371,6 +371,22 @@ def test_leaks_equal_brute_force_alignment():
     assert found > 100
 
 
+def test_short_items_equal_brute_force():
+    rng = random.Random(21)
+    items = [[f"u{rng.randrange(3)}" for _ in range(rng.randint(0, 7))] for _ in range(60)]
+    index = decontamination.SeedIndex([(k, " ".join(w).encode()) for k, w in enumerate(items)])
+    docs = [[f"u{rng.randrange(3)}" for _ in range(rng.choice([0, 1, 3, 12, 60]))] for _ in range(80)]
+    got = list(decontamination._found(index, [" ".join(d).encode() for d in docs]))
+    short = sorted((d, i, at, len(items[i])) for d, i, at, *_ in got if len(items[i]) < decontamination.MIN_WORDS)
+    truth = []
+    for d, words in enumerate(docs):
+        for i, w in enumerate(items):
+            at = [k for k in range(len(words) - len(w) + 1) if words[k:k + len(w)] == w]
+            if at and 0 < len(w) < decontamination.MIN_WORDS:
+                truth.append((d, i, at[0], len(w)))
+    assert short == truth and len(truth) > 300 and {n for *_, n in truth} == {1, 2, 3, 4, 5}
+
+
 def test_masks_fit_between_all_allowed_substitutions():
     for n in range(decontamination.MIN_WORDS, decontamination.SPAN + 1):
         allowed = int(n * (1 - decontamination.MIN_SHARE) + 1e-9)
