@@ -79,6 +79,11 @@ def test_quality_score_finds_labelled_junk(spark):
     assert clean[2] <= 0.01 * clean[0]
 
 
+def test_every_trusted_document_counts(spark):
+    labels = spark.range(30_000).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality_llr.trusted_ids(labels).count() == 30_000
+
+
 def test_threshold_ignores_how_far_outliers_lie(spark):
     def threshold(outlier: float) -> float:
         rows = [(50, 0, float(k)) for k in range(999)] + [(50, 0, outlier), (5, 0, -1e9)]
