@@ -40,8 +40,12 @@ PAIR_POSTINGS = 2_000_000  # of a fragment of step 3
 LONG_LIST = 64
 TILE = 2_048
 BUFFER = 1_000_000  # pairs a task gathers before it sends them on
-ROW_PAIRS = 50_000  # of a row of counted pairs
+ROW_PAIRS = 10_000  # of a row of counted pairs
+ROW_POSTINGS = 50_000  # of a row of a tile's work, but for a single list's
 ROW_BATCH = 50  # such rows sent to Python at once
+# Rows of packed pairs are long: pages and row groups that a task holds are cut by bytes after every few of them.
+ROW_FILES = {"parquet.block.size": str(16 << 20), "parquet.block.size.row.check.min": "4", "parquet.block.size.row.check.max": "16",
+             "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4"}
 BLOCK_PAIRS = 2_000_000  # counted pairs of a block
 
 
@@ -306,6 +310,18 @@ def _part_rows(reps: np.ndarray, x: np.ndarray, y: np.ndarray, count: np.ndarray
         yield _part(reps, x[at:at + ROW_PAIRS], y[at:at + ROW_PAIRS], count[at:at + ROW_PAIRS])
 
 
+def _list_steps(at: np.ndarray, to: np.ndarray, lists: int) -> Iterator[tuple[int, int]]:
+    """Ranges of list numbers with about ``ROW_POSTINGS`` postings of both sides each: counts of a pair are summed later, so a
+    tile's lists can be counted apart."""
+    through = np.cumsum(np.bincount(at, minlength=lists) + np.bincount(to, minlength=lists))
+    begin = 0
+    while begin < lists:
+        done = int(through[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(through, done + ROW_POSTINGS, side="right")))
+        yield begin, end
+        begin = end
+
+
 def _fragment_parts(percent: int):
     """Of a fragment, rows of counted pairs; and where long lists make more than one tile, the work of each tile as a row."""
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,8 +344,12 @@ def _fragment_parts(percent: int):
                 (x, at), (y, to) = ranges[i], ranges[j]
                 if i == j:
                     y, to = y[:0], to[:0]
-                side = np.repeat([0, 1], [len(x), len(y)])
-                yield _part(reps, np.concatenate([x, y]), np.concatenate([at, to]), side, fragment, i, j, 0)
+                for k in _list_steps(at, to, len(lists)):
+                    a, b = (slice(*np.searchsorted(z, k)) for z in (at, to))
+                    side = np.repeat([0, 1], [a.stop - a.start, b.stop - b.start])
+                    # without a second side in these lists there are no pairs
+                    if i == j or side.any() and not side.all():
+                        yield _part(reps, np.concatenate([x[a], y[b]]), np.concatenate([at[a], to[b]]), side, fragment, i, j, 0)
 
     return run
 
@@ -468,12 +488,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, row_key: Column | N
 
     (sets.mapInArrow(_pair_postings(fragments), f"fragment bigint, {BLOB}")
      .groupBy("fragment").applyInArrow(_fragment_parts(percent), PARTS)
-     .write.option("parquet.block.size.row.check.min", "4").parquet(f"{folder}/parts"))
+     .write.options(**ROW_FILES).parquet(f"{folder}/parts"))
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     small_batches(spark, ROW_BATCH)  # rows of counted pairs are long
     parts = spark.read.parquet(f"{folder}/parts")
-    (parts.where("i >= 0").repartition(partitions, "fragment", "i", "j").mapInArrow(_tile_parts(percent), PARTS)
-     .write.option("parquet.block.size.row.check.min", "4").parquet(f"{folder}/tiles"))
+    (parts.where("i >= 0").repartition(partitions, "fragment", "i", "j", F.xxhash64("codes", "owners")).mapInArrow(_tile_parts(percent), PARTS)
+     .write.options(**ROW_FILES).parquet(f"{folder}/tiles"))
     counted = parts.where("i < 0").unionByName(spark.read.schema(PARTS).parquet(f"{folder}/tiles")).select(*BLOB_COLUMNS, "pairs")
     sides = block_side(partitions, int(counted.agg(F.sum("pairs")).first()[0] or 0))
     (counted.select(*BLOB_COLUMNS).mapInArrow(_blocks(sides), f"block int, {BLOB}")

@@ -51,6 +51,23 @@ def test_pairs_leave_in_bounded_rows_and_tiles_are_groups(monkeypatch):
     assert got == want
 
 
+def test_rows_of_a_tile_are_bounded_and_lose_no_pair(monkeypatch):
+    """30 classes share 40 shingles: tiles of 7 classes leave in rows of few postings, and each pair keeps its count."""
+    owner, codes = np.tile(np.arange(30), 40), np.repeat(np.arange(40), 30).astype("<u8")
+    reps = np.array([(100 + k, 40, 1) for k in range(30)], dtype=jaccard_join.REP)
+    for name, value in (("LONG_LIST", 9), ("TILE", 7), ("ROW_POSTINGS", 50)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = pa.record_batch({"fragment": [3], "classes": [reps.tobytes()], "owners": [owner.astype("<u4").tobytes()], "codes": [codes.tobytes()]})
+    work = [r for b in jaccard_join._fragment_parts(80)((pa.scalar(3),), iter([rows])) for r in b.to_pylist()]
+    assert len(work) > 15 and all(len(r["codes"]) // 4 <= 50 for r in work)
+    got = Counter()
+    for b in jaccard_join._tile_parts(80)(iter([pa.RecordBatch.from_pylist(work)])):
+        for r in b.to_pylist():
+            found, x, y, n = jaccard_join._unpacked([(r["classes"], r["owners"], r["codes"])])
+            got.update({(a, b): c for a, b, c in zip(found["id"][x].tolist(), found["id"][y].tolist(), n.tolist(), strict=True)})
+    assert got == {(100 + a, 100 + b): 40 for a, b in itertools.combinations(range(30), 2)}
+
+
 def test_blocks_follow_the_pairs():
     assert jaccard_join.block_side(12, 0) == 5
     assert jaccard_join.block_side(12, 10**9) ** 2 / 2 * jaccard_join.BLOCK_PAIRS >= 10**9
