@@ -110,14 +110,14 @@ def word_distance(a: Column, b: Column, ignore_case: bool = False) -> Column:
 def sentence_boundaries(c: Column) -> Column:
     """Count ``[.!?]``, white space, capital; a point after a title abbreviation does not count."""
     not_after_title = "".join(rf"(?<!(?<!{WORD}){t})" for t in TITLE_ABBREVIATIONS)
-    return F.coalesce(F.regexp_count(c, F.lit(not_after_title + BOUNDARY)), F.lit(0))
+    return F.coalesce(F.regexp_count(c, F.lit("(?=[.!?])" + not_after_title + BOUNDARY)), F.lit(0))
 
 
 def contraction_drift(source: Column, variant: Column) -> Column:
     """First contraction whose inner space was lost: struct<found, tight>, or null."""
-    found = F.flatten(F.array(*[
+    found = F.when(F.contains(source, F.lit("'")), F.flatten(F.array(*[
         F.regexp_extract_all(source, F.lit(rf"{head}'{SPACE}*{tail}{EDGE}"), F.lit(0))
-        for head, tail in CONTRACTIONS]))
+        for head, tail in CONTRACTIONS]))).otherwise(F.array().cast("array<string>"))
     drifted = F.filter(
         F.transform(found, lambda m: F.struct(
             m.alias("found"), F.regexp_replace(m, rf"'{SPACE}+", "'").alias("tight"))),
@@ -134,13 +134,14 @@ def person_suffix_after(c: Column, term: Column) -> Column:
     """The man/woman/... word that directly follows the term, '' if none does."""
     suffixes = "|".join(PERSON_SUFFIXES)
     return F.call_function(
-        "regexp_extract", c, _suffix_pattern(term, rf"{SPACE}+({suffixes}){EDGE}"), F.lit(1))
+        "regexp_extract", c, _at_edge(term, rf"{SPACE}+({suffixes}){EDGE}"), F.lit(1))
 
 
 def stands_without_suffix(c: Column, term: Column) -> Column:
     suffixes = "|".join(PERSON_SUFFIXES)
-    return F.regexp_like(c, _suffix_pattern(term, rf"{EDGE}(?!{SPACE}+(?:{suffixes}))"))
+    return F.regexp_like(c, _at_edge(term, rf"{EDGE}(?!{SPACE}+(?:{suffixes}))"))
 
 
-def _suffix_pattern(term: Column, tail: str) -> Column:
-    return pattern("(?iu)" + EDGE, quoted(term), tail)
+def _at_edge(term: Column, tail: str) -> Column:
+    """The term from an edge on. The literal is looked for first: most places fail at its first character."""
+    return pattern("(?iu)(?=", quoted(term), ")" + EDGE, quoted(term), tail)
