@@ -107,3 +107,25 @@ def test_threshold_ignores_how_far_outliers_lie(spark):
         return quality_llr.score_threshold(spark.createDataFrame(rows, "n_words int, n_repeat_words int, llr double"))
 
     assert threshold(-1.0) == threshold(-1e6) and threshold(-1.0) >= 0
+
+
+def test_texts_of_trusted_documents_stay_in_the_scan(spark, monkeypatch):
+    """Same weights whether the sieves leave no document open, some, or all; only open ones are kept with their text."""
+    from pairlens.operators import leakage
+
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.expr("concat('w', id % 7, ' w', id % 5, ' common')").alias("text"))
+    docs = docs.unionByName(docs.where("doc_id < 9")).unionByName(spark.createDataFrame([(None, "w1 w1")], "doc_id bigint, text string"))
+    trusted = spark.range(0, 400, 3).select(F.col("id").alias("doc_id"), (F.col("id") % 2 == 0).alias("_ql_fit"))
+    found, kept, part = [], [], quality_llr._by_trust
+
+    def by_trust(*args):
+        unsure, rest = part(*args)
+        kept.append(unsure.count())
+        assert unsure.unionByName(rest).where("_ql_fit").count() == docs.join(trusted.where("_ql_fit"), "doc_id").count()
+        return unsure, rest
+
+    monkeypatch.setattr(quality_llr, "_by_trust", by_trust)
+    for cells in (1 << 18, 16, 1):
+        monkeypatch.setattr(leakage, "SIEVE_CELLS", cells)
+        found.append(quality_llr.bucket_weights(docs, trusted, 64).first()["weights"])
+    assert kept[0] == 0 < kept[1] <= kept[2] and found[0] == found[1] == found[2]
