@@ -361,3 +361,43 @@ def test_repair_rounds_stop_and_count(spark):
     assert {k: r["accepted"] for k, r in done.items()} == {0: True, 1: True, 2: False, 3: False}
     assert {k: r["retry_count"] for k, r in done.items()} == {0: None, 1: 1, 2: 2, 3: None}
     assert done[1]["disambiguation_strategy"] == "unknown" and done[1]["EN_masculine_sentence"].endswith("old man")
+
+
+def test_stream_state_lies_on_disk(spark, tmp_path, monkeypatch):
+    """A new query keeps its state in RocksDB, one that began in memory goes on there; the session's settings stay."""
+    examples = spark.createDataFrame([("c0", "x", "masculine")], "custom_id string, referent string, expected_label string")
+    store, before = "spark.sql.streaming.stateStore.providerClass", {k: spark.conf.get(k, None) for k in intake.DISK_STATE}
+
+    def land(name, gender, hour):
+        reply = {"custom_id": "c0", "status": "succeeded", "text": json.dumps({"gender": gender}), "arrival": f"2024-01-01T{hour:02}:00:00Z"}
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / name).write_text(json.dumps(reply), encoding="utf-8")
+
+    def run(state):
+        stream = intake.labelled(intake.read_responses(spark, str(tmp_path / "in")), examples, open_task=False)
+        intake.keep_last(stream.select("custom_id", "arrival", "known", "predicted_label"), str(tmp_path / state), once=True).awaitTermination()
+        offsets = sorted((tmp_path / state / "offsets").glob("[0-9]*"), key=lambda f: int(f.name))[-1].read_text(encoding="utf-8")
+        return json.loads(offsets.splitlines()[1])["conf"][store], [r["predicted_label"] for r in intake.last_replies(spark, str(tmp_path / state)).collect()]
+
+    land("a.json", "masculine", 1)
+    with monkeypatch.context() as patched:
+        patched.setattr(intake, "DISK_STATE", {})
+        assert "HDFSBacked" in run("old")[0]
+    land("b.json", "feminine", 2)
+    (provider, labels), (kept, went_on) = run("new"), run("old")
+    assert "RocksDB" in provider and "HDFSBacked" in kept and labels == went_on == ["feminine"]
+    assert {k: spark.conf.get(k, None) for k in intake.DISK_STATE} == before
+
+
+def test_micro_batches_of_a_lot_do_not_grow_with_its_files(spark, tmp_path, monkeypatch):
+    from checks import exchange_checks
+
+    monkeypatch.setattr(exchange_checks, "responses", lambda rows: rows)
+    rows = spark.range(4000).select(F.concat(F.lit("c"), F.col("id")).alias("custom_id"), F.lit("succeeded").alias("status"),
+                                    F.lit("{}").alias("text"), (F.col("id") % 2).alias("arrival"))
+    seen = 0
+    for each in exchange_checks._landed(spark, rows.repartition(24), str(tmp_path)):
+        files = len(list((tmp_path / "in").glob("part-*"))) - seen
+        seen += files
+        assert files > 16 and -(-files // each) <= 4
+    assert spark.read.json(str(tmp_path / "in")).count() == 12_000
