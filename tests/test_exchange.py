@@ -401,3 +401,18 @@ def test_micro_batches_of_a_lot_do_not_grow_with_its_files(spark, tmp_path, monk
         seen += files
         assert files > 16 and -(-files // each) <= 4
     assert spark.read.json(str(tmp_path / "in")).count() == 12_000
+
+
+def test_runs_are_written_unsorted_whatever_their_number(spark, tmp_path, monkeypatch):
+    """More runs than files a task holds open, null names among them; packed by zstd, and the session's setting stays."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(writers, "OPEN_RUNS", 3)
+    runs = spark.range(400).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("m"), F.col("id") % 7)).alias("model"),
+                                   F.concat(F.lit("c"), F.col("id") % 2).alias("condition"))
+    before = spark.conf.get(writers._WRITERS)
+    writers.write_runs(runs.repartition(3), str(tmp_path / "runs"))
+    back = readers.read_run_table(spark, str(tmp_path / "runs")).select(*runs.columns)
+    assert back.exceptAll(runs).count() == 0 == runs.exceptAll(back).count() and spark.conf.get(writers._WRITERS) == before
+    file = next((tmp_path / "runs").rglob("*.parquet"))
+    assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
