@@ -120,6 +120,31 @@ def test_draws_are_uniform_subsets(spark):
         assert len(seen) == comb(6, k) and sum((n - expected) ** 2 / expected for n in seen.values()) < 50
 
 
+def test_drawn_texts_pass_one_shuffle_packed(spark):
+    rows = [(i, f"r{i}", f"s{i}", f"r{i}", f"m{i}", f"r{i}", f"f{i}") for i in range(7)]
+    corpus = spark.createDataFrame(rows, WIDE)
+    plan = R.draw_demos(to_long(corpus), R.demo_pool(corpus))._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "collect_list" not in plan
+
+
+def test_gather_lists_every_entry_of_repeated_and_missing_keys(spark):
+    """Many buckets, several blocks a bucket: every row meets its own entries in order."""
+    from pairlens.operators.gathering import gather
+
+    rows = spark.range(3000).selectExpr("nullif(id % 2500, 7) AS row_id", "if(id % 3 = 0, 'a', 'b') AS variant", "id AS other")
+    entries = spark.range(9000).selectExpr(
+        "nullif(id * 7 % 2000, 7) AS row_id", "if(id % 2 = 0, 'a', 'b') AS variant", "8999 - id AS pos", "concat('t', id) AS text")
+    got = gather(rows, entries, ("row_id", "variant"), "pos", "found", 1 << 20, bucket_bytes=1 << 15, buffer_bytes=1 << 14)
+    held = {}
+    for e in sorted(entries.collect(), key=lambda e: e["pos"]):
+        held.setdefault((e["row_id"], e["variant"]), []).append(e["text"])
+    out = got.collect()
+    assert got.columns == ["row_id", "variant", "other", "found"] and sorted(r["other"] for r in out) == list(range(3000))
+    for r in out:
+        want = None if r["row_id"] is None else held.get((r["row_id"], r["variant"]))
+        assert (None if r["found"] is None else [x["text"] for x in r["found"]]) == want
+
+
 def test_demo_messages_are_valid_json(spark):
     df = spark.createDataFrame([('say "hi"\nté', "cook", "masculine")], "sentence string, referent string, gold string")
     demos = df.select(F.array(F.struct("sentence", "referent", "gold")).alias("d"))
