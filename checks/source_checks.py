@@ -45,7 +45,7 @@ def record_file(spark, sf_dir):
     writers.write_records(N.closed_records(corpus(spark, sf_dir), PROMPT), path)
     back = spark.read.schema("messages array<struct<role string, content string>>").json(path)
     rows = record_text(back.withColumns({"row_id": F.lit(0), "variant": F.lit("")}))
-    return rows.groupBy("system", "question", "target").agg(F.count("*").alias("n"))
+    return writers.count_records(rows.select("system", "question", "target"))
 
 
 def split_rows(spark, sf_dir):

@@ -176,6 +176,14 @@ def test_records_skip_blank_and_never_fall_back(wide, tmp_path, spark):
     assert 'Sentence: Hé "pal"' in texts and all(len(line["messages"]) == 3 for line in lines)
 
 
+def test_records_are_packed_and_counted_without_moving_single_ones(spark, tmp_path):
+    rows = spark.range(400).selectExpr("concat('t', id % 300) AS a", "nullif(id % 300, 299) AS b")
+    got = {(r["a"], r["b"]): r["n"] for r in writers.count_records(rows).collect()}
+    assert got == {(f"t{k}", None if k == 299 else k): 2 if k < 100 else 1 for k in range(300)}
+    writers.write_records(rows.select(F.array(F.struct(F.lit("user").alias("role"), F.col("a").alias("content"))).alias("messages")), str(tmp_path / "r"))
+    assert {f.suffix for f in (tmp_path / "r").glob("part-*")} == {".gz"} and spark.read.text(str(tmp_path / "r")).count() == 400
+
+
 def test_multi_records_override_the_annotated_entry(spark):
     rows = [(1, "source", "s", "nurse", "ambiguous", listing(("the nurse", "feminine"), ("cook", "masculine"))),
             (2, "source", "s", "nurse", "feminine", listing(("cook", "feminine"))), (3, "source", "s", "nurse", "feminine", "none"),
