@@ -42,16 +42,20 @@ def best_cuts(positions: list[int], penalties: list[int], window: int = WINDOW)
     while p < window:
         powers.append(p)
         p *= 2
-    index = {x: i for i, x in enumerate(positions)}
+    places, near = np.asarray(positions), {}  # of a cut, those that a power of two lies between
+    for p in powers:
+        k = np.searchsorted(places, places - p)
+        ends = np.flatnonzero(places[k] == places - p)
+        for j, i in zip(ends.tolist(), k[ends].tolist(), strict=True):
+            near.setdefault(j, []).append(i)
     for j in range(1, n):
         at = positions[j]
         while positions[queue[0][1]] < at - window:
             queue.popleft()
         cost, i = queue[0]
         cost += window - at
-        for p in powers:
-            k = index.get(at - p)
-            if k is not None and best[k] < cost:
+        for k in near.get(j, ()):
+            if best[k] < cost:
                 cost, i = best[k], k
         cost += penalties[j]
         best[j], back[j] = cost, i

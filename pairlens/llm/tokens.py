@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -36,6 +37,10 @@ def _byte_letters() -> dict[int, int]:
 _LETTERS = _byte_letters()
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class PieceEncoder:
     """Ids as little-endian unsigned 32-bit bytes. ``byte_level``: pieces keep the blank before them and case
     counts; otherwise white space is dropped and case is folded."""
@@ -51,14 +56,14 @@ class PieceEncoder:
         self.split = _BYTE_PIECES.findall if byte_level else _WORD_PIECES.findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # between blanks
+        self.words: dict[str, bytes] = {}  # between blanks, with their punctuation if seen before
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _merged(self, piece: str) -> bytes:
         letters = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
-        return np.array([t.id for t in self.model.tokenize(letters)], dtype="<u4").tobytes()
+        return _bytes_of([t.id for t in self.model.tokenize(letters)])
 
     def _piece(self, piece: str) -> bytes:
         ids = self.pieces.get(piece)
@@ -80,8 +85,13 @@ class PieceEncoder:
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isalpha():
             return self._word(chunk)
-        if chunk[:-1].isalpha() and chunk[-1] in ".,!?;:":
-            return self._word(chunk[:-1]) + self._piece(chunk[-1])
+        word = chunk[:-1]
+        if word.isalpha() and chunk[-1] in ".,!?;:":
+            seen = word in self.words
+            ids = self._word(word) + self._piece(chunk[-1])
+            if seen and len(self.words) < self.max_entries:  # words seen once leave the room to others
+                self.words[chunk] = ids
+            return ids
         return b"".join(map(self._piece, self.split(self.blank + chunk)))
 
     def _chunked(self, chunks: list[str]) -> bytes:
