@@ -37,11 +37,20 @@ def word_array(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPLIT))
 
 
+def window_hashes(hashes: Column, window: int = WINDOW) -> Column:
+    """One hash for each run of ``window`` elements: hashes of runs half as long are joined, so each costs a few steps."""
+    def joined(runs: Column, step: int) -> Column:
+        return bind(runs, lambda a: F.transform(a, lambda x, i: F.xxhash64(x, F.get(a, i + step))))
+
+    size, found = 1, hashes
+    while size < window:
+        step = min(size, window - size)
+        found, size = joined(found, step), size + step
+    return F.slice(found, 1, F.greatest(F.size(hashes) - (window - 1), F.lit(0)))
+
+
 def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     """Words inside windows of ``window`` words that the text has twice or more, by their word hashes."""
-    starts = F.when(F.size(hashes) >= window, F.sequence(F.lit(1), F.size(hashes) - F.lit(window - 1))).otherwise(
-        F.array().cast("array<int>"))
-
     def covered(w: Column) -> Column:
         def neighbours(s: Column) -> Column:
             last = F.size(s) - 1
@@ -55,8 +64,7 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
             lambda a, x: F.struct((x + window).alias("end"), (a["n"] + F.least(F.lit(window), x + window - a["end"])).alias("n")),
             lambda a: a["n"]))
 
-    windows = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, window)))
-    return bind(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0)))
+    return bind(window_hashes(hashes, window), lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), covered(w)).otherwise(F.lit(0)))
 
 
 def ngram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
@@ -127,9 +135,19 @@ def _weights(flagged: DataFrame, buckets: int) -> DataFrame:
 
 
 def _score(hashes: Column, weights: Column, buckets: int) -> Column:
-    grams = ngram_buckets(hashes, buckets)
-    return bind(grams, lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(F.aggregate(
-        g, F.lit(0.0), lambda a, b: a + F.get(weights, b)) / F.size(g)))
+    """Mean weight of the buckets of ``ngram_buckets``, added up in their order without an array of them."""
+    mask = F.lit(buckets - 1).cast("bigint")
+
+    def weight(h: Column) -> Column:
+        return F.get(weights, h.bitwiseAND(mask).cast("int"))
+
+    def mean(h: Column) -> Column:
+        n = F.size(h)
+        ones = F.aggregate(h, F.lit(0.0), lambda a, x: a + weight(x))
+        twos = bind(window_hashes(h, 2), lambda t: F.aggregate(t, ones, lambda a, x: a + weight(x)))
+        return F.when(n == 0, F.lit(0.0)).otherwise(twos / (n * 2 - 1))
+
+    return bind(hashes, mean)
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:

@@ -637,3 +637,42 @@ def test_scores_equal_the_formula(spark):
 
     want = [share(target, g) - share(raw, g) for g in range(n)]
     assert np.allclose(quality_llr.bucket_weights(df, trusted, n).first()["weights"], want)
+
+
+def test_words_with_punctuation_are_looked_up_whole_when_seen_again():
+    from pairlens.llm.tokens import PieceEncoder
+
+    enc = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), byte_level=True, max_entries=5)
+    for text in ("a house, a house, a mouse. x9; x9;", "the house, the mouse. mouse. house"):
+        assert enc.encode(text) == enc._whole(text)
+    assert "house," in enc.words and "x9;" not in enc.words and len(enc.words) <= 5
+
+
+def test_best_cuts_take_windows_of_a_power_of_two():
+    rng = random.Random(3)
+    for _ in range(40):
+        positions = [0, *sorted(rng.sample(range(1, 400), 60))]
+        penalties = [rng.choice((0, 4, 64)) for _ in positions]
+        if max(b - a for a, b in itertools.pairwise(positions)) > 128:
+            continue
+        best = [0] + [None] * 60
+        for j in range(1, 61):
+            best[j] = penalties[j] + min(best[i] + (0 if n in (64, 128) else 128 - n) for i in range(j)
+                                         if (n := positions[j] - positions[i]) <= 128)
+        at, cost = 0, 0
+        for j in packing.best_cuts(positions, penalties, 128):
+            n = positions[j] - positions[at]
+            cost, at = cost + penalties[j] + (0 if n in (64, 128) else 128 - n), j
+        assert at == 60 and cost == best[60]
+
+
+def test_window_hashes_are_equal_where_windows_are(spark):
+    """Hashes of windows of any size are joined from shorter ones: no window is hashed element by element."""
+    rng = random.Random(5)
+    rows = [(i, [rng.randrange(3) for _ in range(n)]) for i, n in enumerate([0, 1, 2, 7, 8, 9, 40, 90])]
+    df = spark.createDataFrame(rows, "i int, h array<bigint>")
+    for window in (2, 3, 5, 8):
+        for r in df.select("h", quality_llr.window_hashes(F.col("h"), window).alias("w")).collect():
+            windows = [tuple(r["h"][k:k + window]) for k in range(len(r["h"]) - window + 1)]
+            assert len(r["w"]) == len(windows)
+            assert len(set(zip(windows, r["w"], strict=True))) == len(set(windows)) == len(set(r["w"]))
