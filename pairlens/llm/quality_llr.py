@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlens.functions.columns import bind, settle
-from pairlens.operators.leakage import may_hold, sieve
+from pairlens.operators.leakage import may_hold, sieve_row
 from pairlens.session import new_state_path
 
 BUCKETS = 1 << 16
@@ -75,8 +75,8 @@ def ngram_buckets(hashes: Column, buckets: int = BUCKETS) -> Column:
     return F.concat(ones, F.slice(twos, 1, F.greatest(F.size(hashes) - 1, F.lit(0))))
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_ql_hashes", F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w)))
+def _hashes() -> Column:
+    return F.transform(word_array(F.col("text")), lambda w: F.xxhash64(w))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -88,9 +88,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return good.withColumn("_ql_fit", F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(2)) == 0)
 
 
-def _held(ids: DataFrame) -> Column:
-    """Whether the sieve of these ids may hold a row's doc_id."""
-    return may_hold(sieve(ids.select(F.xxhash64("doc_id").alias("key"))), F.xxhash64("doc_id"))
+def _held(ids: DataFrame, path: str) -> Column:
+    """Whether the sieve of these ids, kept at ``path``, may hold a row's doc_id; plans only read it, wherever it stands in them."""
+    sieve_row(ids.select(F.xxhash64("doc_id").alias("key"))).write.parquet(path)
+    return may_hold(ids.sparkSession.read.parquet(path).scalar(), F.xxhash64("doc_id"))
 
 
 def _by_trust(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,9 +103,9 @@ def _by_trust(docs: DataFrame, trusted: DataFrame) -> tuple[DataFrame, DataFrame
     """
     folder, plain = new_state_path(docs.sparkSession, "trusted"), docs.select("doc_id", "text")
     fit = trusted.where("_ql_fit").select("doc_id")
-    taken = _held(fit)
-    docs.where(taken).select("doc_id").distinct().join(fit, "doc_id", "left_anti").write.parquet(f"{folder}/mistaken")
-    open_ = taken & _held(docs.sparkSession.read.parquet(f"{folder}/mistaken"))
+    taken = _held(fit, f"{folder}/fit_sieve")
+    mistaken = docs.where(taken).select("doc_id").distinct().join(fit, "doc_id", "left_anti")
+    open_ = taken & _held(mistaken, f"{folder}/mistaken_sieve")
     plain.where(open_).join(fit.withColumn("_ql_fit", F.lit(True)), "doc_id", "left").write.parquet(f"{folder}/open")
     return docs.sparkSession.read.parquet(f"{folder}/open"), plain.where(~open_).withColumn("_ql_fit", taken)
 
@@ -117,7 +118,7 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
 
 def _weights(flagged: DataFrame, buckets: int) -> DataFrame:
     spark = flagged.sparkSession
-    counts = (_hashed(flagged).select("_ql_fit", F.explode(ngram_buckets(F.col("_ql_hashes"), buckets)).alias("bucket"))
+    counts = (flagged.withColumn("_ql_hashes", _hashes()).select("_ql_fit", F.explode(ngram_buckets(F.col("_ql_hashes"), buckets)).alias("bucket"))
               .groupBy("bucket").agg(F.count("*").alias("raw"), F.count_if("_ql_fit").alias("target")))
     filled = (spark.range(buckets).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left")
               .na.fill(0, ["raw", "target"]))
@@ -138,16 +139,24 @@ def _score(hashes: Column, weights: Column, buckets: int) -> Column:
     """Mean weight of the buckets of ``ngram_buckets``, added up in their order without an array of them."""
     mask = F.lit(buckets - 1).cast("bigint")
 
-    def weight(h: Column) -> Column:
-        return F.get(weights, h.bitwiseAND(mask).cast("int"))
+    def mean(h: Column, w: Column) -> Column:
+        def weight(x: Column) -> Column:
+            return F.get(w, x.bitwiseAND(mask).cast("int"))
 
-    def mean(h: Column) -> Column:
         n = F.size(h)
         ones = F.aggregate(h, F.lit(0.0), lambda a, x: a + weight(x))
         twos = bind(window_hashes(h, 2), lambda t: F.aggregate(t, ones, lambda a, x: a + weight(x)))
         return F.when(n == 0, F.lit(0.0)).otherwise(twos / (n * 2 - 1))
 
-    return bind(hashes, mean)
+    return bind(F.struct(hashes.alias("h"), weights.alias("w")), lambda p: bind(p["w"], lambda w: bind(p["h"], lambda h: mean(h, w))))
+
+
+def _scored(hashed: DataFrame, weights: DataFrame, buckets: int) -> DataFrame:
+    """``hashed`` with ``_ql_llr``. The weights are a scalar subquery: as a literal they stood in every plan, and in each of the
+    texts of plans that the driver keeps. They have a column of their own for the analyzer alone, which allows none in lambdas;
+    it is used once, right above a settled step, and so becomes part of the score."""
+    return hashed.withColumn("_ql_weights", weights.scalar()).select(
+        *hashed.columns, _score(F.col("_ql_hashes"), F.col("_ql_weights"), buckets).alias("_ql_llr"))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -170,29 +179,38 @@ def judged(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, loss: flo
     null id has no label). Without labels nothing is trusted: all scores and the threshold are 0, and the
     base rules decide. Window repeats are found by 64-bit hashes.
     """
-    trusted = trusted_ids(labels)
-    weights = bucket_weights(docs, trusted, buckets).first()["weights"]  # bounded: one number per bucket
-    packed = F.from_json(F.lit("[" + ",".join(f"{w:.9g}" for w in weights) + "]"), "array<double>")
+    spark, folder = docs.sparkSession, new_state_path(docs.sparkSession, "quality")
+    trusted_ids(labels).write.parquet(f"{folder}/trusted")
+    trusted = spark.read.parquet(f"{folder}/trusted")
+    bucket_weights(docs, trusted, buckets).write.parquet(f"{folder}/weights")
+    weights = spark.read.parquet(f"{folder}/weights").select(  # one number per bucket, nine digits each
+        F.transform("weights", lambda w: F.format_string("%.8e", w).cast("double")).alias("weights"))
+    weights.write.parquet(f"{folder}/rounded")
+    weights = spark.read.parquet(f"{folder}/rounded")
     held_out = trusted.where("NOT _ql_fit").select("doc_id")
-    measured = settle(_hashed(docs.select("doc_id", "text").where(_held(held_out))), {"_ql_held": F.struct(
+    held = _held(held_out, f"{folder}/held_sieve")
+    hashed = settle(docs.select("doc_id", "text").where(held), {"_ql_hashes": _hashes()}).drop("text")
+    measured = settle(_scored(hashed, weights, buckets), {"_ql_held": F.struct(
         F.size("_ql_hashes").alias("n_words"), repeated_words(F.col("_ql_hashes")).alias("n_repeat_words"),
-        _score(F.col("_ql_hashes"), packed, buckets).alias("llr"))}).select("doc_id", "_ql_held.*")
+        F.col("_ql_llr").alias("llr"))}).select("doc_id", "_ql_held.*")
     threshold = score_threshold(measured.join(held_out, "doc_id"), loss)  # three numbers a document move, no text
 
-    text, words, hashes = F.coalesce("text", F.lit("")), F.col("_ql_words"), F.col("_ql_hashes")
+    text, hashes = F.coalesce("text", F.lit("")), F.col("_ql_hashes")
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    of_words = bind(word_array(F.col("text")), lambda w: F.struct(
+        F.transform(w, lambda x: F.xxhash64(x)).alias("hashes"), F.char_length(F.array_join(w, "")).cast("bigint").alias("word_chars")))
     measures = F.struct(
-        F.size(words).cast("bigint").alias("n_words"),
-        F.char_length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
+        F.size(hashes).cast("bigint").alias("n_words"),
+        F.col("_ql_word_chars").alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
         bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("n_dup_lines"),
         repeated_words(hashes).cast("bigint").alias("n_repeat_words"),
-        _score(hashes, packed, buckets).alias("llr"))
+        F.col("_ql_llr").alias("llr"))
     q = F.col("_quality")
     failed = base_failed(q["n_words"], q["n_repeat_words"])
-    hashed = (docs.withColumn("_ql_words", word_array(F.col("text")))
-              .withColumn("_ql_hashes", F.transform(words, lambda w: F.xxhash64(w))))
-    return (settle(hashed, {"_quality": measures}).drop("_ql_words", "_ql_hashes")
+    hashed = settle(docs, {"_ql_words": of_words}).select(
+        *docs.columns, F.col("_ql_words.hashes").alias("_ql_hashes"), F.col("_ql_words.word_chars").alias("_ql_word_chars"))
+    return (settle(_scored(hashed, weights, buckets), {"_quality": measures}).drop("_ql_hashes", "_ql_word_chars", "_ql_llr")
             .withColumn("_quality", q.withField("base_failed", failed).withField("llr_threshold", F.lit(threshold))
                         .withField("kept", ~failed & (q["llr"] >= threshold))))
 

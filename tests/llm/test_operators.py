@@ -612,6 +612,13 @@ def test_quality(spark, docs, none, rows):
     assert quality_llr.judged(docs, labels, buckets=256).columns == [*docs.columns, "_quality"]
 
 
+def test_weights_stand_in_no_plan(spark, docs):
+    """The driver keeps plans and texts of them for every query and update, so none may hold the weights or a sieve."""
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    plan = quality_llr.judged(docs, labels)._jdf.queryExecution().toString()
+    assert len(plan) < 200_000
+
+
 def test_scores_equal_the_formula(spark):
     """Weights and scores by hand, with the same bucket hash computed in plain Python."""
     import xxhash
