@@ -26,8 +26,9 @@ def accuracy_columns() -> list[Column]:
 
 
 def attach_attributes(predictions: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Left join test-row attributes by ``row_id``."""
-    return predictions.join(attributes, "row_id", "left")
+    """Left join test-row attributes by ``row_id``. A task holds a hash table of its attributes, one row an example, and sorts none of
+    the predictions, which are several for each run."""
+    return predictions.join(attributes.hint("shuffle_hash"), "row_id", "left")
 
 
 def overall(predictions: DataFrame, by=RUN) -> DataFrame:
