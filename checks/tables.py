@@ -37,9 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows of a given table in one task: each becomes many, so what a task holds follows this and not the input.
+TASK_ROWS = 2000
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """The fixture's tables are single files; their rows are dealt to the tasks by a hash of the key."""
-    return df.repartition(F.col(key))
+    """The fixture's tables are single files; their rows are dealt to the tasks by a hash of the key. The number of tasks is given,
+    as it grows with the rows and tasks must not be merged by the size of what they get."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.count() // TASK_ROWS + 1), F.col(key))
 
 
 def _pick(values, index: Column) -> Column:
