@@ -36,7 +36,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     step, before = 0, None
     while True:
         edges = spark.read.parquet(f"{folder}/{step}")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum("b")).first()
+        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.sum(F.col("b").cast("decimal(20, 0)"))).first()
         if state == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -8,10 +8,16 @@ pair's overlap; the parts are summed per pair.
 2. In the fragments of the first ``HEAD`` of the order, shingles that one class alone has are counted per class. A
    class with more than 20 % of such shingles cannot reach a similarity of 0.8 with anything, and is done. This is
    exact, and it also disposes of sets that merely share a common passage.
-3. The classes left go through all fragments. Pairs of short posting lists are counted inside the fragment. Classes of
+3. The classes left are told apart by their rare shingles: fragments return how frequent each shingle is, and a class of n
+   shingles keeps those of its n - 0.8 n + 1 rarest that others have too. Two similar sets have one of these in common, the rarest
+   of their shared ones, so what such shingles connect (classes whose sizes fit) are groups beyond which nothing is similar. Chains
+   of classes stand for the pairs of a shingle, and classes without a group are done. This is exact, too.
+4. From here on the order of codes is that of each group on its own: a group of up to ``PAIR_POSTINGS`` postings lies in one
+   fragment, larger ones in as many as they need, so a pair's count leaves once, or once per fragment of its group.
+   Pairs of short posting lists are counted inside the fragment. Classes of
    long lists are cut into ranges of ``TILE``; each two ranges are a tile, and where there is more than one, a tile is a
    Spark group of its own. Counts leave packed, in rows of at most ``ROW_PAIRS`` pairs, whenever about ``BUFFER`` have gathered.
-4. Blocks, as many as the counted pairs ask for, sum the parts, keep the pairs at or over the threshold, and return a spanning
+5. Blocks, as many as the counted pairs ask for, sum the parts, keep the pairs at or over the threshold, and return a spanning
    forest and link counts.
 
 Work on one group of k different near copies grows with k^2, and so do the packed counts on disk: all their pairs are
@@ -30,13 +36,14 @@ from pyspark.sql import functions as F
 from pairlens.llm.components import connected_components
 from pairlens.llm.postings import BLOB, cut, joined, owner_bytes, record_batch, slices, small_batches
 from pairlens.llm.textcodes import chunks, mix, sequence_code, window_codes, word_codes
+from pairlens.operators.leakage import may_hold, sieve_row
 from pairlens.session import new_state_path
 
 SHINGLE = 5
 PERCENT = 80
 HEAD = 0.5
 HEAD_POSTINGS = 2_000_000  # of a fragment of step 2
-PAIR_POSTINGS = 2_000_000  # of a fragment of step 3
+PAIR_POSTINGS = 2_000_000  # of a fragment of steps 3 and 4
 LONG_LIST = 64
 TILE = 2_048
 BUFFER = 1_000_000  # pairs a task gathers before it sends them on
@@ -162,30 +169,138 @@ def _hopeless(percent: int):
 def _set_rows(batches) -> Iterator:
     """The sets of the classes left; rows of the same id whose text is another class's are dropped."""
     for batch in slices(batches):
-        out = {"id": [], "n": [], "m": [], "codes": []}
+        out = {"id": [], "n": [], "m": [], "key": [], "codes": []}
         wanted = zip(*(batch.column(c).to_pylist() for c in ("rep", "m", "f1", "f2")), strict=True)
         for (rep, m, a, b), s in zip(wanted, shingle_sets(batch.column("text").to_pylist()), strict=True):
             if fingerprint(s) == (a, b):
-                out["id"].append(rep), out["n"].append(len(s)), out["m"].append(m), out["codes"].append(s.astype("<u8").tobytes())
+                out["id"].append(rep), out["n"].append(len(s)), out["m"].append(m), out["key"].append(a), out["codes"].append(s.astype("<u8").tobytes())
         if out["id"]:
             yield record_batch(out)
 
 
+RARE = np.dtype([("key", "<i8"), ("n", "<u4")])
+
+
+def _sets_of(column) -> tuple[list[np.ndarray], np.ndarray]:
+    sets = [np.frombuffer(x, dtype="<u8") for x in column.to_pylist()]
+    return sets, np.array([len(s) for s in sets], dtype=np.int64)
+
+
+def _class_codes(fragments: int):
+    """Of each slice of sets, by fragment: keys of its classes, how many codes each has there, and the low halves of the codes.
+    Codes whose halves agree count as one, which only makes them seem more frequent, and so to every class."""
+    def run(batches) -> Iterator:
+        for batch in slices(batches):
+            sets, n = _sets_of(batch.column("codes"))
+            if not sets:
+                continue
+            keys, out = batch.column("key").to_numpy(), {"fragment": [], "classes": [], "owners": [], "codes": []}
+            for k, codes, own in cut(np.concatenate(sets), np.repeat(np.arange(len(n)), n), fragments, fragments):
+                used, count = np.unique(own, return_counts=True)
+                out["fragment"].append(k)
+                out["classes"].append(keys[used].tobytes())
+                out["owners"].append(count.astype("<u4").tobytes())
+                out["codes"].append(codes.astype("<u4").tobytes())
+            yield record_batch(out)
+
+    return run
+
+
+def _class_levels(buckets: int):
+    """Of a fragment, by bucket of classes: the binary logarithm of how many classes have it, for each code in the order of ``_class_codes``."""
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        keys, count, codes = (np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind) for c, kind in zip(
+            BLOB_COLUMNS, ("<i8", "<u4", "<u4"), strict=True))
+        _, index, classes = np.unique(codes, return_inverse=True, return_counts=True)
+        level = np.ceil(np.log2(classes)).astype(np.uint8)[index]
+        once = np.zeros(len(keys), dtype=bool)  # rows may be repeated
+        once[np.unique(keys, return_index=True)[1]] = True
+        of_once = np.repeat(once, count)
+        keys, count, level = keys[once], count[once], level[of_once]
+        bucket = keys % buckets
+        order, posting_order = np.argsort(bucket, kind="stable"), np.argsort(np.repeat(bucket, count), kind="stable")
+        keys, count, level = keys[order], count[order], level[posting_order]
+        edge = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0, [True]]))
+        through = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+        return pa.table({
+            "bucket": pa.array(bucket[order][edge[:-1]]), "fragment": pa.array([key[0].as_py()] * (len(edge) - 1), pa.int64()),
+            **{c: pa.array([v[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary()) for c, v, at in (
+                ("classes", keys.astype("<i8"), edge), ("owners", count.astype("<u4"), edge), ("codes", level, through[edge]))}})
+
+    return run
+
+
+def _rare_postings(fragments: int, percent: int):
+    """Of a bucket's sets and the levels of their codes, by fragment: the rarest codes of each class that others have too, of which
+    two similar classes share one."""
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"fragment": [], "classes": [], "owners": [], "codes": []}
+        keys, at = np.unique(left.column("key").to_numpy(), return_index=True)  # a repeated row is the same class
+        if len(keys):
+            sets, n = _sets_of(left.column("codes").take(pa.array(at)))
+            found, count, level = (np.frombuffer(b"".join(right.column(c).to_pylist()), dtype=kind) for c, kind in zip(
+                BLOB_COLUMNS, ("<i8", "<u4", "u1"), strict=True))
+            part = np.repeat(right.column("fragment").to_numpy(), [len(x) // 8 for x in right.column("classes").to_pylist()])
+            order = np.lexsort((part, found))  # a class's codes are in order through the fragments
+            count = count.astype(np.int64)
+            begin, size = (np.cumsum(count) - count)[order], count[order]
+            level = level[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            codes, owner = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+            rank = np.argsort(owner << 8 | level, kind="stable")
+            place = np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+            rank = rank[(place < np.repeat(n + 1 + -percent * n // 100, n)) & (level[rank] > 0)]
+            reps = np.array(list(zip(keys.tolist(), n.tolist(), strict=True)), dtype=RARE)
+            for k, some, own in cut(codes[rank], owner[rank], fragments, fragments):
+                used, local = np.unique(own, return_inverse=True)
+                out["fragment"].append(k)
+                out["classes"].append(reps[used].tobytes())
+                out["owners"].append(owner_bytes(local, len(used)))
+                out["codes"].append(some.astype("<u8").tobytes())
+        return pa.table([pa.array(v, pa.binary() if k in BLOB_COLUMNS else pa.int64()) for k, v in out.items()], list(out))
+
+    return run
+
+
+def _chains(percent: int):
+    """Of a fragment of rare codes, a forest over the classes that they connect: neighbours by size in a code's list stand for all its
+    pairs whose sizes fit, as the sizes between fit as well."""
+    def run(table: pa.Table) -> pa.Table:
+        reps, owner, codes = joined(table, RARE, "<u8")
+        n = reps["n"].astype(np.int64)
+        order = np.lexsort((n[owner], codes))
+        c, o = codes[order], owner[order]
+        near = (c[1:] == c[:-1]) & (100 * n[o[:-1]] >= percent * n[o[1:]])
+        root = _roots(len(reps), o[:-1][near], o[1:][near])
+        at = np.flatnonzero(root != np.arange(len(reps)))
+        return pa.table({"a": pa.array(reps["key"][at]), "b": pa.array(reps["key"][root[at]])})
+
+    return run
+
+
 def _pair_postings(fragments: int):
+    """Postings of the classes of a group, whose codes are those of the group alone: ``parts`` of 0 shares a fragment with other small
+    groups, others have so many fragments of their own."""
     def run(batches) -> Iterator:
         for batch in slices(batches):
-            sets = [np.frombuffer(x, dtype="<u8") for x in batch.column("codes").to_pylist()]
+            sets, n = _sets_of(batch.column("codes"))
             if not sets:
                 continue
             reps = np.array(list(zip(*(batch.column(c).to_pylist() for c in ("id", "n", "m")), strict=True)), dtype=REP)
-            owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+            salt, parts = mix(batch.column("component").to_numpy().view(np.uint64)), batch.column("parts").to_numpy().astype(np.uint64)
+            codes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), n)
+            part = ((codes >> np.uint64(32)) * parts[owner]) >> np.uint64(32)
+            own = -1 - (mix(salt[owner] + part) >> np.uint64(2)).astype(np.int64)
+            fragment = np.where(parts[owner] > 0, own, (salt % np.uint64(fragments)).astype(np.int64)[owner])
+            codes, order = mix(codes ^ salt[owner]), np.argsort(fragment, kind="stable")
+            edge = np.flatnonzero(np.concatenate([[True], np.diff(fragment[order]) > 0, [True]]))
             out = {"fragment": [], "classes": [], "owners": [], "codes": []}
-            for k, codes, own in cut(np.concatenate(sets), owner, fragments, fragments):
-                used, local = np.unique(own, return_inverse=True)
-                out["fragment"].append(k)
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                at = order[a:b]
+                used, local = np.unique(owner[at], return_inverse=True)
+                out["fragment"].append(int(fragment[at[0]]))
                 out["classes"].append(reps[used].tobytes())
                 out["owners"].append(owner_bytes(local, len(used)))
-                out["codes"].append(codes.astype("<u8").tobytes())
+                out["codes"].append(codes[at].astype("<u8").tobytes())
             yield record_batch(out)
 
     return run
@@ -218,9 +333,11 @@ class _Counts:
 
 
 def _ordered(owner: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and owners by code, where the posting lists begin (and the last ends), and their lengths."""
+    """Codes and owners by code, each once, where the posting lists begin (and the last ends), and their lengths."""
     order = np.lexsort((owner, codes))
     c, o = codes[order], owner[order]
+    once = np.concatenate([[True], (c[1:] != c[:-1]) | (o[1:] != o[:-1])])[:len(c)]
+    c, o = c[once], o[once]
     edge = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]])) if len(c) else np.zeros(1, np.int64)
     return c, o, edge, np.diff(edge)
 
@@ -355,23 +472,48 @@ def _fragment_parts(percent: int):
 
 
 def _tile_parts(percent: int):
-    """The counted pairs of a tile's work."""
+    """The counted pairs of each tile's work, whose rows follow each other: a pair leaves a tile once."""
+    def counted(rows: list[tuple[bytes, bytes, bytes]]) -> Iterator:
+        reps, owner, number, side, base = [], [], [], [], 0
+        for classes, owners, codes in rows:
+            both = np.frombuffer(owners, dtype="<u4")
+            reps.append(np.frombuffer(classes, dtype=REP))
+            owner.append(both[:len(both) // 2].astype(np.int64) + base), number.append(both[len(both) // 2:]), side.append(np.frombuffer(codes, dtype="<u4"))
+            base += len(reps[-1])
+        reps, index = np.unique(np.concatenate(reps), return_inverse=True)
+        owner, number, side = index[np.concatenate(owner)], np.concatenate(number), np.concatenate(side)
+
+        def lists(k: int) -> tuple[np.ndarray, list[np.ndarray]]:
+            order = np.flatnonzero(side == k)
+            order = order[np.argsort(number[order], kind="stable")]
+            ids, local = np.unique(owner[order], return_inverse=True)
+            edge = np.searchsorted(number[order], np.arange(int(number.max()) + 2))
+            return ids, [local[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+
+        a_ids, left = lists(0)
+        b_ids, right = lists(1) if side.any() else (a_ids, left)
+        return _part_rows(reps, *_tile_pairs(left, right, not side.any(), a_ids, b_ids, reps["n"].astype(np.int64), percent))
+
     def run(batches) -> Iterator:
+        tile, rows = None, []
         for batch in batches:
-            for classes, owners, codes in zip(*(batch.column(c).to_pylist() for c in ("classes", "owners", "codes")), strict=True):
-                reps, both, side = np.frombuffer(classes, dtype=REP), np.frombuffer(owners, dtype="<u4"), np.frombuffer(codes, dtype="<u4")
-                owner, number = both[:len(both) // 2].astype(np.int64), both[len(both) // 2:]
+            for f, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("fragment", "i", "j", *BLOB_COLUMNS)), strict=True):
+                if rows and (f, i, j) != tile:
+                    yield from counted(rows)
+                    rows = []
+                tile = f, i, j
+                rows.append(row)
+        if rows:
+            yield from counted(rows)
 
-                def lists(k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-                    ids, local = np.unique(owner[side == k], return_inverse=True)
-                    edge = np.searchsorted(number[side == k], np.arange(int(number.max()) + 2))
-                    return ids, [local[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)]
+    return run
 
-                a_ids, left = lists(0)
-                b_ids, right = lists(1) if side.any() else (a_ids, left)
-                yield from _part_rows(reps, *_tile_pairs(left, right, not side.any(), a_ids, b_ids, reps["n"].astype(np.int64), percent))
 
-    return run
+def _of_group(run):
+    def of(_: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(batches)
+
+    return of
 
 
 def _unpacked(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -426,6 +568,18 @@ def _blocks(sides: int):
     return run
 
 
+def _roots(size: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of each number, the least one that links connect it to."""
+    root = np.arange(size)
+    while True:  # hook to the smaller root and shorten, until every link is inside a tree
+        a, b = root[x], root[y]
+        if (a == b).all():
+            return root
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def _links(percent: int):
     """Sum the parts of a block's pairs; of each class with links: the root of its tree in the block and how many
     documents it is linked with."""
@@ -436,14 +590,7 @@ def _links(percent: int):
         n = distinct["n"].astype(np.int64)
         ok = 100 * shared >= percent * (n[x] + n[y] - shared)
         x, y = x[ok], y[ok]
-        root = np.arange(len(distinct))
-        while True:  # hook to the smaller root and shorten, until every link is inside a tree
-            a, b = root[x], root[y]
-            if (a == b).all():
-                break
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root != root[root]).any():
-                root = root[root]
+        root = _roots(len(distinct), x, y)
         m = distinct["m"].astype(np.int64)
         linked = np.zeros(len(distinct), dtype=np.int64)
         np.add.at(linked, x, m[y])
@@ -454,6 +601,21 @@ def _links(percent: int):
     return run
 
 
+def _groups(sets: DataFrame, fragments: int, percent: int) -> DataFrame:
+    """(key, component, parts) of the classes that may be similar to another: similar ones have the same component. ``parts``: fragments of its
+    own that a large component needs, 0 for a small one."""
+    rare = max(1, fragments * (100 - percent) // 100)
+    levels = (sets.select("key", "codes").mapInArrow(_class_codes(fragments), f"fragment bigint, {BLOB}")
+              .groupBy("fragment").applyInArrow(_class_levels(fragments), f"bucket bigint, fragment bigint, {BLOB}"))
+    bucketed = sets.select("key", "codes", F.pmod("key", F.lit(fragments).cast("bigint")).alias("bucket"))
+    edges = (bucketed.groupBy("bucket").cogroup(levels.groupBy("bucket")).applyInArrow(_rare_postings(rare, percent), f"fragment bigint, {BLOB}")
+             .groupBy("fragment").applyInArrow(_chains(percent), "a bigint, b bigint"))
+    grouped = connected_components(edges).withColumnRenamed("node", "key")
+    sizes = grouped.join(sets.select("key", "n"), "key").groupBy("component").agg(F.sum("n").alias("postings"))
+    own = F.when(4 * F.col("postings") > PAIR_POSTINGS, F.ceil(F.col("postings") / PAIR_POSTINGS)).otherwise(0).cast("bigint")
+    return grouped.join(sizes.select("component", own.alias("parts")), "component")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, row_key: Column | None = None) -> DataFrame:
     """Per document row: doc_id, n_shingles (long), component_id (smallest doc_id reachable by links), n_links (documents
     whose shingle sets have a Jaccard similarity of at least ``percent`` % with this one, equal ones included).
@@ -480,19 +642,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, row_key: Column | N
     gone = (docs.select("text").mapInArrow(_head_postings(round(first / HEAD), first), f"fragment bigint, slice bigint, {packed}")
             .groupBy("fragment").applyInArrow(_alone, f"slice bigint, {packed}, table boolean")
             .groupBy("slice").applyInArrow(_hopeless(percent), "f1 bigint, f2 bigint").distinct())
-    left = classes.join(gone, ["f1", "f2"], "left_anti")
-    (docs.join(left, docs.doc_id == left.rep).select("rep", "m", "f1", "f2", "text")
-     .mapInArrow(_set_rows, "id bigint, n bigint, m bigint, codes binary").write.parquet(f"{folder}/sets"))
+    classes.join(gone, ["f1", "f2"], "left_anti").select("rep", "m", "f1", "f2").write.parquet(f"{folder}/left")
+    left = spark.read.parquet(f"{folder}/left")
+    sieve_row(left.select(F.xxhash64("rep").alias("key"))).write.parquet(f"{folder}/sieve")
+    held = may_hold(spark.read.parquet(f"{folder}/sieve").scalar(), F.xxhash64("doc_id"))  # other texts don't leave the scan
+    (docs.where(held).join(left, F.col("doc_id") == left.rep).select("rep", "m", "f1", "f2", "text")
+     .mapInArrow(_set_rows, "id bigint, n bigint, m bigint, key bigint, codes binary").write.parquet(f"{folder}/sets"))
     sets = spark.read.parquet(f"{folder}/sets")
     fragments = max(1, -(-int(sets.agg(F.sum("n")).first()[0] or 0) // PAIR_POSTINGS))
 
-    (sets.mapInArrow(_pair_postings(fragments), f"fragment bigint, {BLOB}")
+    (sets.join(_groups(sets, fragments, percent), "key").mapInArrow(_pair_postings(fragments), f"fragment bigint, {BLOB}")
      .groupBy("fragment").applyInArrow(_fragment_parts(percent), PARTS)
      .write.options(**ROW_FILES).parquet(f"{folder}/parts"))
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     small_batches(spark, ROW_BATCH)  # rows of counted pairs are long
     parts = spark.read.parquet(f"{folder}/parts")
-    (parts.where("i >= 0").repartition(partitions, "fragment", "i", "j", F.xxhash64("codes", "owners")).mapInArrow(_tile_parts(percent), PARTS)
+    (parts.where("i >= 0").groupBy("fragment", "i", "j").applyInArrow(_of_group(_tile_parts(percent)), PARTS)
      .write.options(**ROW_FILES).parquet(f"{folder}/tiles"))
     counted = parts.where("i < 0").unionByName(spark.read.schema(PARTS).parquet(f"{folder}/tiles")).select(*BLOB_COLUMNS, "pairs")
     sides = block_side(partitions, int(counted.agg(F.sum("pairs")).first()[0] or 0))

@@ -473,6 +473,33 @@ def test_near_duplicates(spark, seed, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("postings", [2_000_000, 300])
+def test_only_pairs_of_a_group_are_counted(spark, tmp_path, monkeypatch, postings):
+    """Twenty pairs of copies share a passage: a pair's two are counted, once or once per fragment of their group, and no two others."""
+    rng, passage = random.Random(4), [f"p{k}" for k in range(60)]
+    rows = []
+    for k in range(20):
+        own = [f"d{k}x{j}" for j in range(60)]
+        for i in (2 * k, 2 * k + 1):
+            words = own[:]
+            words[rng.randrange(60)] = f"e{i}"
+            rows.append((i, " ".join(passage + words)))
+    monkeypatch.setattr(jaccard_join, "PAIR_POSTINGS", postings)
+    monkeypatch.setattr(jaccard_join, "new_state_path", lambda _, name: f"{tmp_path}/{name}")
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in got} == plain_links(rows)
+    parts = spark.read.parquet(f"{tmp_path}/jaccard/parts").selectExpr("count_if(i >= 0)", "sum(pairs)").first()
+    assert parts[0] == 0 and 20 <= parts[1] <= (20 if postings > 1000 else 40)
+
+
+def test_repeated_rows_count_their_shingles_once(spark):
+    words = [f"w{k}" for k in range(40)]
+    rows = [(1, words), (1, words), (2, words[:28] + [f"x{k}" for k in range(12)]), (3, [*words, "z"]), (5, words)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id bigint, text string").repartition(1)
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard_join.near_duplicates(df).collect())
+    assert got == [(1, 1, 3), (1, 1, 3), (2, 2, 0), (3, 1, 3), (5, 1, 3)]
+
+
 def test_pairs_in_tiles_equal_pairs_in_lists(monkeypatch):
     rng = np.random.default_rng(3)
     sizes = rng.integers(20, 30, 40)
@@ -495,6 +522,14 @@ def test_near_duplicates_of_odd_rows(docs, none):
     assert out.where("doc_id IN (1, 2, 3) AND (n_shingles > 0 OR component_id <> doc_id)").count() == 0
 
 
+def test_components_of_large_ids(spark):
+    """Hashes as ids: their sum passes 64 bits."""
+    top = 2**63 - 1
+    edges = spark.createDataFrame([(top, top - 1), (top - 1, top - 2), (top - 3, top - 4)], "a bigint, b bigint")
+    got = {r["node"]: r["component"] for r in components.connected_components(edges).collect()}
+    assert got == {top: top - 2, top - 1: top - 2, top - 2: top - 2, top - 3: top - 4, top - 4: top - 4}
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(k, k + 1) for k in range(30)] + [(100, 100 + k) for k in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)]
