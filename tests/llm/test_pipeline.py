@@ -130,3 +130,16 @@ def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert jaccard_join.SHINGLE == 5 and jaccard_join.PERCENT == 80
+
+
+def test_documents_that_share_a_passage_are_no_pairs(spark, tmp_path, monkeypatch):
+    """Stage 2 counts the two of each pair of copies, not all documents with the passage against each other."""
+    passage, rows = [f"p{k}" for k in range(60)], []
+    for k in range(15):
+        own = [f"d{k}x{j}" for j in range(60)]
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + own[:30] + ["e"] + own[31:]))]
+    monkeypatch.setattr(jaccard_join, "new_state_path", lambda _, name: f"{tmp_path}/{name}")
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == set(range(0, 30, 2))
+    assert spark.read.parquet(f"{tmp_path}/jaccard/parts").selectExpr("sum(pairs)").first()[0] == 15
