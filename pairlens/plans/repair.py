@@ -82,7 +82,7 @@ def repair_rounds(corpus: DataFrame, evaluate: Callable[[DataFrame, int], DataFr
         open_rows = undecided(state).where(
             F.col("EN_masculine_sentence").isNotNull() & F.col("EN_feminine_sentence").isNotNull())
         decided = apply_evaluations(state, evaluate(open_rows, turn), threshold, use_symbolic)
-        decided.write.mode("overwrite").parquet(f"{path}/round={turn}")
+        decided.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/round={turn}")
         state = spark.read.parquet(f"{path}/round={turn}")
         failed = retryable(state, max_retries)
         if turn == max_retries or failed.isEmpty():

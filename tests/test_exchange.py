@@ -371,6 +371,21 @@ def test_stream_state_keeps_the_last_reply_of_each_id(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "counts")).agg(F.sum("n")).first()[0] == 10
 
 
+def test_rounds_are_written_packed(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.createDataFrame([(1, "cook", "A cook ate.", "A cook ate, sir.", "A cook ate, miss.", "x", "cook", "cook")],
+                                 "row_id bigint, referent string, EN_source_sentence string, EN_masculine_sentence string, EN_feminine_sentence string, "
+                                 "disambiguation_strategy string, masc_referent string, fem_referent string")
+
+    def none(df, turn):
+        return repair.with_state(df).select("row_id", *[c for c in repair.CLEARED_ON_RETRY if c != "accepted"]).limit(0)
+
+    assert repair.repair_rounds(rows, none, lambda df, turn: df.limit(0), max_retries=0, path=str(tmp_path)).count() == 1
+    found = [pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in tmp_path.rglob("*.parquet") if pq.ParquetFile(f).metadata.num_rows]
+    assert found and set(found) == {"ZSTD"}
+
+
 def test_repair_rounds_stop_and_count(spark):
     rows = [(i, "cook", f"The cook number {i} ate.", f"The cook number {i} ate, sir.", f"The cook number {i} ate, miss.") for i in range(4)]
     corpus = spark.createDataFrame(rows, "row_id bigint, referent string, EN_source_sentence string, EN_masculine_sentence string, EN_feminine_sentence string")
