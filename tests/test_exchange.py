@@ -371,6 +371,19 @@ def test_stream_state_keeps_the_last_reply_of_each_id(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "counts")).agg(F.sum("n")).first()[0] == 10
 
 
+def test_needles_are_told_by_their_end_runs(spark):
+    """The runs at either end are those of the whole text, and texts of three tokens aren't looked up as short ones."""
+    texts = [None, "", "a", "a b", "a b c", " a\u00a0b  c ", "a b c d", "a b c d e", "a b c d e f", "a b c d e f g", "x y z x y z x y z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "needle_id int, text string")
+    whole = {r["needle_id"]: (r["runs"][0], r["runs"][-1]) for r in J._inner(df).collect()}
+    ends = {r["needle_id"]: tuple(r["e"]) for r in df.select("needle_id", J.bind(J.tokens(F.col("text")), J._end_runs).alias("e")).collect()
+            if r["e"] and r["e"]["first"] is not None}
+    assert set(ends) == set(whole) == set(range(4, 11))
+    assert all(ends[k] == whole[k] for k in range(4, 10)) and ends[10][0] == whole[10][0]
+    short = {r["needle_id"] for r in df.where(~F.rlike("text", F.lit(J._THREE))).collect()}
+    assert short == {1, 2, 3}
+
+
 def test_rounds_are_written_packed(spark, tmp_path):
     import pyarrow.parquet as pq
 
